@@ -29,7 +29,7 @@ MAX_EPOCHS = 3
 #: Tables of sources up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 #: Rows aimed at in one cell of a running sum.
-CELL_ROWS = 4096
+CELL_ROWS = 256
 
 
 def word_count(col: str = "text") -> Column:
