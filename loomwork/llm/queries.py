@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprint, mixing, sentencepiece_bpe, tokenfile, toxicity, warc
+from loomwork.llm import fingerprint, mixing, nearest, sentencepiece_bpe, tokenfile, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
