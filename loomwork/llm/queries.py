@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprint, mixing, nearest, sentencepiece_bpe, tokenfile, toxicity, warc
+from loomwork.llm import fingerprint, mixing, nearest, sentencepiece_bpe, suffix_dedup, tokenfile, toxicity, warc
 from loomwork.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "row")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
