@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprint, mixing, nearest, sentencepiece_bpe, suffix_dedup, tokenfile, toxicity, warc
+from loomwork.llm import fingerprint, jaccard_join, mixing, nearest, sentencepiece_bpe, suffix_dedup, tokenfile, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard_join.join(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
