@@ -237,3 +237,14 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
         .join(degree.withColumnRenamed("c", "class_row"), "class_row", "left")
         .select("doc_id", "n_shingles", "component_id", "row", "class_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, one for each component: the one with the least id, then the first in scan order."""
+    found = join(docs, **options)
+    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row"))
+    # A component is as large as its group of copies, so its first row is found by sums, not by a sorted window.
+    first = found.withColumn("_alone", alone).groupBy("component_id", "_alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    kept = first.select(F.col("best.row").alias("_kept"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)

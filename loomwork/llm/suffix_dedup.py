@@ -363,11 +363,19 @@ def _merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(lo, min(hi, n)) for lo, hi in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), row (in scan order) of every document."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "doc_id", "text")
+    return rows.select("row", "doc_id", "text")
+
+
+def _with_spans(rows: DataFrame, length: int, most: int) -> DataFrame:
+    """row, doc_id, text, spans; a document has at most as many spans as anchors."""
     spans = repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return rows.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), row (in scan order) of every document."""
 
     def run(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
@@ -386,5 +394,43 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    joined = rows.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+    return _with_spans(_rows(docs, id_col, text_col), length, most).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+
+
+def whole_characters(data: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The span shrunk to whole UTF-8 characters."""
+    while lo < hi and lo < len(data) and data[lo] & 0xC0 == 0x80:
+        lo += 1
+    while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, all columns, with what repeats cut out of their texts; rows left without text go.
+
+    Texts that were empty before stay. Cuts keep characters whole; ``n_chars``, where there is one, follows the text.
+    """
+    rows = _rows(docs, docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text_col)
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], []]
+            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                data = text.encode("utf-8", "surrogatepass")
+                at, kept = 0, []
+                for lo, hi in _merged([(s["lo"], s["hi"]) for s in own or []], len(data)):
+                    lo, hi = whole_characters(data, lo, hi)
+                    kept.append(data[at:lo])
+                    at = max(at, hi)
+                left = b"".join([*kept, data[at:]]).decode("utf-8", "replace")
+                if left or not text:
+                    out[0].append(row)
+                    out[1].append(left if own else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["_cut", "_left"])
+
+    cut = _with_spans(rows, length, most).mapInArrow(run, "_cut long, _left string")
+    whole = docs.withColumn("_row", F.monotonically_increasing_id())
+    new = F.coalesce("_left", text_col)
+    columns = [new.alias(c) if c == text_col else F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return whole.join(cut, F.col("_row") == F.col("_cut")).select(*columns)

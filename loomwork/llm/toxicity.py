@@ -171,30 +171,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     return fit(terms, [np.frombuffer(r, "<i4").astype(np.int64) for r in got.x], got.y.to_numpy(np.float64))
 
 
+def _scorer(model: Machine):
+    """A function from a text to its score; it remembers the terms of words."""
+    at = {int(t): k for k, t in enumerate(model.terms)}
+    known: dict[str, tuple] = {}
+
+    def score_of(text: str) -> float:
+        x: set[int] = set()
+        for w in set(words_of(text.lower())):
+            t = known.get(w)
+            if t is None:
+                if len(known) > CACHE:
+                    known.clear()
+                t = tuple(at[h] for h in word_terms(w) if h in at)
+                if len(w) <= 64:
+                    known[w] = t
+            if t:
+                x.update(t)
+        z = model.margin(sorted(x))
+        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+
+    return score_of
+
+
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` would not fit a contract: doc_id, held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = sent.value
-        at = {int(t): k for k, t in enumerate(model.terms)}
-        known: dict[str, tuple] = {}
+        score_of = _scorer(sent.value)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                x: set[int] = set()
-                for w in set(words_of(text.lower())):
-                    t = known.get(w)
-                    if t is None:
-                        if len(known) > CACHE:
-                            known.clear()
-                        t = tuple(at[h] for h in word_terms(w) if h in at)
-                        if len(w) <= 64:
-                            known[w] = t
-                    if t:
-                        x.update(t)
-                z = model.margin(sorted(x))
-                out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            out = [score_of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
@@ -203,3 +210,17 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def without_toxic(docs: DataFrame, model: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text stays under the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        score_of = _scorer(sent.value)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            keep = [score_of(t or "") < THRESHOLD for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
