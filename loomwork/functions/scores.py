@@ -93,7 +93,7 @@ def risky_join(code: Column) -> Column:
 def prompt_columns(prompt: Column) -> Column:
     """Names in quotes, and words after words such as 'by' or 'column', without stop words; sorted."""
     quoted = F.regexp_extract_all(prompt, F.lit(r"[\"'`]([A-Za-z_][A-Za-z0-9_]*)[\"'`]"), 1)
-    after = F.regexp_extract_all(F.lower(prompt), F.lit(rf"\b(?:{'|'.join(COLUMN_WORDS)})\s+([a-z_][a-z0-9_]*)"), 1)
+    after = F.regexp_extract_all(F.lower(prompt), F.lit(rf"(?<=\b(?:{'|'.join(COLUMN_WORDS)})\s{{1,3}})([a-z_][a-z0-9_]*)"), 1)
     return F.array_sort(F.array_except(F.array_distinct(F.concat(quoted, after)), F.array(*[F.lit(w) for w in STOP_WORDS + COLUMN_WORDS])))
 
 
