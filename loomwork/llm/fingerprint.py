@@ -9,7 +9,8 @@ deviation from the mean gives the likeness of two texts (the cosine of the two
 sums of random signs estimates how large a share of passages both have).
 
 Passages are paragraphs; long ones are cut on at content-defined places: after
-punctuation, and after words that end in one of a few fixed letters.
+punctuation, and after words that end in a digit,
+one of a few fixed letters or a letter beyond ASCII.
 
 Only DataFrame functions run here. One shuffle brings texts together by range of
 doc_id; passages are summed in the same stage.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import settle, text_of
 
 #: Where passages end.
-CUT = r"(?<=[\n.,;:!?|*%$&#])\s*|(?<=[dkmstyz])\s+"
+CUT = r"(?<=[\n.,;:!?|*%$&#])\s*|(?<=[0-9dkmstyzDKMSTYZ\x80-\uFFFF])\s+"
 #: Counting lanes: 2 hashes x 60 bits, three lanes of 20 bits to each sum.
 SEEDS = (11, 23)
 SUMS = 20

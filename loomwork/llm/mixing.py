@@ -142,14 +142,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The one copy that the budget cuts keeps its first words. Rows with equal
     doc_id share what they were dealt together, the first ones first.
     """
-    shares = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
-    shares = shares.select(F.col("doc_id").alias("_doc"), "_taken")
+    shares = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("__lw_taken"), F.max("size").alias("__lw_size")).filter("__lw_taken > 0")
+    shares = shares.select(F.col("doc_id").alias("__lw_doc"), "__lw_taken")
     size = word_count()
-    joined = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("_size", size).filter("_size > 0")
+    joined = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("__lw_doc"))).withColumn("__lw_size", size).filter("__lw_size > 0")
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("_size") * MAX_EPOCHS).over(same), F.lit(0))
-    own = joined.withColumn("_own", F.least(F.col("_taken") - before, F.col("_size") * MAX_EPOCHS)).filter("_own > 0")
-    copies = own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_own") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_own") - (F.col("_copy") - 1) * F.col("_size"))
+    before = F.coalesce(F.sum(F.col("__lw_size") * MAX_EPOCHS).over(same), F.lit(0))
+    own = joined.withColumn("__lw_own", F.least(F.col("__lw_taken") - before, F.col("__lw_size") * MAX_EPOCHS)).filter("__lw_own > 0")
+    copies = own.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__lw_own") / F.col("__lw_size")).cast("int"))))
+    words = F.least(F.col("__lw_size"), F.col("__lw_own") - (F.col("__lw_copy") - 1) * F.col("__lw_size"))
     cut = F.array_join(F.slice(F.regexp_extract_all(text_of("text"), F.lit(f"({WORD})"), 1), F.lit(1), words.cast("int")), " ")
-    return copies.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    return copies.withColumn("text", F.when(words < F.col("__lw_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
