@@ -156,10 +156,12 @@ class TableStore:
         """Without a tenant nothing is stored."""
         if not tenant:
             return SyncResult(False)
+        # counted first: a batch may itself be read from the version that goes
+        done = SyncResult(True, batch.count(), 0 if gone is None else gone.count())
         if reset:
             self.replace(collection, tenant, batch)
         else:
             have = self.read(collection, tenant)
             rows = batch if have is None else upsert(have, batch, key)
             self.replace(collection, tenant, rows if gone is None else delete(rows, gone, key))
-        return SyncResult(True, batch.count(), 0 if gone is None else gone.count())
+        return done

@@ -80,7 +80,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     full = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     path = F.url_decode(F.regexp_replace(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")), "^[a-z0-9]+:/+", "/"))
