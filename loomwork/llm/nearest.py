@@ -28,7 +28,7 @@ from loomwork.llm.common import settle
 #: Rows that centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors aimed at for each centroid, and centroids at most.
-PER_LIST = 50
+PER_LIST = 200
 LISTS = 4096
 #: A vector is copied to lists within this ratio of its nearest one's distance.
 COPY_RATIO = 1.15
@@ -36,7 +36,7 @@ REPLICAS = 4
 #: A query reads lists within this ratio of its nearest one's distance, and this many anyway.
 READ_RATIO = 1.28
 LEAST_LISTS = 16
-BLOCK = 1024
+BLOCK = 4096
 NEIGHBOURS = 24
 
 
@@ -177,10 +177,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
         qid, vid = b.column("id").to_numpy(), a.column("id").to_numpy()
         s = np.einsum("qd,nd->qn", x, y) / (np.sqrt(np.einsum("qd,qd->q", x, x))[:, None] * np.sqrt(np.einsum("nd,nd->n", y, y)))
         s[qid[:, None] == vid[None, :]] = -9
-        by_id = np.argsort(vid, kind="stable")
-        top = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, : 2 * k]]
-        r = np.repeat(np.arange(len(qid)), top.shape[1])
-        t = top.ravel()
+        # in order of ids, each once with its best score
+        order = np.argsort(vid, kind="stable")
+        vid, first = np.unique(vid[order], return_index=True)
+        s = np.maximum.reduceat(s[:, order], first, axis=1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        r, t = np.repeat(np.arange(len(qid)), top.shape[1]), top.ravel()
         ok = s[r, t] > -9
         return pa.table({"query_id": qid[r[ok]], "vec_id": vid[t[ok]], "score": s[r[ok], t[ok]]})
 
