@@ -5,8 +5,8 @@
    only be among suffixes that start at anchors with one key. About one byte in
    170 is an anchor. Neighbouring windows with one anchor make a cell.
 2. Keys that occur once are done. Cells with equal content are counted, not
-   compared: all their windows repeat. What is left is one cell of each content
-   of a key with several contents.
+   compared: all their windows repeat (those of one document travel as one row).
+   What is left is one cell of each content of a key with several contents.
 3. These are compared by suffix sorting: prefix polynomial hashes and binary
    search give the common extension of two suffixes in logarithmic time, merge
    sort puts suffixes in order, to the right of the anchor and (reversed) to the
@@ -41,7 +41,7 @@ K = 64
 #: Contents of one key that a task compares.
 MOST = 1024
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,10 +239,30 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
             keys = np.fromiter((key_of(view[p : p + k]) for p in pos.tolist()), np.uint64, len(pos))
             sums = np.fromiter((sum_of(view[x : y + length], p - x) for x, y, p in zip(a.tolist(), b.tolist(), pos.tolist())), np.uint64, len(pos))
             base = ends[:-1][doc]
-            cols = [pa.array(keys.view(np.int64)), pa.array(sums.view(np.int64)), pa.array(ids[doc]), pa.array(pos - base), pa.array(a - base), pa.array(b - base)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "row", "pos", "a", "b"])
-
-    return rows.select("row", "text").mapInArrow(run, "key long, cls long, row long, pos long, a long, b long")
+            pos, a, b = pos - base, a - base, b - base
+            first, n, more = _folded(doc, keys, sums, a, b + length)
+            cols = [pa.array(keys.view(np.int64)[first]), pa.array(sums.view(np.int64)[first]), pa.array(ids[doc[first]]), pa.array(n), *[pa.array(x[first]) for x in (pos, a, b)], pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "row", "n", "pos", "a", "b", "more"])
+
+    return rows.select("row", "text").mapInArrow(run, "key long, cls long, row long, n long, pos long, a long, b long, more binary")
+
+
+def _folded(doc, keys, sums, lo, hi):
+    """(first cell of each content in a document, how many there are, the union of their spans if several)."""
+    mark = keys ^ (sums * np.uint64(0x9E3779B97F4A7C15)) ^ (doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    _, first, inverse, n = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    more: list = [None] * len(first)
+    several = np.flatnonzero(n > 1)
+    if len(several):
+        order = np.argsort(inverse, kind="stable")
+        ends = np.cumsum(n)
+        for k in several.tolist():
+            at = order[ends[k] - n[k] : ends[k]]
+            x, y = lo[at], hi[at]  # ascending, of equal length
+            new = np.concatenate([[True], x[1:] > y[:-1]])
+            last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+            more[k] = np.column_stack([x[new], y[last]]).astype("<i8").tobytes()
+    return first, n.astype(np.int64), more
 
 
 def _contents(rows: DataFrame, ships: DataFrame, length: int) -> DataFrame:
@@ -330,15 +350,17 @@ def _refined(contents: DataFrame, length: int, most: int) -> list[DataFrame]:
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """row, lo, hi: byte spans that make up all that repeats. ``rows``: row, doc_id, text."""
+    """row, lo, hi, more: byte spans that make up all that repeats (``more``: several, as pairs). ``rows``: row, doc_id, text."""
     anchors = stored(_anchors(rows, length, k), "anchors")
-    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), (F.min("cls") != F.max("cls")).alias("mixed")).filter("n > 1").drop("n")
+    # A table of its own, so that the join below has an exchange on either side and can split a hot key.
+    keys = settle(anchors.groupBy("key").agg(F.sum("n").alias("n"), (F.min("cls") != F.max("cls")).alias("mixed")).filter("n > 1").drop("n"))
     cells = stored(anchors.join(keys, "key"), "cells")
-    whole = cells.filter("not mixed").select("row", F.col("a").alias("lo"), (F.col("b") + length).alias("hi"))
+    span = ["row", F.col("a").alias("lo"), (F.col("b") + length).alias("hi"), "more"]
+    whole = cells.filter("not mixed").select(*span)
     mixed = cells.filter("mixed").drop("mixed")
-    kinds = settle(mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "a", "b")).alias("one")))
+    kinds = settle(mixed.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min(F.struct("row", "pos", "a", "b")).alias("one")))
     many = kinds.filter("n > 1").select("key", "cls")
-    whole = whole.unionByName(mixed.join(many, ["key", "cls"]).select("row", F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))
+    whole = whole.unionByName(mixed.join(many, ["key", "cls"]).select(*span))
     ships = kinds.select("key", "one.*", (F.col("n") == 1).alias("single"))
     crowded = settle(kinds.groupBy("key").count().filter(F.col("count") > most).select("key"))
     spans = [whole]
@@ -349,11 +371,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int
     spans.append(_compared(_contents(rows, ships, length), length))
     out = spans[0]
     for s in spans[1:]:
-        out = out.unionByName(s)
+        out = out.unionByName(s, allowMissingColumns=True)
     return out
 
 
-def _merged(spans: list, n: int) -> list[tuple[int, int]]:
+def _merged(own: list | None, n: int) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for s in own or []:
+        spans += [(s["lo"], s["hi"])] if s["more"] is None else map(tuple, np.frombuffer(s["more"], "<i8").reshape(-1, 2).tolist())
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
@@ -370,7 +395,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _with_spans(rows: DataFrame, length: int, most: int) -> DataFrame:
     """row, doc_id, text, spans; a document has at most as many spans as anchors."""
-    spans = repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "more")).alias("spans"))
     return rows.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
 
 
@@ -383,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out = []
             for row, doc_id, text, own in zip(*[c.to_pylist() for c in batch.columns]):
                 data = text.encode("utf-8", "surrogatepass")
-                gone = _merged([(s["lo"], s["hi"]) for s in own or []], len(data))
+                gone = _merged(own, len(data))
                 at, kept = 0, []
                 for lo, hi in gone:
                     kept.append(data[at:lo])
@@ -419,7 +444,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
             for row, text, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 at, kept = 0, []
-                for lo, hi in _merged([(s["lo"], s["hi"]) for s in own or []], len(data)):
+                for lo, hi in _merged(own, len(data)):
                     lo, hi = whole_characters(data, lo, hi)
                     kept.append(data[at:lo])
                     at = max(at, hi)
@@ -427,10 +452,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
                 if left or not text:
                     out[0].append(row)
                     out[1].append(left if own else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["_cut", "_left"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["__lw_cut", "__lw_left"])
 
-    cut = _with_spans(rows, length, most).mapInArrow(run, "_cut long, _left string")
-    whole = docs.withColumn("_row", F.monotonically_increasing_id())
-    new = F.coalesce("_left", text_col)
-    columns = [new.alias(c) if c == text_col else F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return whole.join(cut, F.col("_row") == F.col("_cut")).select(*columns)
+    cut = _with_spans(rows, length, most).mapInArrow(run, "__lw_cut long, __lw_left string")
+    whole = docs.withColumn("__lw_row", F.monotonically_increasing_id())
+    new = F.coalesce("__lw_left", text_col)
+    columns = [new.alias(c) if c == text_col else F.when(F.col("__lw_left").isNull(), F.col(c)).otherwise(F.length("__lw_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return whole.join(cut, F.col("__lw_row") == F.col("__lw_cut")).select(*columns)
