@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import crossrefs
-from loomwork.runtime import shared_dir
+from loomwork.runtime import pin
 
 MOST_HOPS = 5
 
@@ -36,13 +36,15 @@ def forward_links(e: DataFrame, slug: str) -> DataFrame:
 def neighborhood(e: DataFrame, slug: str, depth: int = 2) -> DataFrame:
     """level, slug: pages by their distance from ``slug``, links taken either way; the start is left out."""
     spark = e.sparkSession
-    shared_dir(spark)
-    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    # every level reads the links again
+    e = pin(e.select("src", "dst"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = spark.createDataFrame([(0, slug)], "level int, slug string")
     front = seen
     for level in range(1, max(1, min(depth, MOST_HOPS)) + 1):
         reached = both.join(front.select(F.col("slug").alias("src")), "src").select(F.col("dst").alias("slug")).distinct()
-        front = reached.join(seen, "slug", "left_anti").select(F.lit(level).alias("level"), "slug").checkpoint()
+        front = reached.join(seen, "slug", "left_anti").select(F.lit(level).alias("level"), "slug")
+        front = pin(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
