@@ -11,12 +11,16 @@ and the others meet them there (but not one another).
 Which tokens are frequent comes from counts within each task, summed; the table
 has FREQUENT rows at most and only bears on speed: any order gives all links.
 
-Equal sets are one class. Classes that share a key are compared in two rounds.
+Equal sets are one class. Classes that share a key are compared in three rounds.
 First each with the class that stands first in most of its groups, which joins
 most of a group without comparing all pairs. Then, in groups that still hold
-several components, every pair across components. So no link that matters for
-components is lost and no group of alike texts costs more than its size. Large
-hubs are dealt over several tasks.
+several components, each class with the class of every other component that it
+shares most keys with; then every pair across components that is left. A pair is
+only compared if the keys it shares allow the similarity: all shared rare tokens
+of both prefixes are known, so what may still be common lies beyond them. Groups
+of many members are compared in blocks, which hand on only such pairs. So no
+link that matters for components is lost and no group of alike texts costs more
+than its size. Large hubs are dealt over several tasks.
 
 Defined results: null and empty texts have no shingles and no links; fewer than
 five words make one shingle; rows with one id are separate nodes, the component
@@ -42,6 +46,9 @@ FREQUENT = 1 << 18
 LEAST_COUNT = 6
 #: Frequent tokens in a prefix up to which combinations are indexed.
 COMBINE = 12
+#: Members of a key up to which they are joined, and classes of a family compared at a time.
+SMALL_GROUP = 24
+FAMILY_BLOCK = 1024
 #: Tokens counted at a time, and members of a hub that one task compares.
 COUNT_AT_ONCE = 1 << 22
 HUB = 512
@@ -82,8 +89,12 @@ def _frequent_tokens(rows: DataFrame, limit: int, least: int) -> tuple[np.ndarra
     return tokens[order], got.n.to_numpy(np.int64)[order]
 
 
+#: Roles of index entries. A SMALL entry meets only a LARGE one.
+RARE, SMALL, PAIR, LARGE = 0, 1, 2, 3
+
+
 def _keys_of(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int):
-    """(keys, roles) under which a set is indexed; role 1 meets only role 0."""
+    """(keys, roles, prefix size, frequent tokens in it) under which a set is indexed."""
     n = len(s)
     size = min(n, prefix_size(n, percent) + 1)
     at = np.searchsorted(tokens, s)
@@ -92,21 +103,22 @@ def _keys_of(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int
     often = s[common]
     left = size - len(rare)
     if left <= 0 or not len(often):
-        return rare, np.zeros(len(rare), np.int8)
+        return rare, np.full(len(rare), RARE, np.int8), size, 0
     often = often[np.lexsort((often, counts[at[common]]))][:left]
     # With no second token to share (a set of one), singles must do.
     if len(often) > COMBINE or n < 2 or size < 2:
-        return np.concatenate([rare, often]), np.zeros(len(rare) + len(often), np.int8)
+        return np.concatenate([rare, often]), np.repeat(np.array([RARE, LARGE], np.int8), [len(rare), len(often)]), size, len(often)
     i, j = np.triu_indices(len(often), 1)
     pairs = (often[i] ^ (often[j] * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(1)
-    roles = np.zeros(len(rare) + len(pairs) + len(often), np.int8)
-    roles[len(rare) + len(pairs) :] = 1
-    return np.concatenate([rare, pairs, often]), roles
+    roles = np.repeat(np.array([RARE, PAIR, SMALL], np.int8), [len(rare), len(pairs), len(often)])
+    return np.concatenate([rare, pairs, often]), roles, size, len(often)
 
 
 def _indexed(rows: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """kind 0: row, n, class of every set; kind 1: row, n, key, role of its index entries."""
+    """kind 0: row, n, class (as key), p, h of every set; kind 1: row, n, key, role of its index entries."""
     sent = rows.sparkSession.sparkContext.broadcast((tokens, counts))
+    names = ["kind", "row", "n", "key", "role", "p", "h"]
+    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int32(), pa.int32()]
 
     def run(batches):
         import xxhash
@@ -114,53 +126,46 @@ def _indexed(rows: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
         tokens, counts = sent.value
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             sets: list = []
-            out: list = [[], [], [], [], []]
-            for row, s in zip(ids, shingle_sets(batch.column(1))):
+            out: list = [[], [], [], []]
+            for row, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                sets.append((row, len(s), cls))
+                keys, roles, size, often = _keys_of(s, tokens, counts, percent) if len(s) else ((), (), 0, 0)
+                sets.append((0, row, len(s), cls, 0, size, often))
                 if not len(s) or cls in seen:  # one of equal sets speaks for all in this task
                     continue
                 seen.add(cls)
-                keys, roles = _keys_of(s, tokens, counts, percent)
-                out[0].append(np.full(len(keys), row, np.int64))
-                out[1].append(np.full(len(keys), len(s), np.int32))
-                out[2].append(keys.view(np.int64))
-                out[3].append(roles)
-            m = len(sets)
-            a = [np.array(c) for c in zip(*sets)] if m else [np.zeros(0)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(a[0].astype(np.int64)), pa.array(a[1].astype(np.int32)), pa.array(a[2].astype(np.int64)), pa.array(np.zeros(m, np.int8))], names=names)
+                for column, x in zip(out, (np.full(len(keys), row, np.int64), np.full(len(keys), len(s), np.int32), keys.view(np.int64), roles)):
+                    column.append(x)
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sets), kinds)], names=names)
             if out[0]:
-                c = [np.concatenate(x) for x in out[:4]]
+                c = [np.concatenate(x) for x in out]
                 for x in range(0, len(c[0]), 100_000):
-                    y = slice(x, x + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(c[0][y]), np.int8)), pa.array(c[0][y]), pa.array(c[1][y]), pa.array(c[2][y]), pa.array(c[3][y])], names=names)
+                    part = [v[x : x + 100_000] for v in c]
+                    zero = np.zeros(len(part[0]), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([zero + 1, *part, zero, zero], kinds)], names=names)
+
+    return rows.select("row", "text").mapInArrow(run, "kind byte, row long, n int, key long, role byte, p int, h int")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, tokens of the wanted rows (c)."""
+
+    def run(batches):
+        for batch in batches:
+            raw = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["row", "tokens"])
 
-    names = ["kind", "row", "n", "key", "role"]
-    return rows.select("row", "text").mapInArrow(run, "kind byte, row long, n int, key long, role byte")
+    return rows.select("row", "text").join(wanted.select(F.col("c").alias("row")).distinct(), "row", "left_semi").mapInArrow(run, "row long, tokens binary")
 
 
-def _linked(rows: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
+def _linked(sets: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
     """hub, other: those of the tested pairs that reach the similarity."""
-    tests = settle(tests)
     loads = tests.groupBy("hub").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
     members = tests.join(loads, "hub").select(F.col("other").alias("row"), "hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     hubs = loads.select(F.col("hub").alias("row"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    # A row's list is as long as the groups it is tested in; hubs of many members have one place for each HUB of them.
-    wanted = members.unionByName(hubs).groupBy("row").agg(F.collect_list(F.struct("hub", "part", "role")).alias("places"))
-    joined = rows.select("row", "text").join(wanted, "row")
-
-    def sets(batches):
-        for batch in batches:
-            for row, s, places in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), batch.column(2).to_pylist()):
-                raw = s.tobytes()
-                for a in range(0, len(places), 256):
-                    own = places[a : a + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p["hub"] for p in own], pa.int64()), pa.array([p["part"] for p in own], pa.int32()), pa.array([p["role"] for p in own], pa.int32()), pa.array([row] * len(own), pa.int64()), pa.array([raw] * len(own), pa.binary())],
-                        names=["hub", "part", "role", "row", "tokens"],
-                    )
+    shipped = members.unionByName(hubs).join(sets, "row").select("hub", "part", "role", "row", "tokens")
 
     def verify(batches):
         hub, own = None, None
@@ -180,10 +185,92 @@ def _linked(rows: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
                     found[1].append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["hub", "other"])
 
-    shipped = joined.mapInArrow(sets, "hub long, part int, role int, row long, tokens binary")
     return shipped.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(verify, "hub long, other long")
 
 
+def _across(named: DataFrame, percent: int) -> DataFrame:
+    """a, b, keys, ca, cb: pairs of classes of different components whose shared keys allow the similarity.
+
+    named: key, role, n, p, h, c, w, component. What two sets share is at most the
+    tokens shared by both prefixes and what either has beyond its prefix. Keys of
+    up to SMALL_GROUP members are joined; of the others it is only assumed here
+    that all are shared. Classes with such large keys form families, which are
+    compared block by block, with all shared keys counted.
+    """
+    sizes = named.groupBy("key").agg(F.count("*").alias("m"))
+    big = F.when(F.col("m") > SMALL_GROUP, F.col("w")).otherwise(0)
+    named = settle(named.join(sizes, "key").withColumn("big", big))
+    heavy = named.groupBy("c").agg(F.sum("big").alias("b"))
+    x = named.filter("big = 0").join(heavy, "c").alias("x")
+    y = named.filter("big = 0").join(heavy, "c").alias("y")
+    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    meet = (F.col("x.role") != SMALL) | (F.col("y.role") != SMALL)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near & meet)
+    # frequent tokens are either in pairs, or single in small or large groups: of all of them it is assumed
+    unknown = F.least(F.col("x.h") + F.col("x.b"), F.col("y.h") + F.col("y.b"))
+    pairs = across.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(
+        F.sum(F.when((F.col("x.role") == RARE) & (F.col("y.role") == RARE), F.col("x.w")).otherwise(0)).alias("rare"), F.sum("x.w").alias("keys"),
+        F.first("x.component").alias("ca"), F.first("y.component").alias("cb"), F.first(unknown).alias("often"),
+        F.first(F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))).alias("beyond"),
+        F.first(F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))).alias("needed"),
+    )
+    pairs = pairs.filter(F.col("rare") + F.col("often") + F.col("beyond") >= F.col("needed")).select("a", "b", "keys", "ca", "cb")
+    large = named.filter("big > 0")
+    if large.isEmpty():
+        return pairs
+
+    first = F.min("c").over(Window.partitionBy("key"))
+    family = components(large.select("key", "c", first.alias("first")), "first", "c").select(F.col("node").alias("c"), F.col("component").alias("family"))
+    # Every key of a class in a family; pairs of tokens bring classes together, single tokens also count.
+    weight = F.when(F.col("role") == PAIR, 0).otherwise(F.col("w")).alias("w")
+    whole = named.join(family, "c").groupBy("family", "c").agg(
+        F.collect_list(F.struct("key", weight)).alias("keys"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("h").alias("h"), F.first("component").alias("component")
+    )
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("k"))
+    dealt = whole.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "n", "p", "h", "component", F.col("keys.key").alias("key"), F.col("keys.w").alias("w"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, n, p, h, comp, own = (table.column(k).to_numpy() for k in ("c", "n", "p", "h", "component", "own"))
+        few = np.where(h <= COMBINE, h, 0)  # of these the frequent tokens are known in pairs only
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lists = table.column("key").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        keys, weight = lists.flatten().to_numpy(), table.column("w").combine_chunks().flatten().to_numpy()
+        order = np.argsort(keys, kind="stable")
+        doc = np.repeat(np.arange(len(c)), sizes)[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        ends = np.append(starts[1:], len(keys))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        out: list[list] = [[], [], [], [], []]
+        for r in range(len(c)):
+            if i != j and own[r] != i:
+                continue
+            mine = group[at[r] : at[r + 1]]
+            members = np.concatenate([doc[starts[g] : ends[g]] for g in mine]) if len(mine) else doc[:0]
+            met = np.bincount(members, minlength=len(c)) > 0
+            shared = np.bincount(members, weights=np.repeat(weight[at[r] : at[r + 1]], ends[mine] - starts[mine]), minlength=len(c))
+            needed = np.ceil(percent * (n[r] + n) / (100 + percent))
+            ok = met & (comp != comp[r]) & (shared + np.minimum(few[r], few) + np.maximum(n[r] - p[r], n - p) >= needed) & (n * 100 >= n[r] * percent) & (n[r] * 100 >= n * percent)
+            ok &= (own == j) if i != j else (np.arange(len(c)) > r)
+            for o in np.flatnonzero(ok).tolist():
+                a, b = (r, o) if comp[r] < comp[o] else (o, r)
+                for column, v in zip(out, (c[a], c[b], int(shared[o]), comp[a], comp[b])):
+                    column.append(int(v))
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "keys", "ca", "cb"), out)})
+
+    found = dealt.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long, keys long, ca long, cb long")
+    return pairs.unionByName(found).groupBy("a", "b").agg(F.max("keys").alias("keys"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+
+
+def _tested(rows: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
+    """_linked() over the sets of those that are tested."""
+    wanted = tests.select(F.col("hub").alias("c")).unionByName(tests.select(F.col("other").alias("c")))
+    return _linked(stored(_sets(rows, wanted), "sets"), tests, percent)
+
+
 def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT) -> DataFrame:
     """doc_id, n_shingles, component_id, row (in scan order), class_row, n_links (of its class, as found)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -193,39 +280,55 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
     # One pass writes both kinds; index entries whose key nobody shares end here.
     shared = Window.partitionBy("kind", "_k")
     entries = index.withColumn("_k", F.when(F.col("kind") == 1, F.col("key")).otherwise(F.col("row")))
-    entries = entries.withColumn("_n", F.count("*").over(shared)).withColumn("_full", F.min("role").over(shared))
-    entries = stored(entries.filter((F.col("kind") == 0) | ((F.col("_n") > 1) & (F.col("_full") == 0))).drop("_k", "_n", "_full"), "entries")
-    sets = entries.filter("kind = 0").select("row", "n", F.col("key").alias("cls"))
+    entries = entries.withColumn("_n", F.count("*").over(shared)).withColumn("_full", F.max((F.col("role") != SMALL).cast("int")).over(shared))
+    entries = stored(entries.filter((F.col("kind") == 0) | ((F.col("_n") > 1) & (F.col("_full") == 1))).drop("_k", "_n", "_full"), "entries")
+    sets = entries.filter("kind = 0").select("row", "n", F.col("key").alias("cls"), "p", "h")
     first = sets.filter("n > 0").groupBy("cls", "n").agg(F.min("row").alias("class_row"))
-    members = settle(sets.join(first, ["cls", "n"], "left").select("row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_row", "row").alias("class_row")))
+    members = settle(sets.join(first, ["cls", "n"], "left").select("row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_row", "row").alias("class_row"), "p", "h"))
 
-    groups = entries.filter("kind = 1").join(members.select("row", "class_row"), "row").select("key", "role", "n", F.col("class_row").alias("c")).distinct()
+    groups = entries.filter("kind = 1").drop("p", "h").join(members.select("row", "class_row", "p", "h"), "row").select("key", "role", "n", "p", "h", F.col("class_row").alias("c")).distinct()
     per = Window.partitionBy("key")
     groups = settle(groups.withColumn("_lo", F.min("c").over(per)).withColumn("_hi", F.max("c").over(per)).filter("_lo <> _hi").drop("_lo", "_hi"))
 
-    # Round one: the first full member of about one size stands for its group.
+    # Keys with the same members, such as those of one passage, go on as one with its weight.
+    marks = groups.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("c", "role")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "c"), F.lit(1 << 40))).alias("y"), F.count("*").alias("m"), F.min("role").alias("r")
+    )
+    stands = marks.groupBy("x", "y", "m", "r").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
+    groups = settle(groups.join(stands, "key"))
+
+    # Round one: the full member of about one size that shares most keys stands for its group.
+    # What copies were made from has no words of its own, so all of its prefix is shared.
+    share = groups.groupBy("c").agg(F.sum("w").alias("e"))
+    joint = groups.join(share, "c")
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    line = Window.partitionBy("key", "band").orderBy("role", "n", "c")
-    stars = groups.withColumn("band", band).withColumn("hub", F.first("c").over(line)).withColumn("_r", F.first("role").over(line))
-    stars = stars.filter("hub <> c and _r = 0").groupBy("hub", "c").agg(F.count("*").alias("keys"))
+    small = (F.col("role") == SMALL).cast("int")
+    line = Window.partitionBy("key", "band").orderBy("_small", F.desc("e"), "n", "c")
+    stars = joint.withColumn("band", band).withColumn("_small", small).withColumn("hub", F.first("c").over(line)).withColumn("_s", F.first("_small").over(line))
+    stars = stars.filter("hub <> c and _s = 0").groupBy("hub", "c").agg(F.sum("w").alias("keys"))
     tests = stars.groupBy("c").agg(F.max(F.struct("keys", "hub")).alias("best")).select("best.hub", F.col("c").alias("other"))
-    tests = settle(tests)
-    links = settle(_linked(rows, tests, percent))
+    done = settle(tests.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other")).distinct())
+    links = settle(_tested(rows, done, percent))
     found = components(links, "hub", "other")
 
-    # Round two: what shares a key but no component yet.
-    labels = found.select(F.col("node").alias("c"), "component")
-    named = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    named = named.withColumn("_lo", F.min("component").over(per)).withColumn("_hi", F.max("component").over(per)).filter("_lo <> _hi").drop("_lo", "_hi")
-    named = settle(named)
-    if named.limit(1).count():
-        x, y = named.alias("x"), named.alias("y")
-        near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near & (F.col("x.role") + F.col("y.role") < 2))
-        pairs = across.select(F.least("x.c", "y.c").alias("hub"), F.greatest("x.c", "y.c").alias("other")).distinct()
-        done = tests.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))
-        more = settle(_linked(rows, pairs.join(done, ["hub", "other"], "left_anti"), percent))
-        links = links.unionByName(more)
+    # Rounds two and three: what shares keys but no component yet.
+    for every in (False, True):
+        labels = found.select(F.col("node").alias("c"), "component")
+        named = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
+        named = settle(named.withColumn("_lo", F.min("component").over(per)).withColumn("_hi", F.max("component").over(per)).filter("_lo <> _hi").drop("_lo", "_hi"))
+        if named.isEmpty():
+            break
+        pairs = _across(named, percent)
+        if not every:
+            pairs = settle(pairs)
+            one = lambda c, other: pairs.groupBy(c, other).agg(F.max(F.struct("keys", "a", "b")).alias("best")).select("best.a", "best.b")
+            pairs = one("a", "cb").unionByName(one("b", "ca"))
+        pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
+        fresh = settle(pairs.join(done, ["hub", "other"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        done = done.unionByName(fresh)
+        links = settle(links.unionByName(_tested(rows, fresh, percent)))
         found = components(links, "hub", "other")
 
     degree = links.select(F.col("hub").alias("c")).unionByName(links.select(F.col("other").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
@@ -245,6 +348,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row"))
     # A component is as large as its group of copies, so its first row is found by sums, not by a sorted window.
     first = found.withColumn("_alone", alone).groupBy("component_id", "_alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    kept = first.select(F.col("best.row").alias("_kept"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = first.select(F.col("best.row").alias("__lw_kept"))
+    rows = docs.withColumn("__lw_row", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("__lw_row") == F.col("__lw_kept"), "left_semi").select(*docs.columns)
