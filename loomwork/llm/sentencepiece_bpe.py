@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN = 0
 #: Parts that a worker remembers before it starts afresh.
-CACHE = 500_000
+CACHE = 300_000
+#: Texts encoded at a time.
+SLICE = 256
 
 
 class PieceTable:
@@ -189,20 +192,22 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model_file or default_model())
-        for batch in batches:
-            n, a, b, ids, texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                csv = table.encode_csv(text or "")
-                decoded = table.decode_csv(csv)
-                n.append(csv.count(",") + 1 if csv else 0)
-                a.append(hashlib.sha256(csv.encode()).hexdigest())
-                b.append(hashlib.sha256(decoded.encode()).hexdigest())
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                n, a, b, ids, texts = [], [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    csv = table.encode_csv(text or "")
+                    decoded = table.decode_csv(csv)
+                    n.append(csv.count(",") + 1 if csv else 0)
+                    a.append(hashlib.sha256(csv.encode()).hexdigest())
+                    b.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        ids.append(np.array(csv.split(",") if csv else [], np.int32))
+                        texts.append(decoded)
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 if with_ids:
-                    ids.append([int(x) for x in csv.split(",")] if csv else [])
-                    texts.append(decoded)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in schema.split(", ")])
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
