@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN = 0
 #: Parts that a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 150_000
 #: Texts encoded at a time.
 SLICE = 256
 
@@ -143,7 +143,7 @@ class PieceTable:
             pass
         if len(known) > CACHE:
             known.clear()
-        if len(self.pairs) > 4 * CACHE:
+        if len(self.pairs) > 2 * CACHE:
             self.pairs.clear()
         own = {}
         for p in set(parts):

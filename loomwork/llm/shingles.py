@@ -11,7 +11,7 @@ from loomwork.llm.suffix_dedup import BYTE_VALUE, powers
 
 WORDS = 5
 #: Bytes of text hashed at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _lower = np.arange(256)
 _lower[65:91] += 32

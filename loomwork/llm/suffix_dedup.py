@@ -41,7 +41,7 @@ K = 64
 #: Contents of one key that a task compares.
 MOST = 1024
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _rng = np.random.default_rng(20240)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

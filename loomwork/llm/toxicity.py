@@ -43,7 +43,7 @@ FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.7
 #: Words whose terms a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 words_of = re.compile(r"[^\W_]+").findall
 
