@@ -20,7 +20,10 @@ only compared if the keys it shares allow the similarity: all shared rare tokens
 of both prefixes are known, so what may still be common lies beyond them. Groups
 of many members are compared in blocks, which hand on only such pairs. So no
 link that matters for components is lost and no group of alike texts costs more
-than its size. Large hubs are dealt over several tasks.
+than its size. Large hubs are dealt over several tasks. Links inside a component
+are not looked for by these rounds: who asks for the number of links gets a pass
+that verifies every pair which may be linked, block by block in groups of alike
+texts.
 
 Defined results: null and empty texts have no shingles and no links; fewer than
 five words make one shingle; rows with one id are separate nodes, the component
@@ -188,8 +191,11 @@ def _linked(sets: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
     return shipped.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(verify, "hub long, other long")
 
 
-def _across(named: DataFrame, percent: int) -> DataFrame:
-    """a, b, keys, ca, cb: pairs of classes of different components whose shared keys allow the similarity.
+def _may_link(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(pairs, family, dealt): what may be linked across components by small keys, and the families of large keys.
+
+    pairs: a, b, keys, ca, cb. family: c, family; dealt: the keys of the classes
+    of each family, for every two of its blocks; both None without large keys.
 
     named: key, role, n, p, h, c, w, component. What two sets share is at most the
     tokens shared by both prefixes and what either has beyond its prefix. Keys of
@@ -217,10 +223,10 @@ def _across(named: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.filter(F.col("rare") + F.col("often") + F.col("beyond") >= F.col("needed")).select("a", "b", "keys", "ca", "cb")
     large = named.filter("big > 0")
     if large.isEmpty():
-        return pairs
+        return pairs, None, None
 
     first = F.min("c").over(Window.partitionBy("key"))
-    family = components(large.select("key", "c", first.alias("first")), "first", "c").select(F.col("node").alias("c"), F.col("component").alias("family"))
+    family = settle(components(large.select("key", "c", first.alias("first")), "first", "c").select(F.col("node").alias("c"), F.col("component").alias("family")))
     # Every key of a class in a family; pairs of tokens bring classes together, single tokens also count.
     weight = F.when(F.col("role") == PAIR, 0).otherwise(F.col("w")).alias("w")
     whole = named.join(family, "c").groupBy("family", "c").agg(
@@ -229,32 +235,47 @@ def _across(named: DataFrame, percent: int) -> DataFrame:
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("k"))
     dealt = whole.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "n", "p", "h", "component", F.col("keys.key").alias("key"), F.col("keys.w").alias("w"))
+    return pairs, family, dealt
+
+
+def _masks(table: pa.Table, percent: int):
+    """(r, shared keys of r and each class, which of these may be linked to r) in two blocks of a family; each pair once."""
+    c, n, p, h, comp, own = (table.column(k).to_numpy() for k in ("c", "n", "p", "h", "component", "own"))
+    few = np.where(h <= COMBINE, h, 0)  # of these the frequent tokens are known in pairs only
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    lists = table.column("key").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    keys, weight = lists.flatten().to_numpy(), table.column("w").combine_chunks().flatten().to_numpy()
+    order = np.argsort(keys, kind="stable")
+    doc = np.repeat(np.arange(len(c)), sizes)[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    ends = np.append(starts[1:], len(keys))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for r in range(len(c)):
+        if i != j and own[r] != i:
+            continue
+        mine = group[at[r] : at[r + 1]]
+        members = np.concatenate([doc[starts[g] : ends[g]] for g in mine]) if len(mine) else doc[:0]
+        met = np.bincount(members, minlength=len(c)) > 0
+        shared = np.bincount(members, weights=np.repeat(weight[at[r] : at[r + 1]], ends[mine] - starts[mine]), minlength=len(c))
+        needed = np.ceil(percent * (n[r] + n) / (100 + percent))
+        ok = met & (comp != comp[r]) & (shared + np.minimum(few[r], few) + np.maximum(n[r] - p[r], n - p) >= needed) & (n * 100 >= n[r] * percent) & (n[r] * 100 >= n * percent)
+        ok &= (own == j) if i != j else (np.arange(len(c)) > r)
+        yield r, shared, ok
+
+
+def _across(named: DataFrame, percent: int) -> DataFrame:
+    """a, b, keys, ca, cb: pairs of classes of different components whose shared keys allow the similarity."""
+    pairs, family, dealt = _may_link(named, percent)
+    if family is None:
+        return pairs
 
     def compare(table: pa.Table) -> pa.Table:
-        c, n, p, h, comp, own = (table.column(k).to_numpy() for k in ("c", "n", "p", "h", "component", "own"))
-        few = np.where(h <= COMBINE, h, 0)  # of these the frequent tokens are known in pairs only
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        lists = table.column("key").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        keys, weight = lists.flatten().to_numpy(), table.column("w").combine_chunks().flatten().to_numpy()
-        order = np.argsort(keys, kind="stable")
-        doc = np.repeat(np.arange(len(c)), sizes)[order]
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
-        ends = np.append(starts[1:], len(keys))
-        at = np.concatenate([[0], np.cumsum(sizes)])
+        c, comp = (table.column(k).to_numpy() for k in ("c", "component"))
         out: list[list] = [[], [], [], [], []]
-        for r in range(len(c)):
-            if i != j and own[r] != i:
-                continue
-            mine = group[at[r] : at[r + 1]]
-            members = np.concatenate([doc[starts[g] : ends[g]] for g in mine]) if len(mine) else doc[:0]
-            met = np.bincount(members, minlength=len(c)) > 0
-            shared = np.bincount(members, weights=np.repeat(weight[at[r] : at[r + 1]], ends[mine] - starts[mine]), minlength=len(c))
-            needed = np.ceil(percent * (n[r] + n) / (100 + percent))
-            ok = met & (comp != comp[r]) & (shared + np.minimum(few[r], few) + np.maximum(n[r] - p[r], n - p) >= needed) & (n * 100 >= n[r] * percent) & (n[r] * 100 >= n * percent)
-            ok &= (own == j) if i != j else (np.arange(len(c)) > r)
+        for r, shared, ok in _masks(table, percent):
             for o in np.flatnonzero(ok).tolist():
                 a, b = (r, o) if comp[r] < comp[o] else (o, r)
                 for column, v in zip(out, (c[a], c[b], int(shared[o]), comp[a], comp[b])):
@@ -271,8 +292,83 @@ def _tested(rows: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
     return _linked(stored(_sets(rows, wanted), "sets"), tests, percent)
 
 
-def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (in scan order), class_row, n_links (of its class, as found)."""
+def _links_in_families(rows: DataFrame, dealt: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """c, n_links: linked rows of other classes in the same family.
+
+    Of each two blocks only what may be linked comes together as whole sets, with
+    a bit for each pair to be verified, so pairs are never rows.
+    """
+
+    def mark(table: pa.Table) -> pa.Table:
+        c = table.column("c").to_numpy()
+        masks = np.zeros((len(c), len(c)), bool)
+        for r, _, ok in _masks(table, percent):
+            masks[r] = ok
+        keep = np.flatnonzero(masks.any(0) | masks.any(1))
+        keep = keep[np.argsort(c[keep])]
+        bits = [np.packbits(masks[r, keep]).tobytes() for r in keep]
+        first = {k: table.column(k)[0] for k in ("family", "i", "j")}
+        out = {k: pa.array([v.as_py()] * len(keep), v.type) for k, v in first.items()}
+        return pa.table(out | {"c": pa.array(c[keep], pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("c")
+        c, size = table.column("c").to_numpy(), table.column("size").to_numpy()
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
+        n = np.array([len(s) for s in sets])
+        at = np.concatenate([[0], np.cumsum(n)])
+        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        own, got = np.zeros(int(token.max()) + 1, bool), np.zeros(len(c), np.int64)
+        for r, bits in enumerate(table.column("bits")):
+            others = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(c)))
+            if not len(others):
+                continue
+            own[token[at[r] : at[r + 1]]] = True
+            starts = np.concatenate([[0], np.cumsum(n[others])[:-1]])
+            both = np.add.reduceat(own[token[np.arange(n[others].sum()) + np.repeat(at[others] - starts, n[others])]].astype(np.int64), starts)
+            own[token[at[r] : at[r + 1]]] = False
+            linked = others[100 * both >= percent * (n[r] + n[others] - both)]
+            got[r] += size[linked].sum()
+            got[linked] += size[r]
+        return pa.table({"c": pa.array(c, pa.int64()), "n_links": pa.array(got, pa.int64())})
+
+    near = stored(dealt.groupBy("family", "i", "j").applyInArrow(mark, "family long, i int, j int, c long, bits binary"), "near")
+    sets = stored(_sets(rows, near.select("c")), "sets")
+    whole = near.join(sets.withColumnRenamed("row", "c"), "c").join(copies, "c")
+    return whole.groupBy("family", "i", "j").applyInArrow(verify, "c long, n_links long")
+
+
+def _all_links(rows: DataFrame, members: DataFrame, groups: DataFrame, links: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """class_row, n_links: how many other rows each row of a class is linked to, inside its component too.
+
+    links: those found among the pairs ``done``. Pairs in one family are all verified
+    there; the others are tested unless they were.
+    """
+    pairs, family, dealt = _may_link(groups.withColumn("component", F.col("c")), percent)
+    pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
+    copies = settle(members.filter("n_shingles > 0").groupBy(F.col("class_row").alias("c")).agg(F.count("*").alias("size")))
+    pairs = pairs.join(done, ["hub", "other"], "left_anti")
+    if family is not None:
+        one, two = family.select(F.col("c").alias("hub"), F.col("family").alias("_f")), family.select(F.col("c").alias("other"), F.col("family").alias("_g"))
+        apart = lambda p: p.join(one, "hub", "left").join(two, "other", "left").filter("_f is null or _g is null or _f <> _g").select("hub", "other")
+        pairs, links = apart(pairs), apart(links)
+    pairs = settle(pairs)
+    links = settle(links.unionByName(_tested(rows, pairs, percent)))
+    each = links.select(F.col("hub").alias("c"), F.col("other").alias("d")).unionByName(links.select(F.col("other").alias("c"), F.col("hub").alias("d")))
+    counts = each.join(copies.withColumnRenamed("c", "d"), "d").select("c", F.col("size").alias("n_links"))
+    if family is not None:
+        counts = counts.unionByName(_links_in_families(rows, dealt, copies, percent))
+    counts = counts.unionByName(copies.select("c", (F.col("size") - 1).alias("n_links")))
+    return counts.groupBy(F.col("c").alias("class_row")).agg(F.sum("n_links").alias("n_links"))
+
+
+def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, row (in scan order), class_row.
+
+    With count_links also n_links: how many other rows are linked to this one, all
+    pairs verified, equal sets and pairs inside a component too. This is a pass of
+    its own, which components do not need.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     ids = rows.select("row", "doc_id")
     tokens, counts = _frequent_tokens(rows, frequent, least)
@@ -331,15 +427,14 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
         links = settle(links.unionByName(_tested(rows, fresh, percent)))
         found = components(links, "hub", "other")
 
-    degree = links.select(F.col("hub").alias("c")).unionByName(links.select(F.col("other").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
     labels = settle(found.select(F.col("node").alias("class_row"), "component"))
     out = members.join(labels, "class_row", "left").withColumn("component", F.coalesce("component", "class_row")).join(ids, "row")
     least_id = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return (
-        out.join(least_id, "component")
-        .join(degree.withColumnRenamed("c", "class_row"), "class_row", "left")
-        .select("doc_id", "n_shingles", "component_id", "row", "class_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    out = out.join(least_id, "component")
+    if count_links:
+        n_links = settle(_all_links(rows, members, groups, links, done, percent))
+        out = out.join(n_links, "class_row", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return out.select("doc_id", "n_shingles", "component_id", "row", "class_row", *(["n_links"] if count_links else []))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -36,6 +36,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard_join.join(table(spark, sf_dir, "documents"), count_links=True)
+    return got.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,9 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM
 SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY 1) m ON m.x = n.doc_id
 """
 
+# The same rows with the number of other documents that each one is linked to.
+OP6_LINKS_SQL = OP6_SQL.replace("SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM", "SELECT n.doc_id, n.n AS n_shingles, m.component_id, (SELECT count(*) FROM l WHERE l.x = n.doc_id) AS n_links FROM")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_jaccard_join": OP6_SQL}
+    return {"op4_warc": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op6_jaccard_links": OP6_LINKS_SQL}

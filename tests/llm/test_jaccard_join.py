@@ -74,3 +74,33 @@ def test_one_of_each(spark, tmp_path):
     assert {str(r.doc_id) for r in rows if (r.text or "").split()} == want
     assert len(rows) == len(want) + sum(not (r.text or "").split() for r in df.collect())  # the wordless ones stay
     assert jj.join(df.limit(0)).count() == 0
+
+
+def brute_links(rows):
+    sets = sets_of([t for _, t in rows])
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted((str(i), sum(bool(linked(a, b)) for y, b in enumerate(sets) if y != x)) for x, ((i, _), a) in enumerate(zip(rows, sets)))
+
+
+def alike(n):
+    """Near copies of one text, all in one component but not all linked."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        b = list(base)
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(len(b))] = f"x{rng.randrange(1000)}"
+        rows.append((5000 + i, " ".join(b), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"least": 1}, {"frequent": 20}])
+def test_links_inside_components_are_counted(spark, tmp_path, options, monkeypatch):
+    monkeypatch.setattr(jj, "FAMILY_BLOCK", 40)
+    df = stored(spark, fixture() + edge_rows() + alike(130), DOC, tmp_path / "d")
+    got = sorted((str(r.doc_id), r.n_links) for r in jj.join(df, count_links=True, **options).collect())
+    want = brute_links([(r.doc_id, r.text) for r in df.collect()])
+    assert got == want
+    inside = [n for i, n in want if i.isdigit() and int(i) >= 5000]
+    assert 1 < sum(inside) < 130 * 129
