@@ -1,8 +1,9 @@
 """Quality: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols, ORDER at a time: UTF-8 bytes folded to 64 classes
-(letters without case, digits, kinds of white space and punctuation, the rest by
-their value), so a gram is one number. Documents are dealt to blocks by hash of
+The model is over symbols, ORDER at a time: all UTF-8 bytes as they are, so that
+case, control bytes and any script count, and what is gathered grows with the
+text; ORDER symbols make one 64-bit number, none of them folded onto another.
+Order of words beyond ORDER bytes is not seen. Documents are dealt to blocks by hash of
 their id, as compressed packs. Each block sends the distinct grams it holds; all
 counts, continuation counts and discounts are sums and joins over tables sharded
 by gram; and the grams' probabilities are joined back to their blocks, where
@@ -10,7 +11,9 @@ each document's perplexity is summed up. No task or driver ever holds the model.
 
 Trusted are documents labelled quality 1. A document is kept if its perplexity is
 at most its language's quantile of the trusted documents' perplexities (of all
-trusted ones where the language has fewer than LEAST_TRUSTED).
+trusted ones where the language has fewer than LEAST_TRUSTED). For this quantile
+the trusted are dealt to two halves by hash of their id, and each is scored by the
+model of the other half: of a text that it was made from, a model thinks too well.
 
 Defined results: null and empty texts have perplexity 1.0 and are kept; without
 trusted documents all are kept and the threshold is null; null languages are a
@@ -27,47 +30,36 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import settle, stored, text_of
 
-ORDER = 4
-BITS = 6
+ORDER = 5
+#: A byte and 0, the pad, which is no byte of a text.
+BITS = 9
 SYMBOLS = 1 << BITS
 QUANTILE = 0.99
 LEAST_TRUSTED = 20
-#: Bytes of text aimed at in a block.
+#: Bytes of text aimed at in a block, and grams held before they are counted together.
 BLOCK_BYTES = 8_000_000
-
-
-def _fold() -> np.ndarray:
-    """Classes 1-26 letters, 27 digits, 28 space, 29 other white space, 30-41 punctuation, 42-63 bytes beyond ASCII; 0 pads."""
-    out = np.zeros(256, np.uint32)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 42 + b % 22
-        elif c.isalpha():
-            out[b] = ord(c.lower()) - 96
-        elif c.isdigit():
-            out[b] = 27
-        elif c == " ":
-            out[b] = 28
-        elif c.isspace():
-            out[b] = 29
-        else:
-            out[b] = 30 + b % 12
-    return out
-
-
-FOLD = _fold()
+HELD_GRAMS = 1 << 20
 
 
 def grams(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The gram that ends at each byte; the text is preceded by pads."""
-    s = np.concatenate([np.zeros(order - 1, np.uint32), FOLD[data]])
-    g = np.zeros(len(data), np.uint32)
+    assert order * BITS < 64
+    s = np.concatenate([np.zeros(order - 1, np.int64), data.astype(np.int64) + 1])
+    g = np.zeros(len(data), np.int64)
     for j in range(order):
-        g |= s[j : j + len(data)] << np.uint32(BITS * (order - 1 - j))
+        g |= s[j : j + len(data)] << (BITS * (order - 1 - j))
     return g
 
 
+def _summed(gram: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and the sums of n."""
+    g, c = np.concatenate(gram), np.concatenate(n)
+    order = np.argsort(g)
+    g = g[order]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[starts], np.add.reduceat(c[order], starts) if len(g) else c
+
+
 def _pack(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         import zstandard
@@ -111,21 +103,26 @@ def _documents(table: pa.Table):
 
 
 def _block_grams(packs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
-    """block, gram, n: the distinct grams of a block and how often its trusted documents have them."""
+    """block, gram, n, n1: the distinct grams of a block and how often its trusted documents, and those of half 1, have them."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = set(right.column("doc_id").to_pylist())
-        seen, n = np.zeros(SYMBOLS**order, bool), np.zeros(SYMBOLS**order, np.int32)
+        ids = dict(zip(right.column("doc_id").to_pylist(), right.column("half").to_pylist()))
+        none = np.zeros((0, 2), np.int64)
+        g, n = [none[:, 0]], [none]
+        held = 0
         for doc_id, _, data in _documents(left):
-            g = grams(data, order)
-            seen[g] = True
-            if doc_id in ids:
-                at, c = np.unique(g, return_counts=True)
-                n[at] += c.astype(np.int32)
-        at = np.flatnonzero(seen)
-        return pa.table({"block": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "gram": pa.array(at.astype(np.int64)), "n": pa.array(n[at].astype(np.int64))})
+            own, c = np.unique(grams(data, order), return_counts=True)
+            g.append(own)
+            half = ids.get(doc_id)
+            n.append(np.outer(c, [half is not None, half == 1]).astype(np.int64))
+            held += len(own)
+            if held >= HELD_GRAMS:
+                one = _summed(g, n)
+                g, n, held = [one[0]], [one[1]], 0
+        at, n = _summed(g, n)
+        return pa.table({"block": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "gram": pa.array(at), "n": pa.array(n[:, 0]), "n1": pa.array(n[:, 1])})
 
-    return packs.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram long, n long")
+    return packs.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram long, n long, n1 long")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -167,37 +164,60 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
 
 
 def _scores(packs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
+    names = ["perplexity", "by_0", "by_1"]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        logp = np.zeros(SYMBOLS**order, np.float32)
-        logp[right.column("gram").to_numpy()] = np.log(right.column("p").to_numpy())
-        ids, langs, sizes, ppl = [], [], [], []
+        known = right.column("gram").to_numpy()
+        by = np.argsort(known)
+        known, logp = known[by], [np.log(right.column(k).to_numpy()[by]) for k in ("p", "p0", "p1")]
+        ids, langs, sizes = [], [], []
+        ppl: list[list] = [[], [], []]
         for doc_id, lang, data in _documents(left):
             ids.append(doc_id)
             langs.append(lang)
             sizes.append(len(data))
-            ppl.append(float(np.exp(-logp[grams(data, order)].mean(dtype=np.float64))) if len(data) else 1.0)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n_bytes": pa.array(sizes, pa.int64()), "perplexity": pa.array(ppl, pa.float64())})
+            g, n = np.unique(grams(data, order), return_counts=True)
+            at = np.searchsorted(known, g)
+            for column, x in zip(ppl, logp):
+                column.append(float(np.exp(-(x[at] * n).sum() / len(data))) if len(data) else 1.0)
+        columns = {k: pa.array(v, pa.float64()) for k, v in zip(names, ppl)}
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n_bytes": pa.array(sizes, pa.int64())} | columns)
 
-    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double")
+    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double, by_0 double, by_1 double")
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity of every row; trusted_ids: doc_id, distinct."""
+def _half(c: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), c.cast("long")), F.lit(2)).cast("int").alias("half")
+
+
+def _all_perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int, id_col: str, text_col: str) -> DataFrame:
+    """As perplexities(), with by_0 and by_1 under the models of either half; these are of trusted documents of the other one only."""
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     packs = _pack(docs, blocks, id_col, text_col)
-    trusted = trusted_ids.select(_block(F.col("doc_id"), blocks), F.col("doc_id").cast("long").alias("doc_id"))
+    trusted = trusted_ids.select(_block(F.col("doc_id"), blocks), F.col("doc_id").cast("long").alias("doc_id"), _half(F.col("doc_id")))
     held = stored(_block_grams(packs, trusted, order), "grams")
-    counts = held.groupBy("gram").agg(F.sum("n").alias("c")).filter("c > 0")
-    answers = held.select("block", "gram").join(probabilities(settle(counts), settle(held.select("gram").distinct()), order), "gram")
-    return _scores(packs, answers, order)
+    sums = settle(held.groupBy("gram").agg(F.sum("n").alias("c"), F.sum("n1").alias("c1")))
+    model = lambda c: settle(sums.select("gram", c.alias("c")).filter("c > 0"))
+    one, two = F.col("c") - F.col("c1"), F.col("c1")
+    p = probabilities(model(F.col("c")), sums.select("gram"), order)
+    # each half is asked for the grams of the other one
+    p0 = probabilities(model(one), sums.filter(two > 0).select("gram"), order).withColumnRenamed("p", "p0")
+    p1 = probabilities(model(two), sums.filter(one > 0).select("gram"), order).withColumnRenamed("p", "p1")
+    answers = held.select("block", "gram").join(settle(p.join(p0, "gram", "left").join(p1, "gram", "left")), "gram")
+    return _scores(packs, answers.select("block", "gram", "p", *[F.coalesce(k, F.lit(float("nan"))).alias(k) for k in ("p0", "p1")]), order)
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity of every row; trusted_ids: doc_id, distinct."""
+    return _all_perplexities(docs, trusted_ids, order, id_col, text_col).drop("by_0", "by_1")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, keep."""
     trusted = settle(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    scored = settle(perplexities(docs, trusted, order))
-    known = scored.join(trusted, "doc_id", "left_semi").filter("n_bytes > 0")
+    scored = settle(_all_perplexities(docs, trusted, order, "doc_id", "text"))
+    known = scored.join(trusted, "doc_id", "left_semi").filter("n_bytes > 0").withColumn("perplexity", F.when(_half(F.col("doc_id")) == 0, F.col("by_1")).otherwise(F.col("by_0")))
     # Sketches of quantiles merge, so a language may hold any share of the rows.
     per = known.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     whole = known.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("all"))

@@ -77,6 +77,21 @@ def test_quality_edges(spark, tmp_path):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_no_symbols_are_folded(spark, tmp_path):
+    assert len(set(quality.grams(np.arange(256, dtype=np.uint8), 1).tolist())) == 256
+    rng = random.Random(6)
+    clean = lambda: " ".join(rng.choice(["größe", "straße", "über", "haus", "garten", "wetter"]) for _ in range(40))
+    rows = [(i, clean(), "de", "s", 1) for i in range(60)]
+    # bytes that were alike when 128 of them had 22 classes, letters in another case, other control bytes
+    junk = [clean().translate({ord("ö"): "\u00cc", ord("ß"): "\u00c9"}), clean().upper(), clean().replace(" ", "\x01").replace("e", "E")]
+    rows += [(100 + k, t, "de", "s", 1) for k, t in enumerate(junk)]
+    df = stored(spark, rows, DOC, tmp_path / "d")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(df, labels).collect()}
+    assert not any(got[100 + k].keep for k in range(3))
+    assert all(got[100 + k].perplexity > 1.5 * max(got[i].perplexity for i in range(60)) for k in range(3))
+
+
 # --- archives -------------------------------------------------------------------
 
 
