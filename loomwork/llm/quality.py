@@ -10,8 +10,8 @@ by gram; and the grams' probabilities are joined back to their blocks, where
 each document's perplexity is summed up. No task or driver ever holds the model.
 
 Trusted are documents labelled quality 1. A document is kept if its perplexity is
-at most its language's quantile of the trusted documents' perplexities (of all
-trusted ones where the language has fewer than LEAST_TRUSTED). For this quantile
+at most its language's quantile of the trusted documents' perplexities, from the
+first such document on (of all trusted ones where the language has none). For this quantile
 the trusted are dealt to two halves by hash of their id, and each is scored by the
 model of the other half: of a text that it was made from, a model thinks too well.
 
@@ -35,7 +35,6 @@ ORDER = 5
 BITS = 9
 SYMBOLS = 1 << BITS
 QUANTILE = 0.99
-LEAST_TRUSTED = 20
 #: Bytes of text aimed at in a block, and grams held before they are counted together.
 BLOCK_BYTES = 8_000_000
 HELD_GRAMS = 1 << 20
@@ -219,9 +218,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ord
     scored = settle(_all_perplexities(docs, trusted, order, "doc_id", "text"))
     known = scored.join(trusted, "doc_id", "left_semi").filter("n_bytes > 0").withColumn("perplexity", F.when(_half(F.col("doc_id")) == 0, F.col("by_1")).otherwise(F.col("by_0")))
     # Sketches of quantiles merge, so a language may hold any share of the rows.
-    per = known.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
+    limits = settle(known.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))
     whole = known.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("all"))
-    limits = settle(per.crossJoin(F.broadcast(whole)).select(F.col("lang").alias("_lang"), F.when(F.col("n") >= LEAST_TRUSTED, F.col("own")).otherwise(F.col("all")).alias("threshold")))
     rest = whole.first()[0]
     rows = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("threshold", F.lit(rest).cast("double"))

@@ -92,6 +92,18 @@ def test_no_symbols_are_folded(spark, tmp_path):
     assert all(got[100 + k].perplexity > 1.5 * max(got[i].perplexity for i in range(60)) for k in range(3))
 
 
+def test_a_small_language_has_its_own_threshold(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, text(["alpha", "beta", "gamma"]), "xx" if i < 5 else "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice("abcdefghij ") for _ in range(200)), "en", "s", 1) for i in range(40)]
+    df = stored(spark, rows, DOC, tmp_path / "d")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] >= 2], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels).collect()
+    limit = {lang: {r.threshold for r in got if r.lang == lang} for lang in ("en", "xx")}
+    assert len(limit["en"]) == len(limit["xx"]) == 1 and 2 * max(limit["xx"]) < min(limit["en"])
+
+
 # --- archives -------------------------------------------------------------------
 
 
