@@ -363,7 +363,7 @@ def _all_links(rows: DataFrame, members: DataFrame, groups: DataFrame, links: Da
 
 
 def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT, count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (in scan order), class_row.
+    """doc_id, n_shingles, component_id, row (in scan order), class_row, component (a row of it).
 
     With count_links also n_links: how many other rows are linked to this one, all
     pairs verified, equal sets and pairs inside a component too. This is a pass of
@@ -434,15 +434,15 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
     if count_links:
         n_links = settle(_all_links(rows, members, groups, links, done, percent))
         out = out.join(n_links, "class_row", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return out.select("doc_id", "n_shingles", "component_id", "row", "class_row", *(["n_links"] if count_links else []))
+    return out.select("doc_id", "n_shingles", "component_id", "row", "class_row", "component", *(["n_links"] if count_links else []))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, one for each component: the one with the least id, then the first in scan order."""
     found = join(docs, **options)
-    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row"))
     # A component is as large as its group of copies, so its first row is found by sums, not by a sorted window.
-    first = found.withColumn("_alone", alone).groupBy("component_id", "_alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    # Rows of unlinked components may have one id or none, so the component is not told by its id.
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     kept = first.select(F.col("best.row").alias("__lw_kept"))
     rows = docs.withColumn("__lw_row", F.monotonically_increasing_id())
     return rows.join(kept, F.col("__lw_row") == F.col("__lw_kept"), "left_semi").select(*docs.columns)

@@ -104,3 +104,11 @@ def test_links_inside_components_are_counted(spark, tmp_path, options, monkeypat
     assert got == want
     inside = [n for i, n in want if i.isdigit() and int(i) >= 5000]
     assert 1 < sum(inside) < 130 * 129
+
+
+def test_one_of_each_with_shared_and_null_ids(spark, tmp_path):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, one), (5, two), (7, two + " more"), (None, three), (None, three + " more"), (9, ""), (9, None)]
+    df = stored(spark, [(i, t, "en", "s", 1) for i, t in rows], DOC, tmp_path / "d")
+    kept = jj.one_of_each(df).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept) == [("5", "a0"), ("5", "b0"), ("9", ""), ("9", ""), ("None", "c0")]
