@@ -69,6 +69,17 @@ def vec_topk_batch(spark, d):
     return V.topk_join(e.filter("vec_id < 20"), e, 3, "vec_id", "vec_id", exclude_self=True).withColumn("score", F.round("score", 4))
 
 
+@query(
+    "SELECT query_id, rank, id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM "
+    + _PAIRS.format(dot=_DOT, where="WHERE vec_id % 50 = 0")
+    + ") WHERE rank <= 3"
+)
+def vec_topk_every_50th(spark, d):
+    """As vec_topk_batch, with queries that grow with the table."""
+    e = t(spark, d, "embeddings")
+    return V.topk_join(e.filter("vec_id % 50 = 0"), e, 3, "vec_id", "vec_id", exclude_self=True).withColumn("score", F.round("score", 4))
+
+
 @query(
     "SELECT query_id, id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM "
     + _PAIRS.format(dot=_DOT, where="")

@@ -89,6 +89,19 @@ def stale_drift(spark, d):
     return I.stale_by_drift(old, now)
 
 
+_NEAR_50TH = _NEAR.replace("vec_id < 12", "vec_id % 50 = 0")
+
+
+@query(f"SELECT a.query_id AS chunk_id FROM ({_NEAR_50TH.format(where='e.vec_id % 5 <> 0')}) a JOIN ({_NEAR_50TH.format(where='true')}) b ON a.query_id = b.query_id WHERE a.ids <> b.ids")
+def stale_drift_every_50th(spark, d):
+    """As stale_drift, with queries that grow with the table."""
+    e = t(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0")
+    old = V.topk_join(q, e.filter("vec_id % 5 <> 0"), 8, "vec_id", "vec_id").groupBy(F.col("query_id").alias("chunk_id")).agg(F.collect_list("id").alias("evidence_slugs"))
+    now = V.topk_join(q, e, 8, "vec_id", "vec_id").select(F.col("query_id").alias("chunk_id"), F.col("id").alias("slug"))
+    return I.stale_by_drift(old, now)
+
+
 @query(SNAPSHOTS + "SELECT coalesce(p.slug, f.slug) AS slug, CASE WHEN f.slug IS NULL THEN 'only_prior' WHEN p.slug IS NULL THEN 'only_new' ELSE 'both' END AS part FROM prior p FULL JOIN fresh f ON p.slug = f.slug")
 def slug_set_ops(spark, d):
     return I.slug_sets(*_snapshots(spark, d))
