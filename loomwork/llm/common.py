@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.runtime import shared_dir
@@ -48,11 +50,59 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As settle(), as a compressed Parquet table; for wide or binary rows."""
+    """As settle(), as a compressed Parquet table that drop_stored() can delete; for wide or many rows."""
     path = scratch(df.sparkSession, name)
     with _tidy(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # with its schema given, no job reads footers
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def stored_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored() and the number of rows, from the same job."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, int(seen.get["n"])
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            discard(t.sparkSession, path)
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """A copy of ``docs`` whose rows have ids in ``name``, dealt to buckets by them.
+
+    Ids are written once, so any number of scans see the same ones, whatever
+    ``docs`` is. Joins by the id move no texts: the copy lies in their buckets.
+    """
+    spark = docs.sparkSession
+    path, n = scratch(spark, "rows"), min(n_partitions(spark), 100_000)
+    rows = docs.withColumn(name, F.monotonically_increasing_id()).repartition(n, name)
+    view = f"rows_{uuid.uuid4().hex}"
+    with _tidy(spark):
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, name).saveAsTable(view)
+    out = spark.table(view)
+    spark.sql(f"DROP TABLE {view}")  # an external table: the files stay, and what was resolved keeps reading them
+    out.scratch_path = path
+    return out
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores as it takes not to clash with a column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -67,5 +117,13 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data) of an Arrow array of texts without nulls: text i is data[ends[i] : ends[i + 1]]."""
+    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    offsets, raw = text.buffers()[1:]
+    ends = np.frombuffer(offsets, kind)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
+    return ends, np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

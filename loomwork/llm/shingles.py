@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from loomwork.llm.common import text_bytes
 from loomwork.llm.suffix_dedup import BYTE_VALUE, powers
 
 WORDS = 5
@@ -75,9 +76,7 @@ def _short(w: np.ndarray) -> np.ndarray:
 
 def shingle_sets(text: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
     """A sorted array of distinct shingle hashes for every text of an Arrow string array."""
-    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-    raw = text.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    ends, data = text_bytes(text)
     i, n = 0, len(text)
     while i < n:
         j = i + 1

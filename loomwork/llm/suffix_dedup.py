@@ -6,7 +6,9 @@
    170 is an anchor. Neighbouring windows with one anchor make a cell.
 2. Keys that occur once are done. Cells with equal content are counted, not
    compared: all their windows repeat (those of one document travel as one row).
-   What is left is one cell of each content of a key with several contents.
+   Content counts as equal only by a cryptographic digest of 128 bits, so that a
+   collision of hashes never removes a byte. What is left is one cell of each
+   content of a key with several contents.
 3. These are compared by suffix sorting: prefix polynomial hashes and binary
    search give the common extension of two suffixes in logarithmic time, merge
    sort puts suffixes in order, to the right of the anchor and (reversed) to the
@@ -14,14 +16,14 @@
    extension found by hashes is verified on the bytes.
 4. Keys with too many contents for one task are refined: whoever shares LENGTH
    bytes shares half of what is still missing on the left or on the right, so the
-   group is dealt by the hashes of either half, again and again.
+   group is dealt by the digests of either half, again and again.
 
-The input is scanned twice and must give the same rows in the same order both
-times, as stored tables do.
+Rows are numbered once, in a copy in buckets, so the input may be any DataFrame
+and texts are not shuffled again.
 
 Defined results: null text is empty; texts under LENGTH bytes keep everything;
 rows with one id are separate documents; very long texts are handled in pieces;
-an empty table gives no rows; other columns are not used.
+an empty table gives no rows; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import settle, stored, text_of
+from loomwork.llm.common import columns_of, drop_stored, free_name, numbered, stored, text_bytes, text_of
 
 LENGTH = 400
 K = 64
@@ -42,6 +44,9 @@ K = 64
 MOST = 1024
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 19
+#: Bits for a place in a piece, below those of its hash. The same for all pieces, so that equal windows pick equal anchors.
+PLACE_BITS = np.uint64(21)
+assert PIECE + 2**16 < 1 << int(PLACE_BITS)
 
 _rng = np.random.default_rng(20240)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,9 +96,8 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 def window_anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
     """For each window start, where the window's least k-gram starts (the first of equals)."""
     w = length - k + 1
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
     x = gram_hashes(data, k)
-    x = (x >> bits << bits) | np.arange(len(x), dtype=np.uint64)
+    x = (x >> PLACE_BITS << PLACE_BITS) | np.arange(len(x), dtype=np.uint64)
     n = len(x) - w + 1
     padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(x)] = x
@@ -101,7 +105,7 @@ def window_anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
 
 
 def _cells(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int):
@@ -224,45 +228,59 @@ def repeated_around(contents: list[bytes], lefts: list[int], length: int) -> lis
 # --- over tables ------------------------------------------------------------------
 
 
+#: What tells one content of a key from another: 128 bits of a cryptographic digest.
+CLASS = ["cls", "cls2"]
+
+
+def _digests(view: memoryview, spans) -> np.ndarray:
+    """Two 64-bit numbers for each (first byte, end, bytes before the anchor)."""
+    from hashlib import blake2b
+
+    raw = b"".join([blake2b(view[x:y], digest_size=16, salt=before.to_bytes(8, "little")).digest() for x, y, before in spans])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
 def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+    names = ["key", "cls", "cls2", "row", "n", "pos", "a", "b", "more"]
+
     def run(batches):
         import xxhash
 
-        key_of, sum_of = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
+        key_of = xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids, text = batch.column(0).to_numpy(), batch.column(1)
-            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-            raw = text.buffers()[2]
-            data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+            ids = batch.column(0).to_numpy()
+            ends, data = text_bytes(batch.column(1))
             view = memoryview(data)
             doc, pos, a, b = cells_of(data, ends[:-1], ends[1:], length, k)
-            keys = np.fromiter((key_of(view[p : p + k]) for p in pos.tolist()), np.uint64, len(pos))
-            sums = np.fromiter((sum_of(view[x : y + length], p - x) for x, y, p in zip(a.tolist(), b.tolist(), pos.tolist())), np.uint64, len(pos))
+            keys = np.fromiter((key_of(view[p : p + k]) for p in pos.tolist()), np.uint64, len(pos)).view(np.int64)
+            sums = _digests(view, zip(a.tolist(), (b + length).tolist(), (pos - a).tolist()))
             base = ends[:-1][doc]
             pos, a, b = pos - base, a - base, b - base
             first, n, more = _folded(doc, keys, sums, a, b + length)
-            cols = [pa.array(keys.view(np.int64)[first]), pa.array(sums.view(np.int64)[first]), pa.array(ids[doc[first]]), pa.array(n), *[pa.array(x[first]) for x in (pos, a, b)], pa.array(more, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "row", "n", "pos", "a", "b", "more"])
+            for x in range(0, len(first), 20_000):
+                at = first[x : x + 20_000]
+                cols = [pa.array(v[at]) for v in (keys, sums[:, 0], sums[:, 1])] + [pa.array(ids[doc[at]]), pa.array(n[x : x + 20_000]), *[pa.array(v[at]) for v in (pos, a, b)], pa.array(more[x : x + 20_000], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.select("row", "text").mapInArrow(run, "key long, cls long, row long, n long, pos long, a long, b long, more binary")
+    return rows.select("row", "text").mapInArrow(run, "key long, cls long, cls2 long, row long, n long, pos long, a long, b long, more binary")
 
 
 def _folded(doc, keys, sums, lo, hi):
     """(first cell of each content in a document, how many there are, the union of their spans if several)."""
-    mark = keys ^ (sums * np.uint64(0x9E3779B97F4A7C15)) ^ (doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    _, first, inverse, n = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
-    more: list = [None] * len(first)
-    several = np.flatnonzero(n > 1)
-    if len(several):
-        order = np.argsort(inverse, kind="stable")
-        ends = np.cumsum(n)
-        for k in several.tolist():
-            at = order[ends[k] - n[k] : ends[k]]
-            x, y = lo[at], hi[at]  # ascending, of equal length
-            new = np.concatenate([[True], x[1:] > y[:-1]])
-            last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
-            more[k] = np.column_stack([x[new], y[last]]).astype("<i8").tobytes()
-    return first, n.astype(np.int64), more
+    order = np.lexsort((np.arange(len(doc)), sums[:, 1], sums[:, 0], keys, doc))
+    columns = [c[order] for c in (doc, keys, sums[:, 0], sums[:, 1])]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(order) else new[1:]
+    starts = np.flatnonzero(new)
+    n = np.diff(np.append(starts, len(order)))
+    more: list = [None] * len(starts)
+    for k in np.flatnonzero(n > 1).tolist():
+        at = order[starts[k] : starts[k] + n[k]]
+        x, y = lo[at], hi[at]  # ascending, of equal length
+        apart = np.concatenate([[True], x[1:] > y[:-1]])
+        last = np.append(np.flatnonzero(apart)[1:], len(at)) - 1
+        more[k] = np.column_stack([x[apart], y[last]]).astype("<i8").tobytes()
+    return order[starts], n.astype(np.int64), more
 
 
 def _contents(rows: DataFrame, ships: DataFrame, length: int) -> DataFrame:
@@ -270,16 +288,21 @@ def _contents(rows: DataFrame, ships: DataFrame, length: int) -> DataFrame:
     wanted = ships.groupBy("row").agg(F.collect_list(F.struct("key", "pos", "a", "b", "single")).alias("cells"))
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "row", "pos", "left", "single", "content"])
         for batch in batches:
-            ids, texts, cells = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ends, data = text_bytes(batch.column(1))
             out = []
-            for row, text, own in zip(ids, texts, cells):
-                data = text.encode("utf-8", "surrogatepass")
-                out += [(c["key"], row, c["pos"], c["pos"] - c["a"], c["single"], data[c["a"] : c["b"] + length]) for c in own]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "row", "pos", "left", "single", "content"])
+            for row, at, own in zip(batch.column(0).to_pylist(), ends.tolist(), batch.column(2)):
+                for c in own.as_py():
+                    out.append((c["key"], row, c["pos"], c["pos"] - c["a"], c["single"], data[at + c["a"] : at + c["b"] + length].tobytes()))
+                    if len(out) >= 4096:
+                        yield pack(out)
+                        out = []
+            if out:
+                yield pack(out)
 
-    joined = rows.join(wanted, "row").select("row", "doc_id", "text", "cells")
+    joined = rows.join(wanted, "row").select("row", "text", "cells")
     return joined.mapInArrow(run, "key long, row long, pos long, left long, single boolean, content binary")
 
 
@@ -317,56 +340,64 @@ def _refined(contents: DataFrame, length: int, most: int) -> list[DataFrame]:
     """Spans of keys with more than ``most`` contents, by dealing them finer until they are few enough."""
 
     def deal(batches):
-        import xxhash
+        from hashlib import blake2b
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             out = []
-            for key, row, pos, left, single, content, lmin, rmin in zip(*[c.to_pylist() for c in batch.columns]):
+            for key, key2, row, pos, left, single, content, lmin, rmin in zip(*[c.to_pylist() for c in batch.columns]):
                 half = (length - lmin - rmin + 1) // 2
                 for side, x, y in ((0, lmin + half, rmin), (1, lmin, rmin + half)):
                     if x <= left and y <= len(content) - left:
                         part = content[left - x : left - lmin] if side == 0 else content[left + rmin : left + y]
-                        out.append((xxhash.xxh3_64_intdigest(part, (key & (1 << 64) - 1) ^ (side + 1 + 2 * half)) - (1 << 63), row, pos, left, single, content, x, y))
+                        # the digest of a digest: equal only if all parts so far are
+                        made = blake2b(part, digest_size=16, key=np.array([key, key2], "<i8").tobytes(), person=bytes([side]) + half.to_bytes(4, "little")).digest()
+                        out.append((*np.frombuffer(made, "<i8").tolist(), row, pos, left, single, content, x, y))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    names = ["key", "row", "pos", "left", "single", "content", "lmin", "rmin"]
-    schema = "key long, row long, pos long, left long, single boolean, content binary, lmin long, rmin long"
-    spans, level = [], contents.withColumn("lmin", F.lit(0).cast("long")).withColumn("rmin", F.lit(K).cast("long"))
+    names = ["key", "key2", "row", "pos", "left", "single", "content", "lmin", "rmin"]
+    schema = "key long, key2 long, row long, pos long, left long, single boolean, content binary, lmin long, rmin long"
+    # A key is a hash of K bytes; those that share it without sharing these bytes part here.
+    spans, level = [], contents.withColumn("key2", F.xxhash64(F.substring("content", F.col("left").cast("int") + 1, F.lit(K)))).withColumn("lmin", F.lit(0).cast("long")).withColumn("rmin", F.lit(K).cast("long"))
+    group = ["key", "key2", "lmin", "rmin"]
     while True:
         level = stored(level.select(*names).mapInArrow(deal, schema), "cells")
-        sizes = settle(level.groupBy("key", "lmin", "rmin").agg(F.count("*").alias("n")).filter("n > 1"))
-        level = level.join(sizes, ["key", "lmin", "rmin"])
+        sizes = stored(level.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        level = level.join(sizes, group)
         # Those that share LENGTH bytes by now need no comparison.
         whole = level.filter(F.col("lmin") + F.col("rmin") >= length)
         spans.append(whole.filter("single").select("row", (F.col("pos") - F.col("lmin")).alias("lo"), (F.col("pos") + F.col("rmin")).alias("hi")))
         rest = level.filter(F.col("lmin") + F.col("rmin") < length)
         few = rest.filter(F.col("n") <= most)
-        spans.append(_compared(few.withColumn("key", F.xxhash64("key", "lmin", "rmin")).select("key", "row", "pos", "left", "single", "content"), length))
+        spans.append(_compared(few.withColumn("key", F.xxhash64(*group)).select("key", "row", "pos", "left", "single", "content"), length))
         level = rest.filter(F.col("n") > most)
-        if not sizes.filter((F.col("n") > most) & (F.col("lmin") + F.col("rmin") < length)).limit(1).count():
+        if sizes.filter((F.col("n") > most) & (F.col("lmin") + F.col("rmin") < length)).isEmpty():
             return spans
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """row, lo, hi, more: byte spans that make up all that repeats (``more``: several, as pairs). ``rows``: row, doc_id, text."""
+    """row, lo, hi, more: byte spans that make up all that repeats (``more``: several, as pairs). ``rows``: row, text."""
     anchors = stored(_anchors(rows, length, k), "anchors")
+    several = F.min("cls") != F.max("cls")
+    several = (several | (F.min("cls2") != F.max("cls2"))).alias("mixed")
     # A table of its own, so that the join below has an exchange on either side and can split a hot key.
-    keys = settle(anchors.groupBy("key").agg(F.sum("n").alias("n"), (F.min("cls") != F.max("cls")).alias("mixed")).filter("n > 1").drop("n"))
+    keys = stored(anchors.groupBy("key").agg(F.sum("n").alias("n"), several).filter("n > 1").drop("n"), "keys")
     cells = stored(anchors.join(keys, "key"), "cells")
+    drop_stored(anchors, keys)
     span = ["row", F.col("a").alias("lo"), (F.col("b") + length).alias("hi"), "more"]
     whole = cells.filter("not mixed").select(*span)
     mixed = cells.filter("mixed").drop("mixed")
-    kinds = settle(mixed.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min(F.struct("row", "pos", "a", "b")).alias("one")))
-    many = kinds.filter("n > 1").select("key", "cls")
-    whole = whole.unionByName(mixed.join(many, ["key", "cls"]).select(*span))
+    kinds = stored(mixed.groupBy("key", *CLASS).agg(F.sum("n").alias("n"), F.min(F.struct("row", "pos", "a", "b")).alias("one")), "kinds")
+    many = kinds.filter("n > 1").select("key", *CLASS)
+    whole = whole.unionByName(mixed.join(many, ["key", *CLASS]).select(*span))
     ships = kinds.select("key", "one.*", (F.col("n") == 1).alias("single"))
-    crowded = settle(kinds.groupBy("key").count().filter(F.col("count") > most).select("key"))
+    crowded = stored(kinds.groupBy("key").count().filter(F.col("count") > most).select("key"), "crowded")
     spans = [whole]
-    if crowded.limit(1).count():
-        hot = stored(_contents(rows, ships.join(crowded, "key"), length), "cells")
+    if not crowded.isEmpty():
+        hot = stored(_contents(rows, ships.join(crowded, "key"), length), "hot")
         spans += _refined(hot, length, most)
+        drop_stored(hot)
         ships = ships.join(crowded, "key", "left_anti")
     spans.append(_compared(_contents(rows, ships, length), length))
     out = spans[0]
@@ -388,27 +419,22 @@ def _merged(own: list | None, n: int) -> list[tuple[int, int]]:
     return [(lo, min(hi, n)) for lo, hi in out]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return rows.select("row", "doc_id", "text")
-
-
-def _with_spans(rows: DataFrame, length: int, most: int) -> DataFrame:
-    """row, doc_id, text, spans; a document has at most as many spans as anchors."""
-    spans = repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "more")).alias("spans"))
-    return rows.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
+def _spans(rows: DataFrame, length: int, most: int) -> DataFrame:
+    """row, spans; a document has at most as many spans as anchors."""
+    return repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "more")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), row (in scan order) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), row (a number of its own) of every document."""
 
     def run(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
         for batch in batches:
+            ends, whole = text_bytes(batch.column(2))
             out = []
-            for row, doc_id, text, own in zip(*[c.to_pylist() for c in batch.columns]):
-                data = text.encode("utf-8", "surrogatepass")
-                gone = _merged(own, len(data))
+            for row, doc_id, x, y, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), batch.column(3)):
+                data = whole[x:y].tobytes()
+                gone = _merged(own.as_py(), len(data))
                 at, kept = 0, []
                 for lo, hi in gone:
                     kept.append(data[at:lo])
@@ -419,7 +445,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return _with_spans(_rows(docs, id_col, text_col), length, most).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")))
+    joined = rows.join(_spans(rows, length, most), "row", "left").select("row", "doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
 
 
 def whole_characters(data: bytes, lo: int, hi: int) -> tuple[int, int]:
@@ -434,28 +462,41 @@ def whole_characters(data: bytes, lo: int, hi: int) -> tuple[int, int]:
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", most: int = MOST) -> DataFrame:
     """The rows of ``docs``, all columns, with what repeats cut out of their texts; rows left without text go.
 
-    Texts that were empty before stay. Cuts keep characters whole; ``n_chars``, where there is one, follows the text.
+    Texts that were null or empty before stay as they were. Cuts keep characters
+    whole; ``n_chars``, where there is one, follows a text that is cut.
     """
-    rows = _rows(docs, docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text_col)
+    name = free_name(docs, "row")
+    whole = numbered(docs, name)
+    spans = _spans(whole.select(F.col(name).alias("row"), text_of(text_col).alias("text")), length, most)
+    gone = free_name(docs, "spans")
+    joined = whole.join(spans.select(F.col("row").alias(name), F.col("spans").alias(gone)), name, "left").select(*columns_of(docs), gone)
+    names = docs.columns
+    at, counted = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], []]
-            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                at, kept = 0, []
-                for lo, hi in _merged(own, len(data)):
+            columns = list(batch.columns[:-1])
+            text, own = columns[at], batch.column(len(columns))
+            cut = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
+            if not len(cut):
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
+            texts, keep = text.to_pylist(), np.ones(len(batch), bool)
+            sizes = columns[counted].to_pylist() if counted is not None else None
+            for i in cut.tolist():
+                data = texts[i].encode("utf-8", "surrogatepass")
+                place, kept = 0, []
+                for lo, hi in _merged(own[i].as_py(), len(data)):
                     lo, hi = whole_characters(data, lo, hi)
-                    kept.append(data[at:lo])
-                    at = max(at, hi)
-                left = b"".join([*kept, data[at:]]).decode("utf-8", "replace")
-                if left or not text:
-                    out[0].append(row)
-                    out[1].append(left if own else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["__lw_cut", "__lw_left"])
-
-    cut = _with_spans(rows, length, most).mapInArrow(run, "__lw_cut long, __lw_left string")
-    whole = docs.withColumn("__lw_row", F.monotonically_increasing_id())
-    new = F.coalesce("__lw_left", text_col)
-    columns = [new.alias(c) if c == text_col else F.when(F.col("__lw_left").isNull(), F.col(c)).otherwise(F.length("__lw_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return whole.join(cut, F.col("__lw_row") == F.col("__lw_cut")).select(*columns)
+                    kept.append(data[place:lo])
+                    place = max(place, hi)
+                texts[i] = b"".join([*kept, data[place:]]).decode("utf-8", "replace")
+                keep[i] = texts[i] != ""
+                if sizes is not None:
+                    sizes[i] = len(texts[i])
+            columns[at] = pa.array(texts, text.type)
+            if sizes is not None:
+                columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, docs.schema)
