@@ -7,8 +7,10 @@ lengths alone. The converter synthesises what WARC asks for and ARC lacks:
 identifiers (from page and digest, so the same on every run), ISO timestamps,
 record types, block and payload digests.
 
-Archives are written through Spark's text writer, whose row separator is the
-CRLF CRLF that ends a WARC record, as gzip files, and read back as binary files.
+Archives are gzip files with a member for each record. A task packs records until
+a file's bytes are reached and Spark's text writer puts down each pack as a file;
+it ends it with a zero byte, padding that gzip readers pass over. Files are read
+back member by member, so no more than a file and one record are in memory.
 
 Records with equal payloads of at least MIN_DUPLICATE bytes: the one with the
 largest page_id is the response, the others are revisits without payload.
@@ -37,8 +39,12 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import scratch, settle, text_of
 
 MIN_DUPLICATE = 1000
-#: Records to an archive file at most, so that one file fits in a task.
-RECORDS_PER_FILE = 4096
+#: Compressed bytes of an archive file, but for the record that passes them.
+FILE_BYTES = 16_000_000
+#: Compressed bytes read at a time.
+READ_BYTES = 1 << 14
+#: Bytes of pages converted at a time.
+ARC_BYTES = 4_000_000
 ARC_DATE = "19991231235959"
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -148,21 +154,43 @@ def warc_record(rec: ArcRecord, refers_to: int | None = None) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def _record_at(content: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, end) of the record at a place; it is cut by Content-Length and must end in CRLF CRLF."""
+    end = content.index(b"\r\n\r\n", at)
+    first, *rest = content[at:end].decode().split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}")
+    headers = dict(line.split(": ", 1) for line in rest)
+    n = int(headers["Content-Length"])
+    block = content[end + 4 : end + 4 + n]
+    if len(block) != n or content[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        raise ValueError(f"record at {at} does not end where its length says")
+    return headers, block, end + 8 + n
+
+
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; records are cut by Content-Length and must end in CRLF CRLF."""
+    """(headers, block) of each record of an archive without compression."""
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *rest = content[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        headers = dict(line.split(": ", 1) for line in rest)
-        n = int(headers["Content-Length"])
-        block = content[end + 4 : end + 4 + n]
-        if len(block) != n or content[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end where its length says")
+        headers, block, at = _record_at(content, at)
         yield headers, block
-        at = end + 8 + n
+
+
+def read_members(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a gzip archive, member by member; zero bytes between and after members are padding."""
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        if not content[at]:
+            at += 1
+            continue
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("the last member of an archive is cut short")
+            parts.append(member.decompress(view[at : at + READ_BYTES]))
+            at += READ_BYTES
+        at = min(at, len(content)) - len(member.unused_data)
+        yield from read_warc(b"".join(parts))
 
 
 # --- over tables ------------------------------------------------------------------
@@ -188,34 +216,59 @@ def with_revisits(pages: DataFrame, min_duplicate: int = MIN_DUPLICATE) -> DataF
 def write_archives(pages: DataFrame, path: str, arc_version: int = 2, min_duplicate: int = MIN_DUPLICATE) -> None:
     """Each page as an ARC record, converted, in WARC files under ``path``."""
 
-    def run(batches):
+    def slices(batches):
+        """Rows of about ARC_BYTES together."""
         for batch in batches:
-            ids, urls, htmls, refs = (batch.column(k).to_pylist() for k in range(4))
-            for a in range(0, len(ids), 256):
-                rows = []
-                for i, url, html in zip(ids[a : a + 256], urls[a : a + 256], htmls[a : a + 256]):
-                    payload = html.encode("utf-8", "replace")
-                    mark = "" if i is None else f"X-Page-Id: {i}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n"
-                    rows.append((url or f"urn:page:{i}", "text/html", head.encode() + payload))
-                legacy = read_arc(arc_file(f"pages-{ids[a]}.arc", arc_version, rows))
-                out = [warc_record(r, None if k == 0 else refs[a + k - 1]) for k, r in enumerate(legacy)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["r"])
+            rows, n = [], 0
+            for row in zip(*[batch.column(k) for k in range(4)]):
+                i, url, html, ref = (v.as_py() for v in row)
+                payload = html.encode("utf-8", "replace")
+                rows.append((i, url, payload, ref))
+                n += len(payload)
+                if n >= ARC_BYTES:
+                    yield rows
+                    rows, n = [], 0
+            if rows:
+                yield rows
+
+    def run(batches):
+        pack, size = [], 0
+        for part in slices(batches):
+            rows = []
+            for i, url, payload, _ in part:
+                mark = "" if i is None else f"X-Page-Id: {i}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n"
+                rows.append((url or f"urn:page:{i}", "text/html", head.encode() + payload))
+            legacy = read_arc(arc_file(f"pages-{part[0][0]}.arc", arc_version, rows))
+            for k, r in enumerate(legacy):
+                press = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = press.compress(warc_record(r, None if k == 0 else part[k - 1][3]) + b"\r\n\r\n") + press.flush()
+                pack.append(member)
+                size += len(member)
+                if size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack)], pa.binary())], names=["r"])
+                    pack, size = [], 0
+        if pack:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack)], pa.binary())], names=["r"])
 
     rows = with_revisits(pages, min_duplicate).mapInArrow(run, "r binary")
-    rows.select(F.col("r").cast("string").alias("value")).write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+    rows.select(F.col("r").cast("string").alias("value")).write.options(lineSep="\0", maxRecordsPerFile=1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, date (and payload) of every page record."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string" + (", payload binary" if with_payload else "")
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in read_warc(zlib.decompress(content.as_py(), 47)):
+                for headers, block in read_members(content.as_py()):
                     if headers["WARC-Type"] == "warcinfo":
                         continue
                     if digest32(block) != headers["WARC-Block-Digest"]:
@@ -225,9 +278,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                     page, ref = http.get("x-page-id"), headers.get("WARC-Refers-To-Page")
                     row = [int(page) if page else None, int(http["content-length"]), hexed, headers["WARC-Type"], int(ref) if ref else None, headers["WARC-Target-URI"], headers["WARC-Date"]]
                     rows.append(row + [payload] * with_payload)
+                    if len(rows) >= (256 if with_payload else 8192):
+                        yield packed(rows)
+                        rows = []
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    yield packed(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
