@@ -4,15 +4,20 @@ Centroids are fitted on a bounded sample (SAMPLE rows by hash of the id) with a
 penalty on crowded ones. They are few enough to hold in memory (LISTS at most),
 in a graph of near neighbours that a best-first search walks. Every vector goes
 to its nearest list and, near a boundary, to further lists up to REPLICAS. A
-query reads the lists whose distance is within a ratio of its nearest one's.
+query reads the lists whose distance is within a ratio of its nearest one's, as
+far as its beam reaches. Ratio and beam are read off the sample: for some of its
+rows the true neighbours in it are known, and so is how far out their lists lie.
+A sample has fewer vectors and so farther neighbours than the whole, which errs
+towards more lists.
 
 Lists over BLOCK vectors are read in blocks, and so are a list's queries, so no
 task holds a whole list. Scores are computed in double precision on the original
 vectors, in one order of summation, so equal vectors have equal scores.
 
 Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite parts take no part; equal ids count once, with their
-best score; a query with fewer candidates gets all of them; no valid vector: no
+hold null or non-finite parts take no part; the largest finite parts do (vectors
+are scaled by powers of two, which changes no cosine); equal ids count once, with
+their best score; a query with fewer candidates gets all of them; no valid vector: no
 rows; other columns are not used.
 """
 
@@ -28,13 +33,14 @@ from loomwork.llm.common import settle
 #: Rows that centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors aimed at for each centroid, and centroids at most.
-PER_LIST = 200
+PER_LIST = 100
 LISTS = 4096
 #: A vector is copied to lists within this ratio of its nearest one's distance.
 COPY_RATIO = 1.15
 REPLICAS = 4
-#: A query reads lists within this ratio of its nearest one's distance, and this many anyway.
-READ_RATIO = 1.28
+#: Rows of the sample whose true neighbours tell how many lists to read, the share of these to be found, and lists read anyway.
+PROBES = 512
+FOUND = 0.97
 LEAST_LISTS = 16
 BLOCK = 4096
 NEIGHBOURS = 24
@@ -121,8 +127,37 @@ def distance(cosines: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cosines))
 
 
+def reach(c: Centroids, sample: np.ndarray, k: int = 5, seed: int = 2) -> tuple[float, int]:
+    """(ratio, beam) that a query needs so as to read FOUND of its k nearest in the sample."""
+    x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+    if len(x) <= k:
+        return 9.0, len(c.points)
+    q = np.random.default_rng(seed).choice(len(x), min(PROBES, len(x)), replace=False)
+    sims = x[q] @ x.T
+    sims[np.arange(len(q)), q] = -9
+    near = np.argpartition(-sims, k, axis=1)[:, :k]
+    far = distance(x[q] @ c.points.T)
+    ordered = np.sort(far, axis=1)
+    lists, own = _placed(c, x[near.ravel()])
+    out = np.where(own, far[np.repeat(np.arange(len(q)), k)[:, None], lists], 9.0).min(axis=1).reshape(len(q), k)
+    ranks = (ordered[:, None, :] < out[:, :, None] - 1e-7).sum(axis=2) + 1
+    beam = int(np.quantile(ranks, FOUND, method="higher"))
+    return float(np.quantile(out / np.maximum(ordered[:, :1], 1e-9), 1 - (1 - FOUND) / 3)), max(beam, LEAST_LISTS)
+
+
+def _placed(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, which of them hold a copy) of each unit row."""
+    ids, sims = c.search(x, 2 * REPLICAS)
+    d = distance(sims)
+    return ids, (sims > -9) & (d <= d[:, :1] * COPY_RATIO + 1e-9) & (np.arange(ids.shape[1]) < REPLICAS)
+
+
 def _matrix(column, dims: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    """Rows scaled by powers of two, so that no norm overflows or vanishes."""
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    e = np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]
+    half = e // 2  # in two steps, as one power alone may not be a number
+    return x * 2.0 ** -half.astype(np.float64) * 2.0 ** -(e - half).astype(np.float64)
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -139,22 +174,23 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     dims, n = shape["d"], shape["count"]
     rows = rows.filter(F.size("v") == dims)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    model = spark.sparkContext.broadcast(fit(np.stack(picked.v.to_numpy()).astype(np.float64), max(1, min(LISTS, n // PER_LIST))))
+    sample = _matrix(pa.array(picked.v.tolist(), pa.list_(pa.float64())), dims)
+    centroids = fit(sample, max(1, min(LISTS, n // PER_LIST)))
+    model = spark.sparkContext.broadcast((centroids, *reach(centroids, sample, k)))
 
     def place(batches, reading: bool):
-        c = model.value
+        c, ratio, beam = model.value
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 x = _matrix(part.column(1), dims)
                 x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                ids, sims = c.search(x, max(LEAST_LISTS, len(c.points) // 4) if reading else 2 * REPLICAS)
-                d = distance(sims)
-                ok = (sims > -9) & (d <= d[:, :1] * (READ_RATIO if reading else COPY_RATIO) + 1e-9)
                 if reading:
-                    ok |= (sims > -9) & (np.arange(ids.shape[1]) < LEAST_LISTS)
+                    ids, sims = c.search(x, beam)
+                    d = distance(sims)
+                    ok = (sims > -9) & ((d <= d[:, :1] * ratio + 1e-9) | (np.arange(ids.shape[1]) < LEAST_LISTS))
                 else:
-                    ok &= np.arange(ids.shape[1]) < REPLICAS
+                    ids, ok = _placed(c, x)
                 r, k_ = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, k_].astype(np.int32)), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], names=["list", "id", "v"])
 
