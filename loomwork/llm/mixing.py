@@ -6,13 +6,14 @@ source's target. Serving all queues in order of finish time until the budget is
 spent gives every source its share at any point of the mix.
 
 Running sums never gather a source: rows are cut into cells by their shuffle
-key, cells are summed first, and only the short table of cells is accumulated
-before rows are accumulated inside their cell.
+key and cells are summed first. Cells are accumulated in the same way, in cells
+of FAN cells, level by level, so that no task accumulates more than FAN of them.
 
 Defined results: null text has size 0; null source is a source of its own and
-comes last; documents of size 0 take 0; equal ids are told apart by their text's
-hash and then share alike; an empty table gives an empty table; extra columns of
-the input are not carried over.
+comes last; documents of size 0 take 0; rows with one id or none are documents
+of their own, each with its own share; an empty table gives an empty table;
+mix() does not carry over extra columns, mixed_documents() keeps them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import WORD, settle, text_of
+from loomwork.llm.common import WORD, columns_of, free_name, numbered, settle, stored, text_of
 
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,6 +31,8 @@ MAX_EPOCHS = 3
 BROADCAST_SOURCES = 10_000
 #: Rows aimed at in one cell of a running sum.
 CELL_ROWS = 256
+#: Cells accumulated together, as a power of two.
+FAN_BITS = 10
 
 
 def word_count(col: str = "text") -> Column:
@@ -64,17 +67,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, cell: str, out: str) -> DataFrame:
+def _ahead(cells: DataFrame, group: list[str], cell: str, top: int, fan_bits: int) -> DataFrame:
+    """group, cell, _ahead: the sum of _sum over a group's cells before this one. Cells are numbered from 0 to ``top``."""
+    if top >> fan_bits == 0:
+        before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        return cells.select(*group, cell, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    up = f"{cell}_"  # a name of its own at every level
+    cells = cells.withColumn(up, F.shiftright(cell, fan_bits))
+    above = _ahead(cells.groupBy(*group, up).agg(F.sum("_sum").alias("_sum")), group, up, top >> fan_bits, fan_bits)
+    above = above.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(up).alias("_of_up"), F.col("_ahead").alias("_far"))
+    inside = Window.partitionBy(*group, up).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    here = cells.withColumn("_near", F.coalesce(F.sum("_sum").over(inside), F.lit(0)))
+    on = F.col(up) == F.col("_of_up")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return here.join(above, on).select(*group, cell, (F.col("_near") + F.col("_far")).alias("_ahead"))
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, cell: str, top: int, out: str, fan_bits: int = FAN_BITS) -> DataFrame:
     """Adds ``out``: the sum of ``value`` in ``group`` over all rows up to this one.
 
-    ``cell`` must grow with ``order``. Sums of cells go ahead; no task ever
-    holds more than a cell's rows.
+    ``cell``, from 0 to ``top``, must grow with ``order``. Sums of cells go ahead;
+    no task ever holds more than a cell's rows or 2^fan_bits cells of a group.
     """
-    cells = df.groupBy(*group, cell).agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        *[F.col(g).alias(f"_{g}") for g in group], F.col(cell).alias("_of_cell"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")
-    )
+    cells = _ahead(df.groupBy(*group, cell).agg(F.sum(value).alias("_sum")), group, cell, top, fan_bits)
+    cells = cells.select(*[F.col(g).alias(f"_{g}") for g in group], F.col(cell).alias("_of_cell"), "_ahead")
     on = F.col(cell) == F.col("_of_cell")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
@@ -83,19 +100,21 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, c
     return here.join(cells, on).withColumn(out, F.col("_here") + F.col("_ahead")).drop("_here", "_ahead", "_of_cell", *[f"_{g}" for g in group])
 
 
-def queue_copies(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, id_col: str = "doc_id"):
+def queue_copies(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, id_col: str = "doc_id", row_col: str | None = None):
     """(rows, copies): every document with its size and target, and the copies that the mix serves.
 
-    rows: _row, doc_id, size, source_size, target. copies: _row, epoch, finish,
-    words; ``words`` is the size but for the copy that the budget cuts.
+    rows: _row, doc_id, size, source_size, target. copies: _row, size, epoch, finish,
+    words; ``words`` is the size but for the copy that the budget cuts. _row is
+    ``row_col``, if given, else a number made here.
     """
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col("source"),
         word_count().alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64("text")).alias("_key"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("_row"),
     )
-    sizes = settle(sizes.withColumn("_row", F.monotonically_increasing_id()))
+    sizes = stored(sizes, "sizes")
     targets = settle(source_targets(sizes, weights, max_epochs))
     stats = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("budget")).first()
     n, budget = stats["n"], stats["budget"] or 0
@@ -107,7 +126,7 @@ def queue_copies(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     # A source's queue: its documents in shuffled order, once more for each epoch.
     part = F.pmod(F.shiftright("_key", 20), F.lit(1 << 20))
     queued = rows.filter("size > 0").withColumn("_part", part).withColumn("_cell", (F.col("_part") * cells / (1 << 20)).cast("int"))
-    once = running_sum(queued, ["source"], ["_part", "_key", "doc_id", "_row"], "size", "_cell", "_upto")
+    once = running_sum(queued, ["source"], ["_part", "_key", "doc_id", "_row"], "size", "_cell", cells, "_upto")
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
     queue = (
         once.withColumn("epoch", F.explode(epochs))
@@ -120,11 +139,11 @@ def queue_copies(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     # Finish times are spread evenly over 0 to 1 by construction, so even steps make even cells.
     step = F.least(F.floor(F.col("finish") * cells), F.lit(2 * cells)).cast("int")
     served = running_sum(
-        queue.withColumn("_step", step).withColumn("_all", F.lit(0)), ["_all"], ["finish", "_key", "doc_id", "_row", "epoch"], "size", "_step", "_total"
+        queue.withColumn("_step", step).withColumn("_all", F.lit(0)), ["_all"], ["finish", "_key", "doc_id", "_row", "epoch"], "size", "_step", 2 * cells, "_total"
     )
     # Truncate at the budget: what would pass it is cut to the words that are left.
     words = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - (F.col("_total") - F.col("size")))).cast("long")
-    copies = served.select("_row", "epoch", "finish", words.alias("words")).filter("words > 0")
+    copies = served.select("_row", "size", "epoch", "finish", words.alias("words")).filter("words > 0")
     return rows.select("_row", "doc_id", "size", "source_size", "target"), copies
 
 
@@ -139,17 +158,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the input's columns, one row for each copy served, under its old doc_id.
 
-    The one copy that the budget cuts keeps its first words. Rows with equal
-    doc_id share what they were dealt together, the first ones first.
+    The one copy that the budget cuts keeps its first words.
     """
-    shares = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("__lw_taken"), F.max("size").alias("__lw_size")).filter("__lw_taken > 0")
-    shares = shares.select(F.col("doc_id").alias("__lw_doc"), "__lw_taken")
-    size = word_count()
-    joined = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("__lw_doc"))).withColumn("__lw_size", size).filter("__lw_size > 0")
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("__lw_size") * MAX_EPOCHS).over(same), F.lit(0))
-    own = joined.withColumn("__lw_own", F.least(F.col("__lw_taken") - before, F.col("__lw_size") * MAX_EPOCHS)).filter("__lw_own > 0")
-    copies = own.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__lw_own") / F.col("__lw_size")).cast("int"))))
-    words = F.least(F.col("__lw_size"), F.col("__lw_own") - (F.col("__lw_copy") - 1) * F.col("__lw_size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_of("text"), F.lit(f"({WORD})"), 1), F.lit(1), words.cast("int")), " ")
-    return copies.withColumn("text", F.when(words < F.col("__lw_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    name, count = free_name(docs, "row"), free_name(docs, "words")
+    whole = numbered(docs, name)
+    _, copies = queue_copies(whole, row_col=name, **options)
+    served = copies.select(F.col("_row").alias(name), F.when(F.col("words") < F.col("size"), F.col("words")).alias(count))
+    joined = whole.join(served, name)
+    words = F.regexp_extract_all(text_of("text"), F.lit(f"({WORD})"), 1)
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(count).cast("int")), " ")
+    text = F.when(F.col(count).isNotNull(), cut).otherwise(F.col("text"))
+    return joined.select(*[text.alias("text") if n == "text" else c for n, c in zip(docs.columns, columns_of(docs))])
