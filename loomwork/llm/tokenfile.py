@@ -13,9 +13,14 @@ one byte an id. ``HUFS`` is a segment: u64 start (ids before it), u32 documents,
 u32 blocks, then for the documents i64 doc_id, u8 null flag, u64 ids; for the
 blocks u64 bit offset; then the bits.
 
+Files are parts of the order by doc_id. There are MOST_PARTS bounds between them
+at most, however large the corpus; an id that holds more than a part's share is
+dealt to several by its texts' hash, and a part is cut into files of a bounded
+number of segments.
+
 Defined results: null and empty texts have only the end id; null doc_ids come
 first; equal doc_ids follow each other, ordered by their text's hash; texts of
-any length are whole; an empty table gives no rows.
+any length are whole; an empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -31,16 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, n_partitions, scratch, stored
+from loomwork.llm.common import drop_stored, n_partitions, scratch, stored
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"
 #: Longest code in bits; the decoding table has 2^MAX_BITS entries.
 MAX_BITS = 18
 BLOCK = 512
-#: Ids to a segment and bytes of coded ids to a file, about.
+#: Ids to a segment, segments to a file, and ids to a part, about.
 SEGMENT_IDS = 1 << 20
-FILE_BYTES = 12_000_000
+FILE_SEGMENTS = 16
+PART_IDS = 12_000_000
+#: Parts at most: the table of their bounds goes to every task.
+MOST_PARTS = 1 << 16
+#: Null ids are ordered as the least number.
+LEAST = -(1 << 63)
 
 
 # --- tokens -------------------------------------------------------------------
@@ -50,7 +60,10 @@ PLAIN = re.compile("[\t\n\r\x0b\x0c -~¡-¬®-ɏ–-•…€]*")
 
 
 class ByteTokenizer:
-    """The ids of the tokenizers library; plain texts take an equal, faster path over the same ranks."""
+    """The ids of the tokenizers library; plain texts take a faster path over the same ranks.
+
+    Both give the same ids (the tests compare them); the library alone takes four times as long.
+    """
 
     def __init__(self, json_file: str, ranks_file: str | None, pattern: str | None):
         from tokenizers import Tokenizer
@@ -253,32 +266,43 @@ def _tokens(sizes: np.ndarray, blob: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * int(sizes.sum()) else "<u4").astype(np.int64)
 
 
+def parts_of(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The part of each (id, hash) between ascending bounds. Ids that are several bounds are spread by hash, in its order."""
+    lo, hi = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    place = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    spread = lo + np.minimum((place * (hi - lo + 1)).astype(np.int64), hi - lo)
+    return np.where(hi - lo > 1, spread, hi)
+
+
 def write(docs: DataFrame, path: str, json_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all ids of ``docs`` under ``path`` in ascending doc_id order."""
     spark = docs.sparkSession
     packs = stored(_tokenised(docs, json_file, id_col, text_col), "tokens")
     stats = packs.select(F.explode("sizes").alias("s")).agg(F.sum("s")).first()[0] or 0
-    parts = max(1, n_partitions(spark), -(-stats // FILE_BYTES))
+    parts = max(1, min(MOST_PARTS, max(n_partitions(spark), -(-stats // PART_IDS))))
     wanted = [(k + 1) / parts for k in range(parts - 1)]
-    bounds = packs.select(F.explode("ids").alias("i")).agg(F.percentile_approx("i", wanted, max(10_000, 10 * parts))).first()[0] if wanted and stats else []
+    order = F.zip_with("ids", "nulls", lambda i, z: F.when(z, F.lit(LEAST)).otherwise(i))
+    bounds = packs.select(F.explode(order).alias("i")).agg(F.percentile_approx("i", wanted, min(100_000, max(10_000, 10 * parts)))).first()[0] if wanted and stats else []
     bounds = np.array(bounds or [], np.int64)
 
+    def place(ids, nulls, hashes):
+        return parts_of(bounds, np.where(nulls, LEAST, np.array(ids, np.int64)), np.array(hashes, np.int64))
+
     def count(batches):
         total, files = np.zeros(0, np.int64), np.zeros(parts, np.int64)
         for batch in batches:
-            for ids, nulls, sizes, blob in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            for ids, nulls, hashes, sizes, blob in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 sizes = np.array(sizes, np.int64)
                 c = np.bincount(_tokens(sizes, blob))
                 total = np.pad(total, (0, max(0, len(c) - len(total))))
                 total[: len(c)] += c
-                part = np.where(nulls, 0, np.searchsorted(bounds, ids, "right"))
-                files += np.bincount(part, weights=sizes, minlength=parts).astype(np.int64)
+                files += np.bincount(place(ids, nulls, hashes), weights=sizes, minlength=parts).astype(np.int64)
         used, full = np.flatnonzero(total), np.flatnonzero(files)
         kind = np.concatenate([np.zeros(len(used), np.int32), np.ones(len(full), np.int32)])
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([used, full])), pa.array(np.concatenate([total[used], files[full]]))], names=["kind", "k", "n"])
 
-    # One row for each id of the vocabulary and each file: bounded.
-    sums = packs.select("ids", "nulls", "sizes", "tokens").mapInArrow(count, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
+    # One row for each id of the vocabulary and each part, MOST_PARTS at most.
+    sums = packs.select("ids", "nulls", "hashes", "sizes", "tokens").mapInArrow(count, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
     tokens, files = sums[sums.kind == 0], sums[sums.kind == 1]
     counts = np.zeros(int(tokens.k.max()) + 1 if len(tokens) else 1, np.int64)
     counts[tokens.k.to_numpy(np.int64)] = tokens.n.to_numpy(np.int64)
@@ -286,15 +310,15 @@ def write(docs: DataFrame, path: str, json_file: str | None = None, id_col: str
     held = np.zeros(parts, np.int64)
     held[files.k.to_numpy(np.int64)] = files.n.to_numpy(np.int64)
     base = np.cumsum(held) - held
-    sent = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), base, bounds))
+    sent = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), base))
 
     def encode(batches):
-        lengths, codes, _, bounds = sent.value
+        lengths, codes, _ = sent.value
         for batch in batches:
             for ids, nulls, hashes, sizes, blob in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 sizes = np.array(sizes, np.int64)
                 bits, starts, offsets, blocks = pack(_tokens(sizes, blob), sizes, lengths, codes)
-                part = np.where(nulls, 0, np.searchsorted(bounds, ids, "right"))
+                part = place(ids, nulls, hashes)
                 cut = np.cumsum(blocks)
                 rel = [(offsets[c - b : c] - 8 * s).astype("<u8").tobytes() for c, b, s in zip(cut, blocks, starts)]
                 yield pa.RecordBatch.from_arrays(
@@ -306,23 +330,24 @@ def write(docs: DataFrame, path: str, json_file: str | None = None, id_col: str
                 )
 
     def segments(batches):
-        lengths, _, base, bounds = sent.value
-        start, part, first = 0, None, True
+        lengths, _, base = sent.value
+        start, part, first, done = 0, None, True, 0
         ids, nulls, sizes, blocks, bits, n, at = [], [], [], [], [], 0, 0
 
         def flush():
-            nonlocal ids, nulls, sizes, blocks, bits, n, at, start
-            out = segment(start, ids, nulls, sizes, np.concatenate(blocks) if blocks else [], b"".join(bits))
-            start += n
+            nonlocal ids, nulls, sizes, blocks, bits, n, at, start, done
+            out = [segment(start, ids, nulls, sizes, np.concatenate(blocks) if blocks else [], b"".join(bits))]
+            if done % FILE_SEGMENTS == 0:  # the writer begins a file here
+                out.insert(0, record(b"HUFC", lengths.tobytes()))
+            start, done = start + n, done + 1
             ids, nulls, sizes, blocks, bits, n, at = [], [], [], [], [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["r"])
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["r"])
 
         for batch in batches:
             for p, i, _, size, rel, b in zip(*[batch.column(k).to_pylist() for k in range(6)]):
                 if first:
                     first, part = False, p
                     start = int(base[p])
-                    yield pa.RecordBatch.from_arrays([pa.array([record(b"HUFC", lengths.tobytes())], pa.binary())], names=["r"])
                 assert p == part
                 ids.append(i or 0)
                 nulls.append(i is None)
@@ -339,8 +364,8 @@ def write(docs: DataFrame, path: str, json_file: str | None = None, id_col: str
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     out = rows.mapInArrow(segments, "r binary")
     # The text writer puts a row's bytes as they are and ends each with the line feed that the format has.
-    out.select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
-    discard(spark, packs.inputFiles()[0].rsplit("/", 1)[0]) if stats else None
+    out.select(F.col("r").cast("string").alias("value")).write.options(lineSep="\n", maxRecordsPerFile=FILE_SEGMENTS + 1).text(path)
+    drop_stored(packs)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

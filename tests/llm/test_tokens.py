@@ -83,3 +83,44 @@ def test_files_give_back_the_ids(spark, tmp_path):
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0)) and len(got) == df.count()
     assert tf.round_trip(df.limit(0)).count() == 0
+
+
+def test_plain_texts_have_the_named_librarys_ids():
+    """Every text of a table and random strings of the characters that take the faster path."""
+    from tokenizers import Tokenizer
+
+    tk, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tf.byte_tokenizer()
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    rng = random.Random(8)
+    plain = [c for c in map(chr, range(0x2100)) if tf.PLAIN.fullmatch(c)]
+    texts += ["".join(rng.choices(plain, k=rng.randint(1, 12))) for _ in range(60_000)]
+    texts += ["".join(rng.choice(["the", " ", "  ", "\n", "'s", "'LL", "1", "23", "é", "!?", "\t", "…"]) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    assert sum(bool(tf.PLAIN.fullmatch(t)) for t in texts) > 100_000
+    want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    assert [own.encode(t) for t in texts] == want
+
+
+def test_parts_keep_the_order():
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.choice([3, 7, 7, 7, 7, 9, 12], 4000))
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    order = np.lexsort((hashes, ids))
+    bounds = np.array([3, 7, 7, 7, 9])
+    part = tf.parts_of(bounds, ids[order], hashes[order])
+    assert (np.diff(part) >= 0).all() and part.min() >= 0 and part.max() <= len(bounds)
+    assert len(set(part[ids[order] == 7].tolist())) == 4  # one id over several parts
+
+
+def test_an_id_of_many_rows_is_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SEGMENT_IDS", 100)
+    monkeypatch.setattr(tf, "FILE_SEGMENTS", 2)
+    rows = [(None if k % 2 else 5, f"text number {k} " * (k % 9), "en", "s", 1) for k in range(900)] + [(k, "x", "en", "s", 1) for k in range(100)]
+    df = stored(spark, rows, DOC, tmp_path / "d")
+    path = str(tmp_path / "ids")
+    tf.write(df, path)
+    assert len([f for f in (tmp_path / "ids").iterdir() if f.name.startswith("part-")]) > 8
+    got = sorted(tf.read(spark, path).collect(), key=lambda r: r.start)
+    assert len(got) == 1000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r[0] is not None, r[0] or 0) for r in rows)
