@@ -43,3 +43,26 @@ def evidence_text(rows: DataFrame, key: str, order: str, title: str, text: str,
 def repair_prompt(request: str, code: str, problem: str, suggestion: str = "") -> str:
     hint = f"\nHint: {suggestion}" if suggestion else ""
     return f"Request: {request}\n\nThis query failed:\n```sql\n{code}\n```\nProblem: {problem}{hint}\n\nWrite a corrected query."
+
+
+#: Pages and characters of each that show what a corpus is about.
+EXCERPT_PAGES, EXCERPT_CHARS = 30, 300
+
+
+def excerpt_text(pages: DataFrame, order: str = "page_ord", most: int = EXCERPT_PAGES, longest: int = EXCERPT_CHARS) -> str:
+    """The beginnings of a corpus's first pages under their titles: a bounded text."""
+    rows = pages.orderBy(order).limit(most).select("slug", F.coalesce("title", F.lit("")).alias("title"), F.trim(F.substring(F.coalesce("body", F.lit("")), 1, longest)).alias("body")).collect()
+    return "\n\n".join(f"## [[{r.slug}]]: {r.title.strip()}\n{r.body}" for r in rows)
+
+
+def examples_text(pairs: list[tuple[str, str]]) -> str:
+    """Requests with queries that answered them, to go by."""
+    return "\n\n".join(f"Request: {request}\n```sql\n{code}\n```" for request, code in pairs)
+
+
+def memory_text(rows: list[dict], most: int = 2) -> str:
+    """What past runs tell: request, likeness, query; nothing without any."""
+    if not rows:
+        return ""
+    parts = [f"A run that was alike ({r.get('score', 0):.2f}), for \"{r.get('prompt', '')}\":\n```sql\n{r.get('code', '')}\n```" for r in rows[:most]]
+    return "These runs went well before; use them if they fit.\n\n" + "\n\n".join(parts)

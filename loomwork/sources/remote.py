@@ -10,10 +10,15 @@ import io
 import os
 import re
 import shutil
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
+from loomwork.runtime import shared_dir
 from loomwork.sources.tabular import SourceError
 
 Fetch = Callable[[str], bytes]
@@ -66,10 +71,37 @@ def stage_files(paths: list[str], to: str) -> int:
     return len(pages)
 
 
+def shared_copy(spark: SparkSession, folder: str) -> str:
+    """A local folder's copy in the folder that driver and executors share, for Spark to read."""
+    to = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    out = path(to)
+    out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path("file://" + os.path.abspath(folder)), out)
+    return to
+
+
+def fetch_corpus(spark: SparkSession, config: dict, fetch: Fetch) -> str:
+    """The corpus that a request names, fetched by the driver and put where executors can read it."""
+    with tempfile.TemporaryDirectory() as local:
+        return shared_copy(spark, corpus_folder(config, local, fetch))
+
+
+def prior_bundle(config: dict, fetch: Fetch) -> bytes | None:
+    """The bundle of the run before, by its address, else by its path; None if the request names none or it is not there."""
+    if config.get("priorBundleUrl"):
+        return fetch(config["priorBundleUrl"])
+    path = config.get("priorBundlePath")
+    if path and os.path.isfile(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return None
+
+
 def corpus_folder(config: dict, to: str, fetch: Fetch) -> str:
     """Where a request's corpus lies after fetching: a repository, an archive, or uploaded files."""
     if config.get("githubRepo"):
-        return fetch_repository(config["githubRepo"], to, fetch, config.get("branch", "main"))
+        return fetch_repository(config["githubRepo"], to, fetch, config.get("githubBranch") or config.get("branch") or "main")
     if config.get("zipUrl"):
         return unpack(fetch(config["zipUrl"]), to)
     if config.get("uploadedFiles"):

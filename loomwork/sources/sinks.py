@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -27,7 +30,8 @@ def file_name(fmt: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, nullValue="", emptyValue='""', escape='"').csv(path)
+    """Values with separators, quotes or line ends are quoted, quotes doubled, blanks kept."""
+    df.write.options(header=True, nullValue="", emptyValue='""', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -49,6 +53,22 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     return int(seen.get["n"])
 
 
+def export(df: DataFrame, path: str, fmt: str) -> int:
+    """Any format by its name; returns the number of rows. A workbook is one file, the others are folders."""
+    if fmt == "xlsx":
+        jvm = df.sparkSession.sparkContext._jvm
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        out = to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(to)
+        try:
+            out.write(workbook(df))
+        finally:
+            out.close()
+        return df.count()
+    if fmt not in MEDIA:
+        raise ValueError(f"unknown format {fmt}; one of {', '.join(MEDIA)}")
+    return write_counted(df, path, fmt)
+
+
 def json_size(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) + 1), F.lit(0))).first()[0]) + 1
 
@@ -67,8 +87,52 @@ def json_array(df: DataFrame, most: int = INLINE_BYTES) -> str:
     return json.dumps(rows, ensure_ascii=False, default=str)
 
 
-def preview(df: DataFrame, n: int | None = PREVIEW) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(n or PREVIEW).collect()]
+def preview(df: DataFrame, n: int | None = PREVIEW, order_by: str | None = None) -> list[dict]:
+    """The first rows: by ``order_by``, else in the frame's own order, which a sorted one has."""
+    rows = df if order_by is None else df.orderBy(order_by)
+    return [r.asDict(recursive=True) for r in rows.limit(n or PREVIEW).collect()]
+
+
+@dataclass
+class Report:
+    """What a transformation came to."""
+
+    status: str
+    sources: int = 0
+    rows_in: int = 0
+    columns_in: list[str] = field(default_factory=list)
+    rows_out: int = 0
+    columns_out: list[str] = field(default_factory=list)
+    file: str | None = None
+    format: str = "csv"
+    preview: list[dict] = field(default_factory=list)
+    milliseconds: int = 0
+    code: str | None = None
+    generation: dict | None = None
+    warnings: list[str] = field(default_factory=list)
+    errors: list[dict] = field(default_factory=list)
+    data: list[dict] | None = None
+    at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+
+    def to_dict(self) -> dict:
+        """Under the names that callers read; all rows only where they are few."""
+        out = {
+            "status": self.status, "input_sources_count": self.sources, "input_rows_total": self.rows_in, "input_columns": self.columns_in, "output_rows": self.rows_out,
+            "output_columns": self.columns_out, "output_file": self.file, "output_preview": self.preview, "execution_time_ms": self.milliseconds, "generation_info": self.generation,
+            "generated_code": self.code, "warnings": self.warnings, "errors": self.errors, "timestamp": self.at.isoformat(),
+        }
+        return out if self.data is None else out | {"output_data": self.data}
+
+
+def report(inputs: list[DataFrame], result: DataFrame, path: str, fmt: str = "csv", **more) -> Report:
+    """Exports the result and tells what came of it, from one job for its rows."""
+    began = time.monotonic()
+    n = export(result, path, fmt)
+    columns = list(dict.fromkeys(c for d in inputs for c in d.columns))
+    return Report(
+        "success", len(inputs), sum(d.count() for d in inputs), columns, n, result.columns, f"{path.rstrip('/')}" if fmt == "xlsx" else path, fmt, preview(result),
+        int((time.monotonic() - began) * 1000), data=inline_rows(result), **more,
+    )
 
 
 def _cell(ref: str, v: object) -> str:

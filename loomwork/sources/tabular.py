@@ -10,8 +10,10 @@ import os
 import re
 import tempfile
 import zipfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from urllib.parse import parse_qs, urlparse
+from datetime import datetime, timedelta
+from urllib.parse import urlparse
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +22,14 @@ from pyspark.sql import types as T
 
 from loomwork.operators.profile import merge_label, schema_warnings, union_relaxed
 
-# Formats by extension, separators in order of preference, null tokens, signs of a web page.
+# Formats by extension, separators in order of preference, null tokens, signs of a web page (or a drive's
+# warning in place of a file), where a drive gives files.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "xlsx": "xlsx", "xls": "xls"}
 SEPARATORS = [",", ";", "\t", "|"]
 NULLS = ["", "null", "NULL", "None", "NA", "N/A", "n/a", "-"]
-HTML_SIGNS = ["<!doctype html", "<html", "<head", "<body", "<title"]
+HTML_SIGNS = ["<!doctype html", "<html", "<head", "virus scan warning", "google drive"]
+DRIVE_HOST = "drive.google.com"
+DRIVE_DOWNLOAD = "https://drive.usercontent.google.com/download?id={id}&export=download&confirm=t"
 ZIP_ORDER = ["csv", "json", "parquet", "xlsx", "xls"]
 ZIP_MAGIC = b"PK\x03\x04"
 
@@ -36,9 +41,15 @@ class SourceError(ValueError):
     """A source that cannot be read as it is."""
 
 
+#: From a location to bytes; the caller opens connections, nothing here does.
+Fetch = Callable[[str], bytes]
+#: How the location of a hosted dataset begins; the rest is its id.
+HOSTED = "dataset:"
+
+
 @dataclass(frozen=True)
 class Source:
-    """Where a table comes from: a path or in-line records."""
+    """Where a table comes from: a path, an address, the id of a hosted dataset, or in-line records."""
 
     location: str = ""
     inline: object = None
@@ -56,9 +67,11 @@ def format_of(location: str) -> str:
 
 
 def sources_of(config: dict) -> list[Source]:
-    """Sources named by a request, in order: in-line data, urls, uploaded files; a single url only if there is none else.
+    """Sources named by a request, in order: in-line data, urls, uploaded files, hosted datasets; a single url only if there is none else.
 
-    An object whose first value is a list has one table for each key; another object is one row.
+    An object whose first value is a list has one table for each key; another
+    object is one row. Hosted datasets are named by a host's key (anything that
+    ends in DatasetId), then by ``datasetId``, then by the resource's default.
     """
     out: list[Source] = []
     data = config.get("inputData")
@@ -71,6 +84,9 @@ def sources_of(config: dict) -> list[Source]:
     for u in config.get("datasetUrls") or []:
         out.append(Source(u["url"], table_name=u.get("name")) if isinstance(u, dict) else Source(u))
     out += [Source(u) for u in config.get("uploadedFiles") or []]
+    resource = config.get("resource") if isinstance(config.get("resource"), dict) else {}
+    own = [v for k, v in config.items() if k.endswith("DatasetId")]
+    out += [Source(f"{HOSTED}{i}") for i in [*own, config.get("datasetId"), resource.get("defaultDatasetId")] if i]
     if not out and config.get("datasetUrl"):
         out.append(Source(config["datasetUrl"]))
     return out
@@ -78,14 +94,12 @@ def sources_of(config: dict) -> list[Source]:
 
 def direct_download(url: str) -> str:
     """The download form of a link to a shared file on a drive; other links as they are."""
-    parts = urlparse(url)
-    if parts.hostname not in ("drive.google.com", "docs.google.com"):
+    if DRIVE_HOST not in url:
         return url
-    found = re.search(r"/d/([\w-]+)", parts.path)
-    key = found[1] if found else (parse_qs(parts.query).get("id") or [""])[0]
-    if key:
-        return f"https://drive.google.com/uc?export=download&id={key}&confirm=t"
-    return url + ("&" if parts.query else "?") + "confirm=t"
+    found = re.search(r"[?&]id=([\w-]+)", url, re.A) or re.search(r"/file/d/([\w-]+)", url, re.A)
+    if found:
+        return DRIVE_DOWNLOAD.format(id=found[1])
+    return url + ("&" if "?" in url else "?") + "confirm=t"
 
 
 def looks_like_html(head: bytes) -> bool:
@@ -97,6 +111,8 @@ def zip_member(content: bytes) -> tuple[str, bytes] | None:
     """(name, bytes) of the member to read; None if it is no archive or is itself a workbook."""
     if not content.startswith(ZIP_MAGIC):
         return None
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        return None
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = [n for n in z.namelist() if not n.endswith("/") and not n.startswith("__MACOSX")]
         if "xl/workbook.xml" in names:
@@ -152,8 +168,18 @@ def infer_types(df: DataFrame, rows: int = INFER_ROWS) -> T.StructType:
     return T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(df.columns, kinds)])
 
 
+def _breaks_in_quotes(spark: SparkSession, path: str, charset: str) -> bool:
+    """Whether a line holds an odd number of quotes, as lines do that a quoted value runs across. A scan that stops at the first."""
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
+    lines = spark.read.option("encoding", charset).option("sep", "\u0001").option("quote", "").schema("value string").csv(path)
+    return not lines.filter(odd).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """UTF-8, else Latin-1; null tokens; types from the first rows, and a later value that does not fit is an error."""
+    """UTF-8, else Latin-1; null tokens; types from the first rows, and a later value that does not fit is an error.
+
+    Files are split at line ends, unless some value has a line end inside its quotes: then each is read whole.
+    """
     raw = _head(spark, path)
     if looks_like_html(raw):
         raise SourceError("the file is a web page, not a table")
@@ -163,7 +189,7 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> Da
     except UnicodeDecodeError:
         charset = "ISO-8859-1"
     text = raw.decode("utf-8" if charset == "UTF-8" else "latin-1", "replace").lstrip("﻿")
-    options = {"header": True, "sep": separator or sniff_separator(text), "encoding": charset, "mode": "FAILFAST", "multiLine": False, "escape": '"', "nullValue": ""}
+    options = {"header": True, "sep": separator or sniff_separator(text), "encoding": charset, "mode": "FAILFAST", "multiLine": _breaks_in_quotes(spark, path, charset), "escape": '"', "nullValue": ""}
     df = spark.read.options(**options).csv(path)
     cleaned = df.select(*[F.when(F.col(f"`{c}`").isin(NULLS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
     schema = infer_types(cleaned)
@@ -177,17 +203,60 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_PACK = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+#: Formats of numbers that every workbook knows as dates or times.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part of the sheet that the workbook lists first."""
+    book, names = ElementTree.fromstring(z.read("xl/workbook.xml")), z.namelist()
+    sheet = next(book.iter(f"{_MAIN}sheet"), None)
+    if sheet is not None and "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_PACK}Relationship"):
+            if r.get("Id") == sheet.get(f"{_REL}id"):
+                target = r.get("Target", "")
+                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    found = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    return min(found, key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{_MAIN}numFmt")}
+    dates = DATE_FORMATS | {k for k, code in own.items() if re.search(r"[dmyhs]", code, re.I) and not re.search(r"general", code, re.I)}
+    cells = root.find(f"{_MAIN}cellXfs")
+    return {k for k, x in enumerate(cells if cells is not None else []) if int(x.get("numFmtId", 0)) in dates}
 
 
 def _cells(content: bytes) -> list[list]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
+        names, dates = z.namelist(), _date_styles(z)
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        old = next((p.get("date1904") in ("1", "true") for p in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr")), False)
+        epoch = datetime(1904, 1, 1) if old else datetime(1899, 12, 30)
+
+        def value(kind: str | None, style: int, text: str) -> object:
+            if kind == "s":
+                return shared[int(text)]
+            if kind == "b":
+                return text == "1"
+            if kind == "e":  # an error stands where a value would
+                return None
+            if kind == "d":
+                return datetime.fromisoformat(text)
+            if kind == "str":
+                return text
+            return epoch + timedelta(seconds=round(float(text) * 86_400)) if style in dates else float(text)
+
         rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_MAIN}row"):
+        for row in ElementTree.fromstring(z.read(_first_sheet(z))).iter(f"{_MAIN}row"):
             out: dict[int, object] = {}
             for k, c in enumerate(row.iter(f"{_MAIN}c")):
                 letters = re.match(r"[A-Z]+", c.get("r", ""))
@@ -196,7 +265,7 @@ def _cells(content: bytes) -> list[list]:
                 if kind == "inlineStr":
                     out[col] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
                 elif v is not None and v.text is not None:
-                    out[col] = shared[int(v.text)] if kind == "s" else v.text == "1" if kind == "b" else v.text if kind == "str" else float(v.text)
+                    out[col] = value(kind, int(c.get("s", 0)), v.text)
             rows.append([out.get(i) for i in range(max(out, default=-1) + 1)])
         return rows
 
@@ -219,6 +288,10 @@ def read_excel(spark: SparkSession, content: bytes) -> DataFrame:
         elif seen == {bool}:
             kinds.append("boolean")
             columns.append(values)
+        elif seen == {datetime}:
+            days = all(v is None or v.time() == datetime.min.time() for v in values)
+            kinds.append("date" if days else "timestamp_ntz")
+            columns.append([v.date() if v is not None and days else v for v in values])
         else:
             kinds.append("string")
             columns.append([None if v is None else str(v) for v in values])
@@ -246,29 +319,57 @@ def _bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def read(spark: SparkSession, source: Source) -> DataFrame:
+def _hosted(spark: SparkSession, source: Source, fetch: Fetch | None) -> DataFrame:
+    """A hosted dataset's items: an array of objects."""
+    if fetch is None:
+        raise SourceError(f"{source.location} needs a fetcher")
+    import json
+
+    items = json.loads(fetch(source.location))
+    if not items:
+        raise SourceError(f"{source.location} is empty")
+    return read_inline(spark, items)
+
+
+def _fetched(spark: SparkSession, source: Source, fetch: Fetch | None) -> DataFrame:
+    """What an address gives, put where executors can read it."""
+    if fetch is None:
+        raise SourceError(f"{source.location} needs a fetcher")
+    content = fetch(direct_download(source.location))
+    if looks_like_html(content):
+        raise SourceError("a web page came in place of a file; ask for a direct link")
+    name = os.path.basename(urlparse(source.location).path) or "table"
+    return _of_content(spark, name, content)
+
+
+def _of_content(spark: SparkSession, name: str, content: bytes) -> DataFrame:
+    from loomwork.runtime import shared_dir
+
+    if inner := zip_member(content):
+        name, content = inner
+    kind = "xlsx" if content.startswith(ZIP_MAGIC) and zipfile.is_zipfile(io.BytesIO(content)) else format_of(name)
+    if kind == "xlsx":
+        return read_excel(spark, content)
+    return read(spark, Source(_stage(spark, shared_dir(spark), os.path.splitext(os.path.basename(name))[0] + f".{kind}", content)))
+
+
+def read(spark: SparkSession, source: Source, fetch: Fetch | None = None) -> DataFrame:
+    """``fetch`` is asked for web addresses and hosted datasets; paths are Spark's."""
     if source.inline is not None:
         return read_inline(spark, source.inline)
     kind, path = source.format, source.location
+    if path.startswith(HOSTED):
+        return _hosted(spark, source, fetch)
+    if re.match(r"https?://", path):
+        return _fetched(spark, source, fetch)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "xls":
         raise SourceError(".xls workbooks are not supported; save as .xlsx")
     if kind == "xlsx":
         return read_excel(spark, _bytes(spark, path))
-    if _head(spark, path, 4) == ZIP_MAGIC:
-        content = _bytes(spark, path)
-        inner = zip_member(content)
-        if inner is None:
-            return read_excel(spark, content)
-        name, body = inner
-        from loomwork.runtime import shared_dir
-
-        base = shared_dir(spark)
-        if format_of(name) == "xlsx":
-            return read_excel(spark, body)
-        to = _stage(spark, base, os.path.basename(name), body)
-        return read(spark, Source(to))
+    if _head(spark, path, 4) == ZIP_MAGIC and zipfile.is_zipfile(io.BytesIO(content := _bytes(spark, path))):
+        return _of_content(spark, path, content)
     return read_json(spark, path) if kind == "json" else read_csv(spark, path)
 
 
@@ -293,17 +394,17 @@ class Loaded:
     merge: str = "single_source"
 
 
-def load(spark: SparkSession, sources: list[Source]) -> Loaded:
+def load(spark: SparkSession, sources: list[Source], fetch: Fetch | None = None) -> Loaded:
     """All sources as one table, united by name."""
     if not sources:
         raise SourceError("no source")
     if len(sources) > MOST_FILES:
         raise SourceError(f"{len(sources)} files; at most {MOST_FILES}")
-    frames = [read(spark, s) for s in sources]
+    frames = [read(spark, s, fetch) for s in sources]
     return Loaded(union_relaxed(frames) if len(frames) > 1 else frames[0], schema_warnings(frames), merge_label(len(frames), False))
 
 
-def load_named(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
+def load_named(spark: SparkSession, sources: list[Source], fetch: Fetch | None = None) -> dict[str, DataFrame]:
     """Tables by name: the given one, else the file's, else table_i; equal names get _2, _3 and so on."""
     out: dict[str, DataFrame] = {}
     for i, s in enumerate(sources, 1):
@@ -312,7 +413,7 @@ def load_named(spark: SparkSession, sources: list[Source]) -> dict[str, DataFram
         k = 2
         while name in out:
             name, k = f"{base}_{k}", k + 1
-        out[name] = read(spark, s)
+        out[name] = read(spark, s, fetch)
     return out
 
 

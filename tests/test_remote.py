@@ -41,6 +41,23 @@ def test_staging(tmp_path):
     assert (tmp_path / "to/p.md").read_text() == "b"
 
 
+def test_corpora_land_where_executors_read(spark, tmp_path):
+    from loomwork.sources.corpus import read_corpus
+
+    fetch = lambda url: archive({"b-main/p.md": "---\ntitle: P\n---\nx", "b-main/d/q.md": "y"})
+    assert {r["path"] for r in read_corpus(spark, R.fetch_corpus(spark, {"githubRepo": "a/b"}, fetch)).collect()} == {"p.md", "d/q.md"}
+    (tmp_path / "prior.zip").write_bytes(b"z")
+    assert R.prior_bundle({"priorBundleUrl": "u", "priorBundlePath": str(tmp_path / "prior.zip")}, lambda u: b"web") == b"web"
+    assert R.prior_bundle({"priorBundlePath": str(tmp_path / "prior.zip")}, fetch) == b"z" and R.prior_bundle({"priorBundlePath": "/none"}, fetch) is None
+
+
+def test_excerpts_examples_and_memory(spark):
+    pages = spark.createDataFrame([(f"p{i}", f"T{i}", "b" * 500, i) for i in range(40)], "slug string, title string, body string, page_ord long")
+    text = P.excerpt_text(pages)
+    assert text.count("## [[") == P.EXCERPT_PAGES and text.startswith("## [[p0]]: T0\n") and len(text.split("\n\n")[0]) < 330
+    assert P.examples_text([("r", "SELECT 1")]).count("```") == 2 and P.memory_text([]) == "" and "0.91" in P.memory_text([{"score": 0.91, "prompt": "p", "code": "c"}])
+
+
 def test_prompts(spark):
     assert P.code_in("Here:\n```sql\nSELECT 1\n```\nok") == "SELECT 1" and P.code_in(" SELECT 2 ") == "SELECT 2"
     df = spark.createDataFrame([("Here:\n```sql\nSELECT 1\n```", ), (" x ", )], "r string")

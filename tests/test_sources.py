@@ -13,8 +13,65 @@ def test_formats_and_separators():
     assert [T.format_of(x) for x in ("a.CSV", "http://h/x.json?y=1", "p.parquet", "q.xlsx", "noext", "z.tsv")] == ["csv", "json", "parquet", "xlsx", "csv", "csv"]
     assert T.sniff_separator("a;b;c\n1,5;2") == ";" and T.sniff_separator("a,b;c") == "," and T.sniff_separator("x") == ","
     assert T.looks_like_html(b"  <!DOCTYPE HTML><p>") and not T.looks_like_html(b"a,b\n1,2")
-    assert T.direct_download("https://drive.google.com/file/d/AbC-1/view").endswith("id=AbC-1&confirm=t")
-    assert T.direct_download("https://h/x.csv") == "https://h/x.csv"
+    assert T.direct_download("https://drive.google.com/file/d/AbC-1/view").endswith("id=AbC-1&export=download&confirm=t")
+    assert T.direct_download("https://h/x.csv") == "https://h/x.csv" and T.direct_download("https://drive.google.com/uc?id=Q_2").startswith("https://drive.usercontent.google.com/download?id=Q_2&")
+    assert T.direct_download("https://drive.google.com/x") == "https://drive.google.com/x?confirm=t"
+    assert T.looks_like_html(b"Google Drive - Virus scan warning")
+
+
+def test_line_ends_quotes_and_blanks_in_values(spark, tmp_path):
+    rows = [(1, 'a\nb "q", c'), (2, "x\r\ny"), (3, "  pad "), (4, None), (5, '"'), (6, "plain")]
+    df = spark.createDataFrame(rows, "k long, v string")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    back = T.read_csv(spark, str(tmp_path / "c"))
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == rows
+    # the first such value far beyond what is looked at
+    (tmp_path / "late.csv").write_text("k,v\n" + "1,x\n" * 30_000 + '2,"p\nq"\n')
+    late = T.read_csv(spark, str(tmp_path / "late.csv"))
+    assert late.count() == 30_001 and late.filter("k = 2").first().v == "p\nq"
+
+
+def test_sheets_in_the_books_order_dates_and_errors(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda rows: f'<worksheet {main}><sheetData>{rows}</sheetData></worksheet>'
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    first = f'<row r="1">{text("A1", "day")}{text("B1", "at")}{text("C1", "x")}</row><row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2" s="2"><v>45292.5</v></c><c r="C2" t="e"><v>#N/A</v></c></row><row r="3"><c r="C3"><v>2.5</v></c></row>'
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="b" sheetId="10" r:id="r10"/><sheet name="a" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r2" Target="worksheets/sheet10.xml"/><Relationship Id="r10" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet2.xml", sheet(first))
+        z.writestr("xl/worksheets/sheet10.xml", sheet(f'<row r="1">{text("A1", "wrong")}</row>'))
+    df = T.read_excel(spark, out.getvalue())
+    assert df.dtypes == [("day", "date"), ("at", "timestamp_ntz"), ("x", "double")]
+    assert [tuple(map(str, r)) for r in df.collect()] == [("2024-01-01", "2024-01-01 12:00:00", "None"), ("None", "None", "2.5")]
+
+
+def test_what_is_fetched(spark):
+    asked = []
+    answers = {"https://h/t.csv": b"a,b\n1,x\n", "https://h/page": b"<html>", "dataset:d1": b'[{"a": 1}, {"a": 2, "b": "y"}]', "dataset:none": b"[]"}
+    fetch = lambda location: (asked.append(location), answers[location])[1]
+    sources = T.sources_of({"uploadedFiles": ["u.csv"], "hostDatasetId": "d1", "datasetId": "d2", "resource": {"defaultDatasetId": "d3"}})
+    assert [s.location for s in sources] == ["u.csv", "dataset:d1", "dataset:d2", "dataset:d3"]
+    assert [tuple(r) for r in T.read(spark, T.Source("https://h/t.csv"), fetch).collect()] == [(1, "x")]
+    assert T.read(spark, T.Source("dataset:d1"), fetch).count() == 2 and asked == ["https://h/t.csv", "dataset:d1"]
+    for bad in ("https://h/page", "dataset:none"):
+        with pytest.raises(T.SourceError):
+            T.read(spark, T.Source(bad), fetch)
+    with pytest.raises(T.SourceError):
+        T.read(spark, T.Source("dataset:d1"))
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é")], "a long, b string")
+    for fmt in sinks.MEDIA:
+        r = sinks.report([df, df], df, str(tmp_path / f"out.{fmt}"), fmt, warnings=["w"]).to_dict()
+        assert r["status"] == "success" and r["input_rows_total"] == 2 and r["output_rows"] == 1 and r["output_columns"] == ["a", "b"] and r["output_data"] == [{"a": 1, "b": "é"}]
+    assert T.read(spark, T.Source(str(tmp_path / "out.xlsx"))).count() == 1
+    with pytest.raises(ValueError):
+        sinks.export(df, str(tmp_path / "x"), "odt")
 
 
 def test_request_sources():
