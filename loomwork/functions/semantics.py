@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.runtime import pin
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -88,8 +90,14 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 
 
 def with_row_number(df: DataFrame, order: list[Column], name: str = "row_nr") -> DataFrame:
-    """Numbers rows of a result in an explicit order. For results, not for corpora: one task sees all rows."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Numbers rows in an explicit order. Rows are sorted by range and numbered inside their partitions; only the partitions' sizes are added up."""
+    rows = pin(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))  # one row a partition
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, inside + F.col("_ahead")).drop("_at", "_part", "_ahead")
 
 
 def head(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
