@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import difflib
 import re
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -19,19 +22,54 @@ DENIED = ["reflect", "java_method", "try_reflect", "read_files", "input_file_nam
 READING = ["Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Distinct", "Union", "Join", "Window", "WithCTE", "UnresolvedWith", "SubqueryAlias", "UnresolvedHaving", "Intersect", "Except", "Offset", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "Pivot", "Unpivot", "UnresolvedSubqueryColumnAliases"]
 
 
+#: How long a generated query may take.
+SECONDS = 300.0
+
+
 class Rejected(ValueError):
     """A query that is not run."""
 
 
-def check_sql(spark: SparkSession, text: str) -> str:
-    """The class of the plan's root, if the query only reads; no file paths, no functions that reach outside."""
+class TimeLimit(RuntimeError):
+    """A query that took too long."""
+
+
+def _items(seq) -> list:
+    """A Scala sequence as a list."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _unknown_tables(plan, known: frozenset[str]) -> list[str]:
+    """Names that a parsed plan reads and that are neither given nor defined by the query, each looked up where it stands."""
+    kind = _kind(plan)
+    if kind == "UnresolvedRelation":
+        name = ".".join(_items(plan.multipartIdentifier()))
+        return [] if name.lower() in known else [name]
+    if kind == "UnresolvedWith":
+        inner, out = known, []
+        for pair in _items(plan.cteRelations()):
+            name, body = pair._1().lower(), pair._2()
+            out += _unknown_tables(body, inner | {name} if plan.allowRecursion() else inner)
+            inner |= {name}
+        return out + _unknown_tables(plan.child(), inner)
+    below = _items(plan.children()) + _items(plan.subqueries())
+    return [n for p in below for n in _unknown_tables(p, known)]
+
+
+def check_sql(spark: SparkSession, text: str, tables: Iterable[str] | None = None) -> str:
+    """The class of the plan's root, if the query only reads: no file paths, no functions that reach outside, and of relations
+    only views of the given ``tables`` and what the query defines itself. None: relations are not looked at."""
     if len(text) > 100_000:
         raise Rejected("the query is too long")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise Rejected(f"the query does not parse: {str(e).splitlines()[0][:300]}") from e
-    root = plan.getClass().getSimpleName()
+    root = _kind(plan)
     if root not in READING:
         raise Rejected(f"{root} does more than read")
     bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S))
@@ -40,13 +78,15 @@ def check_sql(spark: SparkSession, text: str) -> str:
             raise Rejected(f"{name} is not allowed")
     if re.search(r"\b(parquet|csv|json|orc|text|binaryfile|avro|delta)\s*\.\s*`", bare, re.I):
         raise Rejected("files are not read by path")
+    if tables is not None and (unknown := _unknown_tables(plan, frozenset(t.lower() for t in tables))):
+        raise Rejected(f"not among the given tables: {', '.join(sorted(set(unknown)))}")
     return root
 
 
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str) -> DataFrame:
-    """The query's result over views df_<name> of the tables; files are not run meanwhile."""
-    check_sql(spark, text)
-    register(tables)
+    """The query's result over views df_<name> of the tables (df: the first); files are not run meanwhile."""
+    views = register(tables)
+    check_sql(spark, text, [*views.values(), "df"] if views else [])
     keep = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
@@ -77,15 +117,53 @@ CONDITIONS = {
 }
 
 
-def diagnose(error: Exception) -> Diagnosis:
-    text = str(error).splitlines()[0][:500] if str(error) else type(error).__name__
+# What other dialects write and Spark SQL does not.
+FOREIGN = [
+    (r"\bSELECT\s+TOP\s+\d+", "SELECT TOP n", "LIMIT n"),
+    (r"\bILIKE\s+ANY\b|~\*", "~*", "RLIKE"),
+    (r"::\s*text\b", "::text", "CAST(x AS STRING)"),
+    (r"\bdf\s*\[|\.groupby\s*\(|\.i?loc\s*\[", "data frame code", "one SELECT statement"),
+]
+
+
+def _near(name: str, columns: list[str]) -> tuple[str, str]:
+    """(kind, suggestion) for a column that is not there."""
+    alike = next((c for c in columns if c.lower() == name.lower()), None)
+    if alike:
+        return "case_mismatch", f"names are case-sensitive: use {alike}, not {name}"
+    close = difflib.get_close_matches(name, columns, 1, 0.7)
+    return "column_not_found", f"did you mean {close[0]}?" if close else "use a column that the table has"
+
+
+def _dropped_key(text: str, name: str) -> bool:
+    """Whether the name is a right key of a join USING another spelling, or of a semi or anti join, which keep the left side only."""
+    return bool(re.search(rf"\b(semi|anti)\s+join\b[^;]*\b{re.escape(name)}\b", text, re.I))
+
+
+def diagnose(error: Exception, text: str = "") -> Diagnosis:
+    """What went wrong and how to mend it, from Spark's error condition; ``text``: the query."""
+    said = str(error).splitlines()[0][:500] if str(error) else type(error).__name__
     if isinstance(error, Rejected):
-        return Diagnosis("rejected", text, "write a query that only reads the given tables")
+        for pattern, wrong, right in FOREIGN:
+            if re.search(pattern, text, re.I):
+                return Diagnosis("foreign_syntax", said, f"Spark SQL has no {wrong}; use {right}")
+        if not text.strip():
+            return Diagnosis("missing_result", "no query was given", "answer with one SELECT statement")
+        return Diagnosis("rejected", said, "write a query that only reads the given tables")
+    if isinstance(error, TimeLimit):
+        return Diagnosis("timeout", said, "read less or aggregate earlier")
     condition = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
+    if condition.startswith("UNRESOLVED_COLUMN"):
+        given = error.getMessageParameters() or {}
+        name = given.get("objectName", "").replace("`", "").rsplit(".", 1)[-1]
+        columns = re.findall(r"`([^`]+)`(?=,|$|\])", given.get("proposal", ""))
+        if _dropped_key(text, name):
+            return Diagnosis("join_key", said, f"a semi or anti join keeps the left side only: {name} is not in its result")
+        return Diagnosis(*(lambda kind, hint: (kind, said, hint))(*_near(name, columns)))
     for name, (kind, suggestion) in CONDITIONS.items():
-        if condition.startswith(name) or f"[{name}" in text:
-            return Diagnosis(kind, text, suggestion)
-    return Diagnosis("unknown", text)
+        if condition.startswith(name) or f"[{name}" in said:
+            return Diagnosis(kind, said, suggestion)
+    return Diagnosis("unknown", said)
 
 
 @dataclass
@@ -103,23 +181,49 @@ class Outcome:
     attempts: list[Attempt] = field(default_factory=list)
 
 
-def run_with_retries(spark: SparkSession, tables: dict[str, DataFrame], generate: Callable[[list[Attempt]], str], contract: Contract | None = None, retries: int = 3, order_by: str | None = None) -> Outcome:
+@contextlib.contextmanager
+def time_limit(spark: SparkSession, seconds: float | None):
+    """Jobs that this block starts are cancelled after ``seconds``; what then fails is a TimeLimit."""
+    tag = uuid.uuid4().hex
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop) if seconds else None
+    spark.sparkContext.addJobTag(tag)
+    if timer:
+        timer.daemon = True
+        timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise TimeLimit(f"stopped after {seconds:g} seconds") from e
+        raise
+    finally:
+        if timer:
+            timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def run_with_retries(
+    spark: SparkSession, tables: dict[str, DataFrame], generate: Callable[[list[Attempt]], str], contract: Contract | None = None, retries: int = 3, order_by: str | None = None, seconds: float | None = SECONDS
+) -> Outcome:
     """Asks for a query, runs it, checks the result, and asks again with what went wrong."""
     attempts: list[Attempt] = []
     for _ in range(retries + 1):
         text = generate(attempts)
-        tag = uuid.uuid4().hex
-        spark.sparkContext.setJobGroup(tag, "generated query", interruptOnCancel=True)
         try:
-            df = run_sql(spark, tables, text)
-            verdict = check_semantics(df)
-            if verdict.passed and contract:
-                verdict = verify(df, contract, order_by)
+            with time_limit(spark, seconds):
+                df = run_sql(spark, tables, text)
+                verdict = check_semantics(df, text)
+                if verdict.passed and contract:
+                    verdict = verify(df, contract, order_by)
         except Exception as e:
-            attempts.append(Attempt(text, diagnosis=diagnose(e)))
+            attempts.append(Attempt(text, diagnosis=diagnose(e, text)))
             continue
-        finally:
-            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         attempts.append(Attempt(text, verdict=verdict))
         if verdict.passed:
             return Outcome(df, text, attempts)
