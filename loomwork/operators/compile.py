@@ -12,17 +12,19 @@ from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.scores import chunk_quality
 from loomwork.functions.text import archetype_id
 from loomwork.operators import incremental as I, links, pages as pg
+from loomwork.operators.incremental import State
 from loomwork.operators.vectors import HashingEmbedder, topk_join
 from loomwork.runtime import pin
-from loomwork.sources.corpus import build_manifest
+from loomwork.sources.corpus import build_manifest, read_bundle
 
-CATEGORIES = ("overview", "comparison", "howto", "troubleshooting", "reference")
+# The categories of questions.
+CATEGORIES = ("ranking_top_n", "comparative", "predictive", "explanatory", "tactical_recipe")
 EVIDENCE = 8
 DUPLICATE_AT = 0.92
 
@@ -58,6 +60,23 @@ class Usage:
     def add(self, n_in: int, n_out: int) -> None:
         self.calls, self.tokens_in, self.tokens_out = self.calls + 1, self.tokens_in + n_in, self.tokens_out + n_out
 
+    def counted(self, ask: Callable[[str], str]) -> Callable[[str], str]:
+        """``ask``, with what goes in and comes out added up here; about four characters are a token."""
+
+        def asked(prompt: str) -> str:
+            answer = ask(prompt)
+            self.add(max(1, len(prompt) // 4), max(1, len(answer) // 4))
+            return answer
+
+        return asked
+
+
+def generated_usage(chunks: DataFrame) -> Usage:
+    """Tokens of a table of generated chunks, summed on the executors: questions and evidence in, titles and texts out."""
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4))
+    r = chunks.agg(F.count("*").alias("n"), F.sum(tokens(F.col("source_query")) + 250 * F.size("evidence_slugs")).alias("i"), F.sum(tokens(F.col("content_full"))).alias("o")).first()
+    return Usage(r["n"], int(r["i"] or 0), int(r["o"] or 0))
+
 
 def valid_archetypes(rows: Iterable[dict], categories: Iterable[str] = CATEGORIES) -> list[dict]:
     """Those with a known category and a query."""
@@ -131,6 +150,24 @@ def compile_full(pages: DataFrame, archetype_rows: Iterable[dict], write: Genera
     return Compiled(pages, chunks, links.edges(pages, "frontmatter" in pages.columns), both, archetypes, I.build_state(pages, chunks), "full", "asked for")
 
 
+def prior_of_bundle(spark: SparkSession, content: bytes) -> tuple[Compiled, State] | None:
+    """What a bundle says of the run that made it; None if it has no state, which asks for a full run."""
+    manifest, rows, vectors, raw = read_bundle(spark, content)
+    if raw is None:
+        return None
+    state = I.State.from_json(raw)
+    tables = state.tables(spark)
+    pages, written = rows.filter("kind <> 'chunk'"), rows.filter("kind = 'chunk'")
+    part = F.element_at(F.split("slug", "/"), -1)
+    known = tables["chunks"].select(F.col("archetype_id").alias("_id"), "evidence_slugs", "source_query", "quality_score")
+    of = tables["archetypes"].select(F.col("id").alias("_aid"), "category")
+    cites = F.coalesce(F.from_json(F.col("frontmatter")["cites"], "array<string>"), F.array().cast("array<string>"))
+    chunks = written.withColumn("archetype_id", F.coalesce(F.col("frontmatter")["archetype_id"], part)).join(known, F.col("archetype_id") == F.col("_id")).join(of, F.col("archetype_id") == F.col("_aid"), "left")
+    chunks = chunks.select("slug", "title", "body", "content_full", "kind", "archetype_id", "category", F.lit(state.thesis_hash).alias("thesis_hash"), "source_query", cites.alias("cites"), "evidence_slugs", "quality_score")
+    had = Compiled(pages, chunks, links.edges(pages, True), vectors.select("slug", "embedding"), tables["archetypes"], {k: tables[k] for k in ("pages", "chunks")}, "prior", str(manifest.get("compiler", "")))
+    return had, state
+
+
 def compile_changes(prior: Compiled, pages: DataFrame, write: Generator, embedder: HashingEmbedder, thesis: Thesis, prior_model: str | None, model: str) -> Compiled:
     """Embeds what is new, regenerates what is stale, carries the rest over; or compiles in full where that is due."""
     pages = pin(pg.nonblank(links.newest_pages(pages)))

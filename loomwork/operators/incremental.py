@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A larger share of changed pages leads to a full rebuild.
@@ -95,11 +96,15 @@ def slug_sets(prior: DataFrame, new: DataFrame) -> DataFrame:
     return tag(p.join(n, "slug", "left_anti"), "only_prior").unionByName(tag(n.join(p, "slug", "left_anti"), "only_new")).unionByName(tag(p.join(n, "slug", "left_semi"), "both"))
 
 
-def report(diff: DataFrame, stale: DataFrame) -> DataFrame:
-    """One row of counters. stale: key, action."""
+def report(diff: DataFrame, stale: DataFrame, embedded: DataFrame | None = None, carried: DataFrame | None = None, new: DataFrame | None = None, thesis_reused: bool = True) -> DataFrame:
+    """One row of counters. stale: key, action; embedded, carried and new: one row for each page or chunk, None: none."""
     d = diff.agg(*[F.count_if(F.col("status") == s).alias(f"pages_{s}") for s in ("added", "changed", "unchanged", "removed")])
     s = stale.agg(F.count("*").alias("chunks_stale"), F.count_if(F.col("action") == "drop").alias("chunks_dropped"), F.count_if(F.col("action") == "regenerate").alias("chunks_regenerated"))
-    return d.join(s)  # one row each
+    out = d.join(s)  # one row each
+    for name, rows in (("pages_embedded", embedded), ("chunks_carried", carried), ("chunks_new", new)):
+        out = out.withColumn(name, F.lit(0).cast("long")) if rows is None else out.join(rows.agg(F.count("*").alias(name)))
+    fraction = changed_fraction(diff).select(F.round("fraction", 4).alias("changed_fraction"))
+    return out.join(fraction).withColumn("thesis_reused", F.lit(thesis_reused))
 
 
 @dataclass(frozen=True)
@@ -127,3 +132,53 @@ def build_state(pages: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
         "pages": nonblank(pages).select("slug", F.sha2("content_full", 256).alias("hash")),
         "chunks": chunks.select("archetype_id", F.sha2("content_full", 256).alias("hash"), "evidence_slugs", "source_query", "quality_score"),
     }
+
+
+#: The form of a state that is written today.
+STATE_VERSION = 1
+
+
+@dataclass
+class State:
+    """What one run leaves for the next to compare with, as it travels in a bundle."""
+
+    model: str = ""
+    dims: int = 0
+    thesis_hash: str = ""
+    pages: dict[str, str] = field(default_factory=dict)
+    archetypes: list[dict] = field(default_factory=list)
+    chunks: dict[str, dict] = field(default_factory=dict)
+    version: int = STATE_VERSION
+
+    def to_json(self) -> str:
+        parts = {
+            "format_version": self.version, "embedding": {"model": self.model, "dims": self.dims}, "thesis": {"hash": self.thesis_hash}, "pages": self.pages,
+            "archetypes": self.archetypes, "chunks": self.chunks, "counts": {"pages": len(self.pages), "chunks": len(self.chunks)},
+        }
+        return json.dumps(parts, ensure_ascii=False, indent=2)
+
+    @classmethod
+    def from_json(cls, text: str | bytes | dict) -> State:
+        """What is missing or null has its default."""
+        d = text if isinstance(text, dict) else json.loads(text)
+        part = lambda key: d.get(key) or {}
+        return cls(
+            str(part("embedding").get("model") or ""), int(part("embedding").get("dims") or 0), str(part("thesis").get("hash") or ""), dict(part("pages")),
+            list(d.get("archetypes") or []), dict(part("chunks")), int(d.get("format_version") or STATE_VERSION),
+        )
+
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """As build_state() makes them, with the archetypes."""
+        chunks = [(k, c.get("hash"), list(c.get("evidence_slugs") or []), c.get("source_query") or "", float(c.get("quality_score") or 0.0)) for k, c in self.chunks.items()]
+        return {
+            "pages": spark.createDataFrame(list(self.pages.items()), "slug string, hash string"),
+            "chunks": spark.createDataFrame(chunks, "archetype_id string, hash string, evidence_slugs array<string>, source_query string, quality_score double"),
+            "archetypes": spark.createDataFrame([(a.get("id"), a.get("category"), a.get("query"), i) for i, a in enumerate(self.archetypes)], "id string, category string, query string, ord long"),
+        }
+
+
+def state_of(tables: dict[str, DataFrame], archetypes: DataFrame, model: str, dims: int, thesis_hash: str) -> State:
+    """The state of a corpus that one machine holds, as a bundle does; larger ones keep the tables."""
+    rows = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in tables.items()}
+    asked = [r.asDict() for r in archetypes.orderBy("ord").select("id", "category", "query").collect()]
+    return State(model, dims, thesis_hash, {r["slug"]: r["hash"] for r in rows["pages"]}, asked, {r.pop("archetype_id"): r for r in rows["chunks"]})

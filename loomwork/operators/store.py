@@ -56,14 +56,14 @@ def audit(df: DataFrame, by: str = "namespace", col: str = "quality_score") -> D
 
     The median's place counts scored rows only; an empty namespace has none.
     """
-    w = Window.partitionBy(by).orderBy(F.col(col).asc_nulls_last())
-    n = F.count(col).over(Window.partitionBy(by))
-    rows = df.withColumn("_nr", F.row_number().over(w) - 1).withColumn("_mid", F.floor(n / 2))
-    out = rows.groupBy(by).agg(
+    counts = df.groupBy(by).agg(
         F.count("*").alias("total"), F.count(col).alias("scored"), F.count_if(F.col(col) >= 99.5).alias("near_perfect"),
-        F.round(F.avg(F.col("validator_passed").cast("double")), 4).alias("validated"), F.max(F.when((F.col("_nr") == F.col("_mid")) & F.col(col).isNotNull(), F.col(col))).alias("median"),
+        F.round(F.avg(F.col("validator_passed").cast("double")), 4).alias("validated"), F.percentile(F.col(col), 0.5).alias("_mid"),
     )
-    return out
+    # of an even number of scores the median lies between two: the least score that reaches it is the upper one
+    mid = counts.select(F.col(by).alias("_by"), "_mid")
+    upper = df.join(mid, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col(col) >= F.col("_mid")).groupBy("_by").agg(F.min(col).alias("median"))
+    return counts.join(upper, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by", "_mid")
 
 
 def purge_matches(df: DataFrame, min_quality: float | None, validated_only: bool = False) -> DataFrame:
@@ -131,12 +131,13 @@ class TableStore:
         return self.spark.read.parquet(at) if at else None
 
     def replace(self, collection: str, tenant: str, rows: DataFrame) -> None:
-        """A new version; older ones go once it is complete."""
+        """A new version. The one before stays for readers that are under way; those before it go once the new one is complete."""
         old = self._current(collection, tenant)
         number = int(old.rsplit("/v-", 1)[1].split("-")[0]) + 1 if old else 1
         rows.write.parquet(f"{self._dir(collection, tenant)}/v-{number:012d}-{uuid.uuid4().hex[:8]}")
-        if old:
-            self._fs.delete(self._path(old), True)
+        for s in self._fs.listStatus(self._path(self._dir(collection, tenant))):
+            if int(s.getPath().getName()[2:].split("-")[0]) < number - 1:
+                self._fs.delete(s.getPath(), True)
 
     def upsert(self, collection: str, tenant: str, batch: DataFrame, key: str = "id") -> None:
         have = self.read(collection, tenant)

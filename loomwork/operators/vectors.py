@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import zlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,12 @@ def topk_postfiltered(df: DataFrame, q: Sequence[float], k: int, keep: Column, w
     return topk(df, q, widen * k, **options).filter(keep).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, without a Python object for each."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
 def topk_join(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_col: str, vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, rank, id, score: the k best of ``vectors`` for every query, exactly.
 
@@ -67,7 +74,7 @@ def topk_join(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_
         kinds = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64()}
         if not a.num_rows or not b.num_rows:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        x, y = np.stack(a.column("v").to_pylist()), np.stack(b.column("v").to_pylist())
+        x, y = _matrix(a.column("v")), _matrix(b.column("v"))
         qi, vi = a.column("id").to_numpy(), b.column("id").to_numpy()
         order = np.argsort(vi, kind="stable")
         s, vi = np.einsum("qd,nd->qn", x, y[order]), vi[order]
@@ -102,6 +109,74 @@ def concat_sections(*sections: DataFrame, order: str) -> DataFrame:
     return out.withColumn("_nr", F.row_number().over(inner)).join(F.broadcast(offsets), "section").withColumn("ord", (F.col("_nr") + F.col("_before")).cast("long")).drop("_nr", "_before")
 
 
+#: What a hosted model takes: texts in a call, tokens in a minute; tries when it asks to wait, and seconds to wait first and at most.
+CALL_TEXTS, MINUTE_TOKENS, TRIES, FIRST_WAIT, LONGEST_WAIT = 96, 240_000, 4, 30.0, 120.0
+
+
+def asks_to_wait(error: Exception) -> bool:
+    """Whether a model's error is about its rate."""
+    low = str(error).lower()
+    status = getattr(error, "status", None) or getattr(error, "status_code", None)
+    return status == 429 or any(s in low for s in ("429", "rate", "resource_exhausted", "max tokens per minute"))
+
+
+class ModelEmbedder:
+    """A model behind a function from (texts, kind) to vectors, kind being query or passage.
+
+    Calls have CALL_TEXTS texts at most. Each worker keeps to its share of the
+    tokens in a minute and waits, longer each time, when the model asks for it.
+    """
+
+    def __init__(self, ask: Callable[[list[str], str], list[list[float]]], dims: int, workers: int = 1, texts: int = CALL_TEXTS, tokens: int = MINUTE_TOKENS, sleep=time.sleep, clock=time.monotonic):
+        self.ask, self.dims, self.texts, self.tokens = ask, dims, texts, max(1, tokens // max(1, workers))
+        self.sleep, self.clock, self.spent = sleep, clock, []
+
+    def _within_budget(self, tokens: int) -> None:
+        while True:
+            now = self.clock()
+            self.spent = [(t, n) for t, n in self.spent if now - t < 60]
+            if not self.spent or sum(n for _, n in self.spent) + tokens <= self.tokens:
+                self.spent.append((now, tokens))
+                return
+            self.sleep(max(0.05, 60 - (now - self.spent[0][0])))
+
+    def _call(self, batch: list[str], kind: str) -> list[list[float]]:
+        wait = FIRST_WAIT
+        for k in range(1, TRIES + 1):
+            try:
+                return self.ask(batch, kind)
+            except Exception as e:
+                if not asks_to_wait(e):
+                    raise
+                if k == TRIES:
+                    raise RuntimeError(f"the model asked to wait {TRIES} times: {e}") from e
+                self.sleep(min(wait, LONGEST_WAIT))
+                wait *= 2
+
+    def embed(self, texts: Iterable[str | None], kind: str = "passage") -> np.ndarray:
+        texts, out = [t or "" for t in texts], []
+        for a in range(0, len(texts), self.texts):
+            batch = texts[a : a + self.texts]
+            self._within_budget(sum(max(1, len(t) // 4) for t in batch))
+            out += self._call(batch, kind)
+        return np.array(out, np.float32).reshape(len(texts), self.dims)
+
+    def query(self, text: str) -> list[float]:
+        return self.embed([text], "query")[0].tolist()
+
+    def table(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+        """Vectors of a column of passages; the function must be one that can be sent to workers."""
+        make = (self.ask, self.dims, 1, self.texts, self.tokens)
+
+        @F.pandas_udf("array<float>")
+        def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            own = ModelEmbedder(*make)
+            for s in parts:
+                yield pd.Series(list(own.embed(s)))
+
+        return df.withColumn(out, udf(F.col(text_col)))
+
+
 class HashingEmbedder:
     """Offline stand-in for an embedding model: signed hashes of words, unit length. It has no notion of meaning."""
 

@@ -13,11 +13,22 @@ from loomwork.operators import links, pages as pg
 from loomwork.operators.vectors import HashingEmbedder, topk
 
 SNIPPET = 400
-# Prompt templates and what they need.
+# Names of tools and of prompts with their arguments.
+TOOLS = {
+    "query_wiki": "query",
+    "query_wiki_answer": "answer",
+    "query_wiki_pages": "query_pages",
+    "read_wiki_page": "read",
+    "list_wiki_pages": "list_pages",
+    "get_thesis": "get_thesis",
+    "get_provenance": "provenance",
+    "get_wiki_backlinks": "backlinks",
+    "get_wiki_graph": "neighborhood",
+}
 PROMPTS = {
-    "ask": ("question", "Answer from the pages below and cite their slugs.\n\nQuestion: {question}"),
-    "explain": ("topic", "Explain {topic} to a newcomer, using only pages of this corpus."),
-    "compare": ("first,second", "Compare {first} with {second}: what is shared, what differs, when to use which."),
+    "summarize_wiki": ((), "Summarize this wiki. Start from `get_thesis`, look over `list_wiki_pages` (kind=\"chunk\" lists prepared answers), then say in five points what it is for, for whom, what its main ideas are, what it leaves out, and which answers stand out."),
+    "ask_about": (("question",), "Question: {question}\n\nAnswer it from this wiki alone. See `get_thesis` once for the tone. Take what `query_wiki_answer` has, if anything; otherwise gather pages with `query_wiki_pages`. Name two or more sources as [[slug]]."),
+    "compare_topics": (("topic_a", "topic_b"), "Compare {topic_a} with {topic_b} as this wiki has them. Find three pages on each with `query_wiki_pages`, or open one by its slug with `read_wiki_page`. Say what they share, where they differ and when to choose which, with sources as [[slug]]."),
 }
 
 
@@ -36,6 +47,20 @@ class KnowledgeBase:
     edges: DataFrame
     manifest: dict
     embedder: HashingEmbedder
+    thesis: dict | None = None
+
+    def call(self, tool: str, **args) -> str:
+        """A tool by its name."""
+        if tool not in TOOLS:
+            return _error(f"no tool {tool}")
+        return getattr(self, TOOLS[tool])(**args)
+
+    def get_thesis(self) -> str:
+        return _ok(self.thesis) if self.thesis else _error("this corpus has no thesis")
+
+    def query_pages(self, text: str, k: int = 5) -> str:
+        """Nearest pages, without prepared answers."""
+        return self.query(text, k, "page")
 
     def query(self, text: str, k: int = 5, kind: str | None = None) -> str:
         """Nearest pages. With a kind, the nearest 3k are looked at and the rest is left out: there may be fewer than k."""
@@ -88,13 +113,18 @@ class KnowledgeBase:
             return _error("not a resource of this server")
         if slug == "manifest":
             return _ok(self.manifest)
+        if slug == "thesis":
+            return self.get_thesis()
         row = pg.read_page(self.pages, slug).first()
         return _error(f"no page {slug}") if row is None else f"# {row['title']}\n\n{row['body']}"
 
 
 def prompt(name: str, **args: str) -> str:
+    """The text of a prompt; all of its arguments must say something."""
+    if name not in PROMPTS:
+        raise ValueError(f"unknown prompt: {name}")
     needs, text = PROMPTS[name]
-    missing = [n for n in needs.split(",") if not args.get(n)]
-    if missing:
+    given = {n: str(args.get(n) or "").strip() for n in needs}
+    if missing := [n for n, v in given.items() if not v]:
         raise ValueError(f"{name} needs {', '.join(missing)}")
-    return text.format(**args)
+    return text.format(**given)
