@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import semantics as S, text as Tx
 from loomwork.operators import contracts as C, incremental as I, links, store as St, vectors as V
 from loomwork.plans import gate
-from loomwork.service import KnowledgeBase, prompt
+from loomwork.service import PROMPTS, KnowledgeBase, prompt
 from loomwork.streaming.sync import sync_stream, window_counts
 
 
@@ -34,60 +34,124 @@ def test_joins(spark):
 
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
-    assert one(Tx.index_name(F.lit("Company Wiki!"))) == "company-wiki" and one(Tx.index_name(F.lit("  Marketing_Skills  "))) == "marketing-skills" and one(Tx.index_name(F.lit("!!"))) == "wiki"
-    assert one(Tx.body_links(F.lit("See [[pages/alpha|the alpha page]] and [[pages/beta]]. [[ ]]"))) == ["pages/alpha", "pages/beta"]
-    assert one(Tx.uri_to_slug(F.lit("wiki://pages/my%20page"))) == "pages/my page" and one(Tx.uri_to_slug(F.lit("http://x"))) is None and Tx.parse_uri("wiki://a%20b") == "a b"
-    assert one(Tx.archetype_id(F.lit("faq"), F.lit(" How much? "))) == "faq--how-much"
-    assert one(Tx.safe_path(F.lit("??"))) == "page" and one(Tx.is_blank(F.lit("  \n"))) is True
+    for given, want in (("Täglich / Neu", "t-glich-neu"), ("--9 Lives--", "9-lives"), ("a" * 60, "a" * 45), ("_", "wiki"), ("", "wiki")):
+        assert one(Tx.index_name(F.lit(given))) == want
+    assert one(Tx.body_links(F.lit("[[x/y|]] [[ x/z |label]][[x/z]] [[|no]] [x]"))) == one(Tx.body_links(F.lit("[[ x/z |label]][[x/z]]")))
+    for slug in ("ä b/c", "a+b&c=d", "x"):
+        assert one(Tx.uri_to_slug(Tx.slug_to_uri(F.lit(slug)))) == slug
+    assert one(Tx.uri_to_slug(F.lit("mailto:x"))) is None and one(Tx.uri_to_slug(F.lit(None).cast("string"))) is None
+    assert one(Tx.archetype_id(F.lit("predictive"), F.lit("  Will it RAIN, soon?"))) == "predictive--will-it-rain-soon"
+    assert one(Tx.safe_path(F.lit("//"))) == "page" and one(Tx.is_blank(F.lit("\u2003\t"))) is True and one(Tx.is_blank(F.lit("0"))) is False
 
 
 # --- vectors ------------------------------------------------------------------------
 
 
 def test_topk_and_duplicates(spark):
-    rows = [("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [0.0, 1.0]), ("d", [1.0, 0.0]), ("z", [0.0, 0.0])]
-    df = spark.createDataFrame(rows, "slug string, embedding array<float>")
-    assert [r.slug for r in V.topk(df, [1.0, 0.0], 3).collect()] == ["a", "d", "b"]
-    assert [r.slug for r in V.topk(df, [1.0, 0.0], 9, metric=V.cosine).collect()] == ["a", "d", "b", "c"]
-    assert V.topk_postfiltered(df, [1.0, 0.0], 1, F.col("slug") == "c").count() == 0
-    n = df.withColumn("id", F.ascii("slug").cast("long"))
-    assert {(r.query_id, r.id) for r in V.near_duplicates(n, 0.92, "id").collect()} == {(97, 100), (100, 97)}
+    rows = [(9, [3.0, 4.0]), (4, [3.0, 4.0]), (7, [4.0, -3.0]), (2, [0.3, 0.4]), (5, [0.0, 0.0]), (6, None)]
+    df = spark.createDataFrame(rows, "slug long, embedding array<float>")
+    ask = [0.6, 0.8]
+    assert [r.slug for r in V.topk(df, ask, 2).collect()] == [4, 9]  # ties by id
+    near = [(r.slug, round(abs(r.score), 5)) for r in V.topk(df, ask, 9, metric=V.cosine).collect()]
+    assert sorted(near[:3]) == [(2, 1.0), (4, 1.0), (9, 1.0)] and near[3:] == [(7, 0.0)]
+    assert V.topk_postfiltered(df, ask, 1, F.col("slug") == 7).count() == 0 and V.topk_postfiltered(df, ask, 2, F.col("slug") == 7).count() == 1
+    unit = df.filter("slug in (4, 7, 9)").select("slug", F.transform("embedding", lambda x: x / 5).alias("embedding"))
+    assert {(r.query_id, r.id) for r in V.near_duplicates(unit, 0.999, "slug").collect()} == {(4, 9), (9, 4)}
     e = V.HashingEmbedder(32)
     assert e.query("x y") == e.query("x  y") and abs(sum(v * v for v in e.query("hello world")) - 1) < 1e-5
     assert e.table(spark.createDataFrame([("hello",), (None,)], "t string"), "t").count() == 2
 
 
+def test_a_models_limits(spark):
+    """Calls of bounded size, a budget of tokens in a minute, and waits that grow when the model asks for them."""
+    now, waited, sizes, fail = [0.0], [], [], [2]
+
+    def sleep(s):
+        waited.append(s)
+        now[0] += s
+
+    def ask(texts, kind):
+        if fail[0]:
+            fail[0] -= 1
+            raise RuntimeError("HTTP 429")
+        sizes.append((len(texts), kind))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    m = V.ModelEmbedder(ask, 2, texts=4, tokens=10, sleep=sleep, clock=lambda: now[0])
+    assert m.embed(["a" * 4] * 9 + [None]).shape == (10, 2) and sizes == [(4, "passage"), (4, "passage"), (2, "passage")]
+    assert waited[:2] == [V.FIRST_WAIT, 2 * V.FIRST_WAIT] and now[0] >= 90
+    assert m.query("abc") == [3.0, 1.0] and sizes[-1] == (1, "query")
+    fail[0] = 99
+    with pytest.raises(RuntimeError, match="asked to wait"):
+        m.embed(["x"])
+    with pytest.raises(KeyError):
+        V.ModelEmbedder(lambda texts, kind: {}[kind], 2).embed(["x"])
+    rows = V.ModelEmbedder(lambda texts, kind: [[1.0, 0.0]] * len(texts), 2).table(spark.createDataFrame([("x",), (None,)], "t string"), "t")
+    assert [r.embedding for r in rows.collect()] == [[1.0, 0.0]] * 2
+
+
 # --- incremental ----------------------------------------------------------------------
 
 
 def test_diff_and_staleness(spark):
     t = lambda rows, s: spark.createDataFrame(rows, s)
-    prior, new = t([("about", "1"), ("pricing", "OLD"), ("gone", "2")], "slug string, hash string"), t([("about", "1"), ("pricing", "NEW"), ("careers", "3")], "slug string, hash string")
-    d = I.diff_pages(prior, new)
-    assert {tuple(r) for r in d.collect()} == {("about", "unchanged"), ("pricing", "changed"), ("gone", "removed"), ("careers", "added")}
-    assert {r[0] for r in I.touched(d).collect()} == {"pricing", "gone"} and I.changed_fraction(d).first()[0] == 1.0
-    chunks = t([("c1", ["about", "pricing"]), ("c2", ["team"]), ("c3", ["gone"])], "chunk_id string, evidence_slugs array<string>")
-    assert {r[0] for r in I.stale_by_overlap(chunks, I.touched(d)).collect()} == {"c1", "c3"}
-    now = t([("c2", "team"), ("c2", "newpage")], "chunk_id string, slug string")
-    assert [r[0] for r in I.stale_by_drift(chunks, now).collect()] == ["c2"] and I.stale_by_drift(chunks, now.filter("slug = 'team'")).count() == 0
-    assert {tuple(r) for r in I.split_stale(chunks, d.filter("status = 'removed'")).collect()} == {("c1", "regenerate"), ("c2", "regenerate"), ("c3", "drop")}
-    pages = t([("about", "x"), ("pricing", "x"), ("careers", "x"), ("blank", " \n")], "slug string, content_full string")
-    assert {r[0] for r in I.pages_needing_embed(pages, d, t([("about",), ("pricing",)], "slug string")).collect()} == {"pricing", "careers"}
-    v = lambda rows: t(rows, "slug string, embedding array<double>")
-    order = t([("a", 0), ("b", 1), ("c", 2), ("missing", 3)], "slug string, ord int")
-    got = I.stack_vectors(order, v([("a", [1.0, 1.0]), ("b", [2.0, 2.0])]), v([("a", [9.0, 9.0]), ("c", [3.0, 3.0])])).orderBy("ord").collect()
-    assert [(r.slug, r.source, r.embedding[0]) for r in got] == [("a", "fresh", 1.0), ("b", "fresh", 2.0), ("c", "prior", 3.0)]
-    assert I.decide(None, "m", 0).mode == "full" and I.decide("x", "m", 0).mode == "full" and I.decide("m", "m", 0.31).mode == "full" and I.decide("m", "m", 0.3).mode == "incremental"
+    hashes = "slug long, hash string"
+    d = I.diff_pages(t([(1, "x"), (2, "x"), (3, "z"), (4, "y")], hashes), t([(1, "x"), (2, "X"), (3, ""), (6, "y")], hashes))
+    status = {r.slug: r.status for r in d.collect()}
+    assert status == {1: "unchanged", 2: "changed", 3: "changed", 4: "removed", 6: "added"}
+    assert sorted(r[0] for r in I.touched(d).collect()) == [2, 3, 4] and I.changed_fraction(d).first()[0] == 1.0
+    assert I.changed_fraction(d.filter("status = 'added'")).first()[0] == 1.0 and I.changed_fraction(d.limit(0)).first()[0] == 1.0
+    chunks = t([(10, [1, 1]), (11, [4, 2, 4]), (12, []), (13, None), (14, [99])], "chunk_id long, evidence_slugs array<long>")
+    assert [r[0] for r in I.stale_by_overlap(chunks, I.touched(d)).collect()] == [11]
+    now = t([(10, 1), (11, 2), (11, 4), (14, 98), (15, 1)], "chunk_id long, slug long")
+    assert [r[0] for r in I.stale_by_drift(chunks, now).collect()] == [14]  # order and repeats do not matter
+    gone = t([(4,), (2,), (4,)], "slug long")
+    assert {tuple(r) for r in I.split_stale(chunks, gone).collect()} == {(10, "regenerate"), (11, "drop"), (12, "regenerate"), (13, "regenerate"), (14, "regenerate")}
+    pages = t([(1, "a"), (2, "b"), (6, "c"), (8, "d"), (7, "\t"), (9, None)], "slug long, content_full string")
+    assert sorted(r[0] for r in I.pages_needing_embed(pages, d, t([(1,), (1,), (2,)], "slug long")).collect()) == [2, 6, 8]
+    v = lambda rows: t(rows, "slug long, embedding array<double>")
+    order = t([(3, 0), (1, 1), (5, 2), (2, 3)], "slug long, ord int")
+    got = I.stack_vectors(order, v([(5, [0.5]), (1, [0.1])]), v([(1, [9.0]), (2, [0.2])])).orderBy("ord").collect()
+    assert [(r.slug, r.source, r.embedding) for r in got] == [(1, "fresh", [0.1]), (5, "fresh", [0.5]), (2, "prior", [0.2])]
+    modes = [I.decide(*x).mode for x in ((None, "m", 0.0), ("n", "m", 0.0), ("m", "m", 0.3001), ("m", "m", 0.3), ("m", "m", 0.0))]
+    assert modes == ["full", "full", "full", "incremental", "incremental"]
+    told = I.report(d, I.split_stale(chunks, gone), I.touched(d), None, chunks).first().asDict()
+    assert len(told) == 12 and told["pages_embedded"] == 3 and told["chunks_carried"] == 0 and told["chunks_new"] == 5 and told["changed_fraction"] == 1.0 and told["thesis_reused"]
+
+
+def test_rows_are_numbered_by_range(spark):
+    df = spark.createDataFrame([(k % 7, k) for k in range(500)], "a long, b long")
+    got = S.with_row_number(df, [F.col("a").desc(), F.col("b").asc()]).collect()
+    want = sorted(((k % 7, k) for k in range(500)), key=lambda r: (-r[0], r[1]))
+    assert {(r.a, r.b): r.row_nr for r in got} == {x: i for i, x in enumerate(want, 1)}
+
+
+# --- memory ------------------------------------------------------------------------------
+
+
+def test_runs_are_saved(spark, tmp_path):
+    from loomwork.operators import memory
+
+    schema = "prompt string, code string, success boolean, execution_time_ms long, output_rows long, attempts int, requested_columns array<string>, output_columns array<string>, used_rag boolean, validator_passed boolean"
+    runs = spark.createDataFrame([("sum", "df.head(1)", True, 5, 1, 1, ["a"], ["A"], False, True), ("avg", "x", False, 9, 0, 2, None, None, None, None)], schema)
+    store, e = St.TableStore(spark, str(tmp_path / "m")), V.HashingEmbedder(16)
+    rows = {r.namespace: r for r in memory.save(store, "runs", runs, e).collect()}
+    assert rows["success"].quality_score == 100.0 and rows["failure"].quality_score == 10.0 and rows["success"].operations == ["head"]
+    kept = store.read("runs", "success").first()
+    assert kept.id == rows["success"].id and kept.reuse_count == 0 and store.read("runs", "failure").count() == 1
+    memory.count_reuse(store, "runs", "success", spark.createDataFrame([(kept.id,)] * 2, "id string"))
+    assert store.read("runs", "success").first().reuse_count == 2
+    assert [r.id for r in memory.search(store.read("runs", "success"), e.query("sum\nColumns: a")).collect()] == [kept.id]
 
 
 # --- graph ------------------------------------------------------------------------------
 
 
 def test_graph(spark):
-    e = spark.createDataFrame([("alpha", "beta"), ("beta", "alpha"), ("gamma", "alpha"), ("gamma", "delta"), ("chunk", "alpha"), ("chunk", "beta"), ("chunk", "gamma")], "src string, dst string")
-    assert {r[0] for r in links.backlinks(e, "delta").collect()} == {"gamma"} and {r[0] for r in links.forward_links(e, "gamma").collect()} == {"alpha", "delta"}
-    assert {tuple(r) for r in links.neighborhood(e, "alpha", 2).collect()} == {(1, "beta"), (1, "gamma"), (1, "chunk"), (2, "delta")}
-    assert links.neighborhood(e, "nobody", 3).count() == 0
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in [(1, 2), (2, 3), (3, 1), (4, 3), (5, 5), (6, 4)]], "src string, dst string")
+    assert sorted(r[0] for r in links.backlinks(e, "3").collect()) == ["2", "4"] and [r[0] for r in links.forward_links(e, "3").collect()] == ["1"]
+    assert {tuple(r) for r in links.neighborhood(e, "1", 3).collect()} == {(1, "2"), (1, "3"), (2, "4"), (3, "6")}
+    assert links.neighborhood(e, "7", 3).count() == 0
 
 
 # --- contracts and gate ---------------------------------------------------------------------
@@ -102,6 +166,32 @@ def test_contracts(spark):
     assert C.verify(df, C.parse_contract("junk")) == C.Verdict(True, (), 100.0)
     assert C.verify(df.limit(0), C.Contract(values={"x": C.ValueRule(min=9)})).passed
     assert not C.check_semantics(df.withColumn("n", F.lit(None).cast("int"))).passed and C.check_semantics(df.limit(0)).passed
+    assert C.check_semantics(df, "a IN (b.collect ( ))").failures[0].startswith("idiom")
+
+
+def test_order_is_checked_with_and_without_a_key(spark):
+    up = C.Contract(order={"x": "asc"})
+    rows = [(k, None if k < 3 else float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "o int, x double")
+    assert C.verify(df.orderBy("o"), up).passed and C.verify(df.repartition(7), up, "o").passed  # nulls first
+    assert not C.verify(df.orderBy(F.desc("o")), up).passed and C.verify(df.filter("o >= 3").orderBy(F.desc("o")), C.Contract(order={"x": "desc"})).passed
+    late = spark.createDataFrame([*rows, (200, 5.0)], "o int, x double")
+    assert not C.verify(late.orderBy("o"), up).passed and not C.verify(late.repartition(5), up, "o").passed
+    assert not C.verify(spark.createDataFrame([*rows, (200, None)], "o int, x double"), up, "o").passed
+    assert C.verify(df.limit(1), up).passed and C.verify(df.limit(0), up).passed
+
+
+def test_values_that_cannot_be_compared(spark):
+    df = spark.createDataFrame([("b", 1), ("b", 2)], "s string, k int")
+    got = C.failures(df, C.Contract(values={"s": C.ValueRule(min=1, unique=True), "k": C.ValueRule(max=1, allowed=("x", 1))}))
+    assert [f.split(":")[0] for f in got] == ["value_max[k]", "value_allowed[k]"]
+
+
+def test_contracts_from_a_model():
+    asked = []
+    got = C.contract_for("top 3", "t(a int)", lambda p: (asked.append(p), '{"expected_rows_range": [3, 3]}')[1])
+    assert got.rows == (3, 3) and "top 3" in asked[0] and "t(a int)" in asked[0]
+    assert C.contract_for("x", "", lambda p: 1 / 0) == C.Contract() and C.contract_for("x", "", lambda p: "no") == C.Contract()
 
 
 @pytest.mark.parametrize("bad", ["DROP TABLE df_t", "SELECT reflect('java.lang.System', 'exit', '0')", "SELECT * FROM parquet.`/etc`", "INSERT INTO x SELECT 1", "SET a=b", "SELEC 1", "CREATE VIEW v AS SELECT 1"])
@@ -110,6 +200,24 @@ def test_gate_refuses(spark, bad):
         gate.check_sql(spark, bad)
 
 
+def test_only_given_tables_are_read(spark):
+    t = spark.createDataFrame([("a", 1)], "k string, v int")
+    t.createOrReplaceTempView("secret_other")
+    run = lambda q: gate.run_sql(spark, {"t": t}, q).count()
+    assert run("SELECT * FROM DF_T") == run("SELECT * FROM df") == run("WITH a AS (SELECT * FROM df_t), b AS (SELECT * FROM a) SELECT * FROM b") == 1
+    for q in (
+        "SELECT * FROM secret_other",
+        "SELECT * FROM df_t WHERE v IN (SELECT v FROM secret_other)",
+        "SELECT (SELECT max(v) FROM secret_other) FROM df_t",
+        "SELECT * FROM df_t JOIN (SELECT * FROM secret_other) USING (k)",
+        "WITH a AS (SELECT * FROM secret_other) SELECT * FROM a",
+        "SELECT * FROM (WITH secret_other AS (SELECT 1) SELECT * FROM secret_other) JOIN secret_other",
+        "SELECT * FROM default.df_t",
+    ):
+        with pytest.raises(gate.Rejected):
+            run(q)
+
+
 def test_gate_runs_and_retries(spark):
     t = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert gate.run_sql(spark, {"t": t}, "WITH x AS (SELECT * FROM df_t) SELECT k, 'drop reflect(' AS s FROM x ORDER BY v LIMIT 1").count() == 1
@@ -118,6 +226,53 @@ def test_gate_runs_and_retries(spark):
     out = gate.run_with_retries(spark, {"t": t}, lambda a: (seen.append(len(a)), next(script))[1], C.Contract(rows=(1, None)))
     assert seen == [0, 1, 2] and out.text == "SELECT k, v FROM df_t" and out.attempts[0].diagnosis.kind == "column_not_found" and not out.attempts[1].verdict.passed
     assert gate.run_with_retries(spark, {"t": t}, lambda a: "DROP TABLE x", retries=1).result is None
+    slow = "SELECT count(*) AS n FROM range(100000000000) WHERE sqrt(id) < 0"
+    late = gate.run_with_retries(spark, {"t": t}, lambda a: slow, retries=0, seconds=2)
+    assert late.result is None and late.attempts[0].diagnosis.kind == "timeout"
+
+
+def test_diagnoses(spark):
+    t = spark.createDataFrame([("a", 1)], "customer_name string, total int")
+
+    def kind(q):
+        try:
+            gate.run_sql(spark, {"t": t}, q).collect()
+        except Exception as e:
+            return gate.diagnose(e, q)
+
+    assert "customer_name" in kind("SELECT custmer_name FROM df_t").suggestion
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert kind("SELECT Total FROM df_t").kind == "case_mismatch"
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert kind("SELECT a.total, u.total FROM df_t a LEFT SEMI JOIN df_t u ON a.total = u.total").kind == "join_key"
+    assert kind("df[df.x > 1]").kind == "foreign_syntax" and kind("").kind == "missing_result" and kind("SELECT TOP 5 * FROM df_t").kind == "foreign_syntax"
+    assert kind("SELECT CAST('x' AS INT) FROM df_t").kind == "type_mismatch" and kind("SELECT * FROM other").kind == "rejected"
+
+
+def test_generation_and_errors(spark):
+    from loomwork import errors as E, generation as G
+
+    answers = iter(["", "df.groupby('a')", "DROP TABLE x", "```sql\nSELECT 1\n```"])
+    seen = []
+    service = G.Service(lambda i, p: (seen.append(p), next(answers))[1], lambda i, p: next(answers), spark=spark)
+    got = service.generate("count", "t(a int)")
+    assert got.code == "SELECT 1" and got.model == "fallback" and got.attempts == 4 and len(service.failures) == 3 and "groupby" in seen[2] and got.to_dict()["tokens"] > 0
+    with pytest.raises(E.GenerationFailed) as failed:
+        G.Service(lambda i, p: "").generate("x")
+    assert failed.value.context.recoverable and failed.value.to_dict()["details"]["attempts"] == 3
+    t = spark.createDataFrame([(1,)], "a int")
+    script = iter(["SELECT b FROM df_t", "SELECT a FROM df_t"])
+    out = gate.run_with_retries(spark, {"t": t}, G.Service(lambda i, p: next(script)).for_retries("a's"))
+    assert out.text == "SELECT a FROM df_t" and len(out.attempts) == 2
+    kinds = [type(E.wrapped(e)) for e in (gate.Rejected("x"), gate.TimeLimit("x"), MemoryError(), FileNotFoundError("f"), ValueError("v"), KeyError("k"))]
+    assert kinds == [E.Forbidden, E.TookTooLong, E.OutOfMemory, E.LoadFailed, E.InvalidInput, E.EngineError]
+    assert not E.wrapped(gate.Rejected("no")).context.recoverable and "Suggestion" in E.wrapped(ValueError("v")).user_message
+    try:
+        spark.sql("SELECT nope FROM range(1)")
+    except Exception as e:
+        assert isinstance(E.wrapped(e), E.QueryFailed)
 
 
 # --- store and streams ------------------------------------------------------------------------
@@ -181,6 +336,11 @@ def test_service(spark):
     assert json.loads(kb.list_pages("page"))["total"] == 2 and json.loads(kb.provenance("chunks/top"))["teacher"] == "m"
     assert json.loads(kb.backlinks("pages/alpha"))["backlinks"] == ["pages/beta"] and json.loads(kb.neighborhood("pages/alpha", 1))["levels"] == {"1": ["pages/beta"]}
     assert kb.read_resource("wiki://pages/alpha").startswith("# Alpha") and json.loads(kb.read_resource("wiki://manifest")) == {"v": 1} and kb.resources().count() == 3
-    assert "core" in prompt("explain", topic="core")
-    with pytest.raises(ValueError):
-        prompt("ask")
+    assert json.loads(kb.call("read_wiki_page", slug="pages/alpha"))["title"] == "Alpha" and "error" in json.loads(kb.call("nope")) and "error" in json.loads(kb.call("get_thesis"))
+    kb.thesis = {"summary": "s"}
+    assert json.loads(kb.read_resource("wiki://thesis")) == {"summary": "s"} and all(r["kind"] == "page" for r in json.loads(kb.query_pages("alpha"))["results"])
+    assert set(PROMPTS) == {"summarize_wiki", "ask_about", "compare_topics"} and "get_thesis" in prompt("summarize_wiki")
+    assert "x y?" in prompt("ask_about", question=" x y? ") and "aa" in (both := prompt("compare_topics", topic_a="aa", topic_b="bb")) and "bb" in both
+    for bad in (("ask_about", {}), ("compare_topics", {"topic_a": "aa", "topic_b": " "}), ("nope", {})):
+        with pytest.raises(ValueError):
+            prompt(bad[0], **bad[1])
