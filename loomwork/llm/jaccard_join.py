@@ -25,11 +25,18 @@ are not looked for by these rounds: who asks for the number of links gets a pass
 that verifies every pair which may be linked, block by block in groups of alike
 texts.
 
+Before whole sets travel, a pair has to pass its sketches: a set's tokens are
+counted by their low bits, and two sets share at most the sum of the lesser
+counts. This bound loses no link and leaves few pairs that are none.
+
+Whatever gathers a key is summed before it is shuffled and joined back, so no
+key's rows need to meet in one task. Rows are numbered once, in a copy in
+buckets, so the input may be any DataFrame.
+
 Defined results: null and empty texts have no shingles and no links; fewer than
 five words make one shingle; rows with one id are separate nodes, the component
 id is the least doc_id in it, null ids aside; an empty table gives no rows; extra
-columns are not used. The input is scanned more than once and must give the same
-rows in the same order, as stored tables do.
+columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import settle, stored, text_of
+from loomwork.llm.common import columns_of, drop_stored, free_name, numbered, stored, text_of
 from loomwork.llm.components import components
 from loomwork.llm.shingles import shingle_sets
 
@@ -53,8 +60,12 @@ COMBINE = 12
 SMALL_GROUP = 24
 FAMILY_BLOCK = 1024
 #: Tokens counted at a time, and members of a hub that one task compares.
-COUNT_AT_ONCE = 1 << 22
+COUNT_AT_ONCE = 1 << 20
 HUB = 512
+#: Sets that a task remembers so as to send equal ones once.
+REMEMBERED = 1 << 17
+#: Keys that may have more members than this are not counted, as that would gather them.
+HOT_KEY = 4096
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -65,7 +76,8 @@ def _frequent_tokens(rows: DataFrame, limit: int, least: int) -> tuple[np.ndarra
     """(tokens ascending, counts): those seen in several sets of one task, by their summed counts."""
 
     def run(batches):
-        held, n, seen = [], 0, set()
+        held, n = [], 0
+        seen: set[int] = set()
 
         def flush():
             t, c = np.unique(np.concatenate(held), return_counts=True)
@@ -76,6 +88,7 @@ def _frequent_tokens(rows: DataFrame, limit: int, least: int) -> tuple[np.ndarra
             for s in shingle_sets(batch.column(1)):
                 mark = hash(s.tobytes())
                 if len(s) and mark not in seen:
+                    seen = seen if len(seen) < REMEMBERED else set()
                     seen.add(mark)
                     held.append(s)
                     n += len(s)
@@ -94,34 +107,68 @@ def _frequent_tokens(rows: DataFrame, limit: int, least: int) -> tuple[np.ndarra
 
 #: Roles of index entries. A SMALL entry meets only a LARGE one.
 RARE, SMALL, PAIR, LARGE = 0, 1, 2, 3
+#: Kinds of rows in the index: a set, an entry to be counted by its key, an entry that is kept as it is.
+SET, ENTRY, HOT_ENTRY = 0, 1, 2
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Tokens counted by their low bits, four bits a count; about two tokens to a count."""
+    n = 8
+    while 2 * n < len(s):
+        n *= 2
+    while True:
+        c = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
+        if c.max() < 16:
+            return (c[: n // 2] | c[n // 2 :] << 4).astype(np.uint8).tobytes()
+        n *= 2
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """What two sets have in common at most, by their sketches."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    x, y = (np.concatenate([v & 15, v >> 4]).astype(np.uint32) for v in (x, y))
+    while len(x) != len(y):  # low bits: the halves of the longer one fall together
+        if len(x) > len(y):
+            x = x[: len(x) // 2] + x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
 
 
 def _keys_of(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int):
-    """(keys, roles, prefix size, frequent tokens in it) under which a set is indexed."""
+    """(keys, roles, how many members each may have, prefix size, frequent tokens in it) under which a set is indexed.
+
+    The number of members is known for frequent tokens only; of others it is 0.
+    """
     n = len(s)
     size = min(n, prefix_size(n, percent) + 1)
     at = np.searchsorted(tokens, s)
     common = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == s) if len(tokens) else np.zeros(n, bool)
     rare = s[~common][:size]
-    often = s[common]
+    often, seen = s[common], counts[at[common]]
     left = size - len(rare)
     if left <= 0 or not len(often):
-        return rare, np.full(len(rare), RARE, np.int8), size, 0
-    often = often[np.lexsort((often, counts[at[common]]))][:left]
+        return rare, np.full(len(rare), RARE, np.int8), np.zeros(len(rare), np.int64), size, 0
+    order = np.lexsort((often, seen))[:left]
+    often, seen = often[order], seen[order]
+    none = np.zeros(len(rare), np.int64)
     # With no second token to share (a set of one), singles must do.
     if len(often) > COMBINE or n < 2 or size < 2:
-        return np.concatenate([rare, often]), np.repeat(np.array([RARE, LARGE], np.int8), [len(rare), len(often)]), size, len(often)
+        return np.concatenate([rare, often]), np.repeat(np.array([RARE, LARGE], np.int8), [len(rare), len(often)]), np.concatenate([none, seen]), size, len(often)
     i, j = np.triu_indices(len(often), 1)
     pairs = (often[i] ^ (often[j] * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(1)
     roles = np.repeat(np.array([RARE, PAIR, SMALL], np.int8), [len(rare), len(pairs), len(often)])
-    return np.concatenate([rare, pairs, often]), roles, size, len(often)
+    return np.concatenate([rare, pairs, often]), roles, np.concatenate([none, np.minimum(seen[i], seen[j]), seen]), size, len(often)
 
 
 def _indexed(rows: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """kind 0: row, n, class (as key), p, h of every set; kind 1: row, n, key, role of its index entries."""
+    """Rows of the three kinds: sets with their class (as key), and entries with key and role; p, h of either.
+
+    Of equal sets in a task one has entries and a sketch.
+    """
     sent = rows.sparkSession.sparkContext.broadcast((tokens, counts))
-    names = ["kind", "row", "n", "key", "role", "p", "h"]
-    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int32(), pa.int32()]
+    names = ["kind", "row", "n", "key", "role", "p", "h", "sketch"]
+    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         import xxhash
@@ -130,26 +177,54 @@ def _indexed(rows: DataFrame, tokens: np.ndarray, counts: np.ndarray, percent: i
         seen: set[int] = set()
         for batch in batches:
             sets: list = []
-            out: list = [[], [], [], []]
+            out: list = [[] for _ in range(7)]
             for row, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                keys, roles, size, often = _keys_of(s, tokens, counts, percent) if len(s) else ((), (), 0, 0)
-                sets.append((0, row, len(s), cls, 0, size, often))
-                if not len(s) or cls in seen:  # one of equal sets speaks for all in this task
+                if not len(s):
+                    sets.append((SET, row, 0, cls, 0, 0, 0, None))
                     continue
-                seen.add(cls)
-                for column, x in zip(out, (np.full(len(keys), row, np.int64), np.full(len(keys), len(s), np.int32), keys.view(np.int64), roles)):
-                    column.append(x)
+                first = cls not in seen
+                if first:
+                    seen = seen if len(seen) < REMEMBERED else set()
+                    seen.add(cls)
+                keys, roles, most, size, often = _keys_of(s, tokens, counts, percent)
+                sets.append((SET, row, len(s), cls, 0, size, often, sketch(s) if first else None))
+                if first:
+                    k = len(keys)
+                    of_kind = np.where(most > HOT_KEY, HOT_ENTRY, ENTRY).astype(np.int8)
+                    for column, x in zip(out, (of_kind, np.full(k, row), np.full(k, len(s), np.int32), keys.view(np.int64), roles, np.full(k, size, np.int32), np.full(k, often, np.int32))):
+                        column.append(x)
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sets), kinds)], names=names)
             if out[0]:
                 c = [np.concatenate(x) for x in out]
                 for x in range(0, len(c[0]), 100_000):
                     part = [v[x : x + 100_000] for v in c]
-                    zero = np.zeros(len(part[0]), np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([zero + 1, *part, zero, zero], kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(v, t) for v, t in zip(part, kinds)], pa.nulls(len(part[0]), pa.binary())], names=names)
+
+    return rows.select("row", "text").mapInArrow(run, "kind byte, row long, n int, key long, role byte, p int, h int, sketch binary")
+
+
+def _between(groups: DataFrame, member: str, *more) -> DataFrame:
+    """key, lo, hi (least and greatest member) and ``more`` of the keys with several members."""
+    return groups.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), *more).filter("lo <> hi")
+
 
-    return rows.select("row", "text").mapInArrow(run, "kind byte, row long, n int, key long, role byte, p int, h int")
+def _sieved(tests: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """hub, other: those of the tests that may be linked by their sketches (c, n, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for m, n, a, b in zip(*[batch.column(k).to_pylist() for k in range(2, 6)]):
+                keep.append(most_shared(a, b) * (100 + percent) >= percent * (m + n))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["hub", "other"])
+
+    one = sketches.select(F.col("c").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("a"))
+    two = sketches.select(F.col("c").alias("other"), "n", F.col("sketch").alias("b"))
+    near = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
+    both = tests.join(one, "hub").join(two, "other").filter(near)
+    return both.select("hub", "other", "m", "n", "a", "b").mapInArrow(run, "hub long, other long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,24 +266,36 @@ def _linked(sets: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
     return shipped.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(verify, "hub long, other long")
 
 
-def _may_link(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(pairs, family, dealt): what may be linked across components by small keys, and the families of large keys.
+def _families(named: DataFrame) -> DataFrame:
+    """c, family: classes that meet in keys of many members, directly or by others."""
+    large = named.filter(F.col("m") > SMALL_GROUP)
+    first = large.groupBy("key").agg(F.min("c").alias("first"))
+    out = components(large.select("key", "c").join(first, "key"), "first", "c")
+    path = out.scratch_path
+    out = out.select(F.col("node").alias("c"), F.col("component").alias("family"))
+    out.scratch_path = path
+    return out
+
+
+def _may_link(named: DataFrame, family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, dealt): what may be linked across components by small keys, and by the large keys of families.
 
-    pairs: a, b, keys, ca, cb. family: c, family; dealt: the keys of the classes
-    of each family, for every two of its blocks; both None without large keys.
+    pairs: a, b, keys, ca, cb. dealt: the keys of the classes of each family, for
+    every two of its blocks; None without large keys. ``family``: of _families(),
+    of these keys or more.
 
-    named: key, role, n, p, h, c, w, component. What two sets share is at most the
+    named: key, role, n, p, h, c, w, component, m (members of the key), a stored
+    table. What two sets share is at most the
     tokens shared by both prefixes and what either has beyond its prefix. Keys of
     up to SMALL_GROUP members are joined; of the others it is only assumed here
     that all are shared. Classes with such large keys form families, which are
     compared block by block, with all shared keys counted.
     """
-    sizes = named.groupBy("key").agg(F.count("*").alias("m"))
     big = F.when(F.col("m") > SMALL_GROUP, F.col("w")).otherwise(0)
-    named = settle(named.join(sizes, "key").withColumn("big", big))
+    named = named.withColumn("big", big)
     heavy = named.groupBy("c").agg(F.sum("big").alias("b"))
-    x = named.filter("big = 0").join(heavy, "c").alias("x")
-    y = named.filter("big = 0").join(heavy, "c").alias("y")
+    light = named.filter("big = 0").join(heavy, "c")
+    x, y = light.alias("x"), light.alias("y")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     meet = (F.col("x.role") != SMALL) | (F.col("y.role") != SMALL)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near & meet)
@@ -223,10 +310,9 @@ def _may_link(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | No
     pairs = pairs.filter(F.col("rare") + F.col("often") + F.col("beyond") >= F.col("needed")).select("a", "b", "keys", "ca", "cb")
     large = named.filter("big > 0")
     if large.isEmpty():
-        return pairs, None, None
-
-    first = F.min("c").over(Window.partitionBy("key"))
-    family = settle(components(large.select("key", "c", first.alias("first")), "first", "c").select(F.col("node").alias("c"), F.col("component").alias("family")))
+        return pairs, None
+    # classes that no large key of several components holds any more need no block
+    family = family.join(large.select("c").distinct(), "c", "left_semi")
     # Every key of a class in a family; pairs of tokens bring classes together, single tokens also count.
     weight = F.when(F.col("role") == PAIR, 0).otherwise(F.col("w")).alias("w")
     whole = named.join(family, "c").groupBy("family", "c").agg(
@@ -235,7 +321,7 @@ def _may_link(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | No
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("k"))
     dealt = whole.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "n", "p", "h", "component", F.col("keys.key").alias("key"), F.col("keys.w").alias("w"))
-    return pairs, family, dealt
+    return pairs, dealt
 
 
 def _masks(table: pa.Table, percent: int):
@@ -266,10 +352,10 @@ def _masks(table: pa.Table, percent: int):
         yield r, shared, ok
 
 
-def _across(named: DataFrame, percent: int) -> DataFrame:
+def _across(named: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     """a, b, keys, ca, cb: pairs of classes of different components whose shared keys allow the similarity."""
-    pairs, family, dealt = _may_link(named, percent)
-    if family is None:
+    pairs, dealt = _may_link(named, family, percent)
+    if dealt is None:
         return pairs
 
     def compare(table: pa.Table) -> pa.Table:
@@ -286,10 +372,14 @@ def _across(named: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(found).groupBy("a", "b").agg(F.max("keys").alias("keys"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
 
 
-def _tested(rows: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
-    """_linked() over the sets of those that are tested."""
+def _tested(rows: DataFrame, sketches: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
+    """hub, other, a stored table: those of the tests (hub, other) that are linked, by their sketches and then by their sets."""
+    tests = stored(_sieved(tests, sketches, percent), "tests")
     wanted = tests.select(F.col("hub").alias("c")).unionByName(tests.select(F.col("other").alias("c")))
-    return _linked(stored(_sets(rows, wanted), "sets"), tests, percent)
+    sets = stored(_sets(rows, wanted), "sets")
+    out = stored(_linked(sets, tests, percent), "links")
+    drop_stored(sets, tests)
+    return out
 
 
 def _links_in_families(rows: DataFrame, dealt: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
@@ -338,111 +428,146 @@ def _links_in_families(rows: DataFrame, dealt: DataFrame, copies: DataFrame, per
     return whole.groupBy("family", "i", "j").applyInArrow(verify, "c long, n_links long")
 
 
-def _all_links(rows: DataFrame, members: DataFrame, groups: DataFrame, links: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def _all_links(rows: DataFrame, members: DataFrame, groups: DataFrame, sketches: DataFrame, links: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """class_row, n_links: how many other rows each row of a class is linked to, inside its component too.
 
     links: those found among the pairs ``done``. Pairs in one family are all verified
     there; the others are tested unless they were.
     """
-    pairs, family, dealt = _may_link(groups.withColumn("component", F.col("c")), percent)
+    sizes = groups.groupBy("key").agg(F.count("*").alias("m"))
+    named = stored(groups.join(sizes, "key").withColumn("component", F.col("c")), "named")
+    family = _families(named)
+    pairs, dealt = _may_link(named, family, percent)
     pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
-    copies = settle(members.filter("n_shingles > 0").groupBy(F.col("class_row").alias("c")).agg(F.count("*").alias("size")))
+    copies = stored(members.filter("n_shingles > 0").groupBy(F.col("class_row").alias("c")).agg(F.count("*").alias("size")), "copies")
     pairs = pairs.join(done, ["hub", "other"], "left_anti")
-    if family is not None:
+    if dealt is not None:
         one, two = family.select(F.col("c").alias("hub"), F.col("family").alias("_f")), family.select(F.col("c").alias("other"), F.col("family").alias("_g"))
         apart = lambda p: p.join(one, "hub", "left").join(two, "other", "left").filter("_f is null or _g is null or _f <> _g").select("hub", "other")
         pairs, links = apart(pairs), apart(links)
-    pairs = settle(pairs)
-    links = settle(links.unionByName(_tested(rows, pairs, percent)))
+    links = links.unionByName(_tested(rows, sketches, pairs, percent))
     each = links.select(F.col("hub").alias("c"), F.col("other").alias("d")).unionByName(links.select(F.col("other").alias("c"), F.col("hub").alias("d")))
     counts = each.join(copies.withColumnRenamed("c", "d"), "d").select("c", F.col("size").alias("n_links"))
-    if family is not None:
+    if dealt is not None:
         counts = counts.unionByName(_links_in_families(rows, dealt, copies, percent))
     counts = counts.unionByName(copies.select("c", (F.col("size") - 1).alias("n_links")))
     return counts.groupBy(F.col("c").alias("class_row")).agg(F.sum("n_links").alias("n_links"))
 
 
-def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT, count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (in scan order), class_row, component (a row of it).
-
-    With count_links also n_links: how many other rows are linked to this one, all
-    pairs verified, equal sets and pairs inside a component too. This is a pass of
-    its own, which components do not need.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    ids = rows.select("row", "doc_id")
+def _entries(rows: DataFrame, percent: int, frequent: int, least: int) -> DataFrame:
+    """The index, a stored table, without entries whose key nobody shares."""
     tokens, counts = _frequent_tokens(rows, frequent, least)
     index = _indexed(rows, tokens, counts, percent)
-    # One pass writes both kinds; index entries whose key nobody shares end here.
+    # One pass writes all kinds. Only entries with few members are gathered by key.
     shared = Window.partitionBy("kind", "_k")
-    entries = index.withColumn("_k", F.when(F.col("kind") == 1, F.col("key")).otherwise(F.col("row")))
+    entries = index.withColumn("_k", F.when(F.col("kind") == ENTRY, F.col("key")).otherwise(F.col("row")))
     entries = entries.withColumn("_n", F.count("*").over(shared)).withColumn("_full", F.max((F.col("role") != SMALL).cast("int")).over(shared))
-    entries = stored(entries.filter((F.col("kind") == 0) | ((F.col("_n") > 1) & (F.col("_full") == 1))).drop("_k", "_n", "_full"), "entries")
-    sets = entries.filter("kind = 0").select("row", "n", F.col("key").alias("cls"), "p", "h")
-    first = sets.filter("n > 0").groupBy("cls", "n").agg(F.min("row").alias("class_row"))
-    members = settle(sets.join(first, ["cls", "n"], "left").select("row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_row", "row").alias("class_row"), "p", "h"))
-
-    groups = entries.filter("kind = 1").drop("p", "h").join(members.select("row", "class_row", "p", "h"), "row").select("key", "role", "n", "p", "h", F.col("class_row").alias("c")).distinct()
-    per = Window.partitionBy("key")
-    groups = settle(groups.withColumn("_lo", F.min("c").over(per)).withColumn("_hi", F.max("c").over(per)).filter("_lo <> _hi").drop("_lo", "_hi"))
-
-    # Keys with the same members, such as those of one passage, go on as one with its weight.
-    marks = groups.groupBy("key").agg(
-        F.bit_xor(F.xxhash64("c", "role")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "c"), F.lit(1 << 40))).alias("y"), F.count("*").alias("m"), F.min("role").alias("r")
+    return stored(entries.filter((F.col("kind") != ENTRY) | ((F.col("_n") > 1) & (F.col("_full") == 1))).drop("_k", "_n", "_full"), "entries")
+
+
+def _groups(entries: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, role, n, p, h, c, w, a stored table: the keys that several classes (c) share.
+
+    Keys with the same members, such as those of one passage, go on as one with
+    its weight (w).
+    """
+    own = stored(entries.filter(F.col("kind") != SET).join(sketches.select(F.col("c").alias("row")), "row", "left_semi").select("key", "role", "n", "p", "h", F.col("row").alias("c")), "own")
+    marks = _between(
+        own, "c", F.bit_xor(F.xxhash64("c", "role")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "c"), F.lit(1 << 40))).alias("y"), F.count("*").alias("m"), F.min("role").alias("r"), F.max((F.col("role") != SMALL).cast("int")).alias("full")
     )
-    stands = marks.groupBy("x", "y", "m", "r").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
-    groups = settle(groups.join(stands, "key"))
+    stands = marks.filter("full = 1").groupBy("x", "y", "m", "r").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
+    out = stored(own.join(stands, "key"), "groups")
+    drop_stored(own)
+    return out
 
-    # Round one: the full member of about one size that shares most keys stands for its group.
-    # What copies were made from has no words of its own, so all of its prefix is shared.
+
+def _first_tests(groups: DataFrame) -> DataFrame:
+    """hub, other: each class with the one that leads most of its groups.
+
+    A group is led by the full member of about one size that shares most keys.
+    What copies were made from has no words of its own, so all of its prefix is shared.
+    """
     share = groups.groupBy("c").agg(F.sum("w").alias("e"))
-    joint = groups.join(share, "c")
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    small = (F.col("role") == SMALL).cast("int")
-    line = Window.partitionBy("key", "band").orderBy("_small", F.desc("e"), "n", "c")
-    stars = joint.withColumn("band", band).withColumn("_small", small).withColumn("hub", F.first("c").over(line)).withColumn("_s", F.first("_small").over(line))
-    stars = stars.filter("hub <> c and _s = 0").groupBy("hub", "c").agg(F.sum("w").alias("keys"))
+    joint = groups.join(share, "c").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))).withColumn("small", (F.col("role") == SMALL).cast("int"))
+    leads = joint.groupBy("key", "band").agg(F.min(F.struct("small", (-F.col("e")).alias("e"), "n", "c")).alias("lead")).filter("lead.small = 0").select("key", "band", F.col("lead.c").alias("hub"))
+    stars = joint.join(leads, ["key", "band"]).filter("hub <> c").groupBy("hub", "c").agg(F.sum("w").alias("keys"))
     tests = stars.groupBy("c").agg(F.max(F.struct("keys", "hub")).alias("best")).select("best.hub", F.col("c").alias("other"))
-    done = settle(tests.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other")).distinct())
-    links = settle(_tested(rows, done, percent))
-    found = components(links, "hub", "other")
+    return tests.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other")).distinct()
+
+
+def _join(rows: DataFrame, percent: int, frequent: int, least: int, count_links: bool) -> DataFrame:
+    """As join(), of numbered rows: row, doc_id, text."""
+    entries = _entries(rows, percent, frequent, least)
+    sets = entries.filter(F.col("kind") == SET).select("row", "n", F.col("key").alias("cls"), "sketch")
+    first = sets.filter("sketch is not null").groupBy("cls", "n").agg(F.min("row").alias("class_row"))
+    members = stored(sets.join(first, ["cls", "n"], "left").select("row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_row", "row").alias("class_row"), "sketch"), "members")
+    sketches = members.filter("row = class_row and sketch is not null").select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), "sketch")
+    members = members.drop("sketch")
+    groups = _groups(entries, sketches)
+    drop_stored(entries)
+
+    done = stored(_first_tests(groups), "done")
+    links = [_tested(rows, sketches, done, percent)]
+    found = components(links[0], "hub", "other")
 
     # Rounds two and three: what shares keys but no component yet.
+    family = None
     for every in (False, True):
         labels = found.select(F.col("node").alias("c"), "component")
         named = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
-        named = settle(named.withColumn("_lo", F.min("component").over(per)).withColumn("_hi", F.max("component").over(per)).filter("_lo <> _hi").drop("_lo", "_hi"))
+        named = stored(named.join(_between(named, "component", F.count("*").alias("m")).drop("lo", "hi"), "key"), "named")
         if named.isEmpty():
             break
-        pairs = _across(named, percent)
+        family = _families(named) if family is None else family  # the later round's keys are among those of this one
+        pairs = _across(named, family, percent)
         if not every:
-            pairs = settle(pairs)
+            pairs = stored(pairs, "pairs")
             one = lambda c, other: pairs.groupBy(c, other).agg(F.max(F.struct("keys", "a", "b")).alias("best")).select("best.a", "best.b")
             pairs = one("a", "cb").unionByName(one("b", "ca"))
         pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
-        fresh = settle(pairs.join(done, ["hub", "other"], "left_anti"))
+        fresh = stored(pairs.join(done, ["hub", "other"], "left_anti"), "fresh")
+        drop_stored(named)
         if fresh.isEmpty():
             break
         done = done.unionByName(fresh)
-        links = settle(links.unionByName(_tested(rows, fresh, percent)))
-        found = components(links, "hub", "other")
-
-    labels = settle(found.select(F.col("node").alias("class_row"), "component"))
-    out = members.join(labels, "class_row", "left").withColumn("component", F.coalesce("component", "class_row")).join(ids, "row")
+        links.append(_tested(rows, sketches, fresh, percent))
+        before, found = found, components(found.select(F.col("node").alias("hub"), F.col("component").alias("other")).unionByName(links[-1]), "hub", "other")
+        drop_stored(before)
+
+    labels = found.select(F.col("node").alias("class_row"), "component")
+    out = members.join(labels, "class_row", "left").withColumn("component", F.coalesce("component", "class_row")).join(rows.select("row", "doc_id"), "row")
+    out = stored(out, "rows")
+    drop_stored(found, family)
     least_id = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(least_id, "component")
+    whole = out.join(least_id, "component")
     if count_links:
-        n_links = settle(_all_links(rows, members, groups, links, done, percent))
-        out = out.join(n_links, "class_row", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return out.select("doc_id", "n_shingles", "component_id", "row", "class_row", "component", *(["n_links"] if count_links else []))
+        every_link = links[0]
+        for x in links[1:]:
+            every_link = every_link.unionByName(x)
+        n_links = stored(_all_links(rows, members, groups, sketches, every_link, done, percent), "n_links")
+        whole = whole.join(n_links, "class_row", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    drop_stored(groups)
+    return whole.select("doc_id", "n_shingles", "component_id", "row", "class_row", "component", *(["n_links"] if count_links else []))
+
+
+def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, row (a number of its own), class_row, component (a row of it).
+
+    With count_links also n_links: how many other rows are linked to this one, all
+    pairs verified, equal sets and pairs inside a component too. This is a pass of
+    its own, which components do not need.
+    """
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")))
+    return _join(rows, percent, frequent, least, count_links)
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, one for each component: the one with the least id, then the first in scan order."""
-    found = join(docs, **options)
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST_COUNT) -> DataFrame:
+    """The rows of ``docs``, one for each component: the one with the least id; of several rows with that id any one."""
+    name = free_name(docs, "row")
+    whole = numbered(docs, name)
+    rows = whole.select(F.col(name).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    found = _join(rows, percent, frequent, least, False)
     # A component is as large as its group of copies, so its first row is found by sums, not by a sorted window.
     # Rows of unlinked components may have one id or none, so the component is not told by its id.
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    kept = first.select(F.col("best.row").alias("__lw_kept"))
-    rows = docs.withColumn("__lw_row", F.monotonically_increasing_id())
-    return rows.join(kept, F.col("__lw_row") == F.col("__lw_kept"), "left_semi").select(*docs.columns)
+    return whole.join(first.select(F.col("best.row").alias(name)), name, "left_semi").select(*columns_of(docs))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import settle, stored, text_of
+from loomwork.llm.common import drop_stored, settle, stored, text_bytes, text_of
 
 ORDER = 5
 #: A byte and 0, the pad, which is no byte of a text.
@@ -36,7 +36,7 @@ BITS = 9
 SYMBOLS = 1 << BITS
 QUANTILE = 0.99
 #: Bytes of text aimed at in a block, and grams held before they are counted together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 HELD_GRAMS = 1 << 20
 
 
@@ -63,7 +63,7 @@ def _pack(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
     def run(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
@@ -78,12 +78,15 @@ def _pack(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
                 out[1].append(press.compress(sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["block", "pack"])
 
-    rows = docs.select(_block(F.col(id_col), blocks), F.col(id_col).cast("long").alias("doc_id"), F.col("lang"), text_of(text_col).alias("text"))
+    rows = docs.select(_block(F.col(id_col), blocks, F.col(text_col)), F.col(id_col).cast("long").alias("doc_id"), F.col("lang"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "block int, pack binary")
 
 
-def _block(c: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks)).cast("int").alias("block")
+def _block(c: Column, blocks: int, text: Column | None = None) -> Column:
+    """The block of an id; rows without an id, which are never trusted, are dealt by their text."""
+    by = F.xxhash64(c.cast("long"))
+    by = by if text is None else F.when(c.isNull(), F.xxhash64(text)).otherwise(by)
+    return F.pmod(by, F.lit(blocks)).cast("int").alias("block")
 
 
 def _documents(table: pa.Table):
@@ -93,10 +96,7 @@ def _documents(table: pa.Table):
     raw = zstandard.ZstdDecompressor()
     for pack in table.column("pack"):
         for batch in pa.ipc.open_stream(raw.decompress(pack.as_py())):
-            text = batch.column(2)
-            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
-            buf = text.buffers()[2]
-            data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
+            ends, data = text_bytes(batch.column(2))
             for i, (doc_id, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 yield doc_id, lang, data[ends[i] : ends[i + 1]]
 
@@ -133,7 +133,7 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, p for the grams of ``wanted``. ``counts``: gram, c of trusted text, c > 0.
+    """gram, p for the grams of ``wanted``, a stored table. ``counts``: gram, c of trusted text, c > 0.
 
     Order by order from below: a gram's discounted share of its context plus what
     the context gives away times the probability one order lower. Lower orders
@@ -142,7 +142,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
     levels = [counts]
     for k in range(order - 1, 0, -1):
         levels.append(levels[-1].select(F.expr(f"gram & {SYMBOLS**k - 1}").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")))
-    levels = [settle(x) for x in levels][::-1]
+    levels = [stored(x, "level") for x in levels][::-1]
     lower = None
     for k, level in enumerate(levels, 1):
         d1, d2, d3 = discounts(level)
@@ -158,7 +158,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
             rows = rows.withColumn("_b", below).join(lower.select(F.col("gram").alias("_b"), F.col("p").alias("q")), "_b")
         own = F.when(F.col("c").isNotNull(), (F.col("c") - cut) / F.col("total")).otherwise(F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("q")).otherwise(own + F.col("given") / F.col("total") * F.col("q"))
-        lower = settle(rows.select("gram", p.alias("p")))
+        before, lower = lower, stored(rows.select("gram", p.alias("p")), "p")
+        drop_stored(before, level)
     return lower
 
 
@@ -168,7 +169,7 @@ def _scores(packs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("gram").to_numpy()
         by = np.argsort(known)
-        known, logp = known[by], [np.log(right.column(k).to_numpy()[by]) for k in ("p", "p0", "p1")]
+        known, logp = known[by], [np.log(right.column(k).to_numpy()[by].astype(np.float64)) for k in ("p", "p0", "p1")]
         ids, langs, sizes = [], [], []
         ppl: list[list] = [[], [], []]
         for doc_id, lang, data in _documents(left):
@@ -196,15 +197,21 @@ def _all_perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int, id_co
     packs = _pack(docs, blocks, id_col, text_col)
     trusted = trusted_ids.select(_block(F.col("doc_id"), blocks), F.col("doc_id").cast("long").alias("doc_id"), _half(F.col("doc_id")))
     held = stored(_block_grams(packs, trusted, order), "grams")
-    sums = settle(held.groupBy("gram").agg(F.sum("n").alias("c"), F.sum("n1").alias("c1")))
-    model = lambda c: settle(sums.select("gram", c.alias("c")).filter("c > 0"))
+    sums = stored(held.groupBy("gram").agg(F.sum("n").alias("c"), F.sum("n1").alias("c1")), "sums")
     one, two = F.col("c") - F.col("c1"), F.col("c1")
+    model = lambda c: sums.select("gram", c.alias("c")).filter("c > 0")
     p = probabilities(model(F.col("c")), sums.select("gram"), order)
     # each half is asked for the grams of the other one
-    p0 = probabilities(model(one), sums.filter(two > 0).select("gram"), order).withColumnRenamed("p", "p0")
-    p1 = probabilities(model(two), sums.filter(one > 0).select("gram"), order).withColumnRenamed("p", "p1")
-    answers = held.select("block", "gram").join(settle(p.join(p0, "gram", "left").join(p1, "gram", "left")), "gram")
-    return _scores(packs, answers.select("block", "gram", "p", *[F.coalesce(k, F.lit(float("nan"))).alias(k) for k in ("p0", "p1")]), order)
+    p0 = probabilities(model(one), sums.filter(two > 0).select("gram"), order)
+    p1 = probabilities(model(two), sums.filter(one > 0).select("gram"), order)
+    drop_stored(sums)
+    every = stored(p.join(p0.withColumnRenamed("p", "p0"), "gram", "left").join(p1.withColumnRenamed("p", "p1"), "gram", "left"), "every")
+    drop_stored(p, p0, p1)
+    # A table of its own, so that texts and counts need not lie in scratch space at one time. Seven digits of a probability do.
+    single = [F.coalesce(k, F.lit(float("nan"))).cast("float").alias(k) for k in ("p", "p0", "p1")]
+    answers = stored(held.select("block", "gram").join(every, "gram").select("block", "gram", *single), "answers")
+    drop_stored(held, every)
+    return _scores(packs, answers, order)
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

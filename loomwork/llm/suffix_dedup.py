@@ -41,7 +41,7 @@ from loomwork.llm.common import columns_of, drop_stored, free_name, numbered, st
 LENGTH = 400
 K = 64
 #: Contents of one key that a task compares.
-MOST = 1024
+MOST = 4096
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 19
 #: Bits for a place in a piece, below those of its hash. The same for all pieces, so that equal windows pick equal anchors.
@@ -195,34 +195,41 @@ def merge_order(suffixes: list[Suffix]) -> tuple[list[int], list[int]]:
     return order, [suffixes[i].common(suffixes[j]) for i, j in zip(order, order[1:])]
 
 
-def extensions(suffixes: list[Suffix]) -> np.ndarray:
-    """Common extensions of all pairs, from sorted neighbours: the least of those between."""
-    order, near = merge_order(suffixes)
-    n = len(order)
-    out = np.zeros((n, n), np.int32)
-    near = np.array(near, np.int32)
-    for i in range(n - 1):
-        out[i, i + 1 :] = np.minimum.accumulate(near[i:])
-    out = np.maximum(out, out.T)
-    at = np.empty(n, np.int64)
-    at[order] = np.arange(n)
-    return out[np.ix_(at, at)]
+def _shared(near: np.ndarray, at: int) -> np.ndarray:
+    """Common extensions of the suffix at a place of the order with those at all places, from sorted neighbours: the least of those between."""
+    out = np.zeros(len(near) + 1, np.int32)
+    out[at + 1 :] = np.minimum.accumulate(near[at:])
+    out[:at] = np.minimum.accumulate(near[:at][::-1])[::-1]
+    return out
 
 
-def repeated_around(contents: list[bytes], lefts: list[int], length: int) -> list[tuple[int, int]]:
-    """For each content, how many bytes left and right of its anchor repeat in another; (0, 0) if none.
+def repeated_around(contents: list[bytes], lefts: list[int], length: int, wanted: list[bool] | None = None) -> list[tuple[int, int]]:
+    """For each wanted content, how many bytes left and right of its anchor repeat in another; (0, 0) if none.
 
-    All repeats hold the anchor, so what they cover is one run.
+    All repeats hold the anchor, so what they cover is one run. Memory grows with
+    the contents, not with their pairs.
     """
     right = [Suffix(c[o:]) for c, o in zip(contents, lefts)]
     left = [Suffix(c[:o][::-1]) for c, o in zip(contents, lefts)]
     if len(contents) == 2:
         r, l = right[0].common(right[1]), left[0].common(left[1])  # noqa: E741
         return [(l, r) if l + r >= length else (0, 0)] * 2
-    r, l = extensions(right), extensions(left)  # noqa: E741
-    ok = l + r >= length
-    np.fill_diagonal(ok, False)
-    return list(zip(np.where(ok, l, 0).max(axis=1).tolist(), np.where(ok, r, 0).max(axis=1).tolist()))
+    orders = []
+    for suffixes in (left, right):
+        order, near = merge_order(suffixes)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        orders.append((at, np.array(near, np.int32)))
+    out = []
+    for i in range(len(contents)):
+        if wanted is not None and not wanted[i]:
+            out.append((0, 0))
+            continue
+        l, r = (_shared(near, at[i])[at] for at, near in orders)  # noqa: E741
+        ok = l + r >= length
+        ok[i] = False
+        out.append((int(l[ok].max()), int(r[ok].max())) if ok.any() else (0, 0))
+    return out
 
 
 # --- over tables ------------------------------------------------------------------
@@ -315,7 +322,7 @@ def _compared(contents: DataFrame, length: int) -> DataFrame:
         def solve():
             if len(held) < 2:
                 return []
-            found = repeated_around([h[4] for h in held], [h[2] for h in held], length)
+            found = repeated_around([h[4] for h in held], [h[2] for h in held], length, [h[3] for h in held])
             return [(h[0], h[1] - l, h[1] + r) for h, (l, r) in zip(held, found) if h[3] and l + r >= length]
 
         def batch_of(out):
@@ -363,7 +370,8 @@ def _refined(contents: DataFrame, length: int, most: int) -> list[DataFrame]:
     group = ["key", "key2", "lmin", "rmin"]
     while True:
         level = stored(level.select(*names).mapInArrow(deal, schema), "cells")
-        sizes = stored(level.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        # Groups of contents that are known to repeat tell nothing more.
+        sizes = stored(level.groupBy(*group).agg(F.count("*").alias("n"), F.max("single").alias("asks")).filter("n > 1 and asks").drop("asks"), "sizes")
         level = level.join(sizes, group)
         # Those that share LENGTH bytes by now need no comparison.
         whole = level.filter(F.col("lmin") + F.col("rmin") >= length)

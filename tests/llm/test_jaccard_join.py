@@ -112,3 +112,26 @@ def test_one_of_each_with_shared_and_null_ids(spark, tmp_path):
     df = stored(spark, [(i, t, "en", "s", 1) for i, t in rows], DOC, tmp_path / "d")
     kept = jj.one_of_each(df).collect()
     assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept) == [("5", "a0"), ("5", "b0"), ("9", ""), ("9", ""), ("None", "c0")]
+
+
+def test_sketches_bound_what_is_shared():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for _ in range(300):
+        a, b = (np.unique(rng.choice(pool[: rng.integers(1, 3000)], rng.integers(1, 900))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        assert jj.most_shared(jj.sketch(a), jj.sketch(b)) >= both
+        assert jj.most_shared(jj.sketch(a), jj.sketch(a)) == len(a)
+    crowded = np.arange(100, dtype=np.uint64) << np.uint64(12)  # all low bits alike: the sketch grows until no count runs over
+    assert jj.most_shared(jj.sketch(crowded), jj.sketch(crowded)) == 100
+
+
+def test_an_unstored_input_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(jj, "HOT_KEY", 3)
+    monkeypatch.setattr(jj, "REMEMBERED", 4)
+    rows = fixture()[:200] + alike(60)
+    df = spark.createDataFrame(rows, DOC).repartition(5)  # rows in another order at every scan
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jj.join(df, least=2).collect())
+    assert got == brute([(r[0], r[1]) for r in rows])
