@@ -19,7 +19,8 @@ from loomwork.functions.scores import chunk_quality
 from loomwork.functions.text import archetype_id
 from loomwork.operators import incremental as I, links, pages as pg
 from loomwork.operators.incremental import State
-from loomwork.operators.vectors import HashingEmbedder, topk_join
+from loomwork.operators.vector_joins import topk_join
+from loomwork.operators.vectors import HashingEmbedder
 from loomwork.runtime import pin
 from loomwork.sources.corpus import build_manifest, read_bundle
 

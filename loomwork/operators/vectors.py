@@ -1,4 +1,4 @@
-"""Vector search: top-k by dot product or cosine, for one query or for a table of queries."""
+"""Vector search for one query: top-k by dot product or cosine. For a table of queries see vector_joins."""
 
 from __future__ import annotations
 
@@ -8,14 +8,9 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block when two tables of vectors are compared.
-BLOCK = 2048
-
-
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, in double precision; stays in the JVM."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -48,53 +43,6 @@ def topk_postfiltered(df: DataFrame, q: Sequence[float], k: int, keep: Column, w
     return topk(df, q, widen * k, **options).filter(keep).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows, without a Python object for each."""
-    whole = column.combine_chunks()
-    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
-
-
-def topk_join(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_col: str, vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """query_id, rank, id, score: the k best of ``vectors`` for every query, exactly.
-
-    Both sides are dealt to blocks and blocks meet in pairs, so neither side is
-    broadcast or gathered; each pair of blocks hands on k rows a query.
-    """
-    n_q, n_v = queries.count(), vectors.count()
-    qb, vb = max(1, -(-n_q // BLOCK)), max(1, -(-n_v // BLOCK))
-    side = lambda df, i, own, n_own, other, n_other: (
-        df.select(F.col(i).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    )
-    left, right = side(queries, query_id, "qb", qb, "vb", vb), side(vectors, id_col, "vb", vb, "qb", qb)
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        kinds = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64()}
-        if not a.num_rows or not b.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        x, y = _matrix(a.column("v")), _matrix(b.column("v"))
-        qi, vi = a.column("id").to_numpy(), b.column("id").to_numpy()
-        order = np.argsort(vi, kind="stable")
-        s, vi = np.einsum("qd,nd->qn", x, y[order]), vi[order]
-        if exclude_self:
-            s[qi[:, None] == vi[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        r, c = np.repeat(np.arange(len(qi)), top.shape[1]), top.ravel()
-        ok = np.isfinite(s[r, c])
-        return pa.table({"query_id": qi[r[ok]], "id": vi[c[ok]], "score": s[r[ok], c[ok]]})
-
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(best, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float, id_col: str, vector_col: str = "embedding") -> DataFrame:
-    """Each vector's nearest neighbour, if it reaches the threshold (applied after top-1)."""
-    return topk_join(vectors, vectors, 1, id_col, id_col, vector_col, exclude_self=True).filter(F.col("score") >= threshold).drop("rank")
-
-
 def concat_sections(*sections: DataFrame, order: str) -> DataFrame:
     """Vector tables one after the other; ``ord`` counts through all sections."""
     out = None

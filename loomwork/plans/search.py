@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from loomwork.functions import scores, text
-from loomwork.operators import links, memory, pages as pg, vectors as V
+from loomwork.operators import links, memory, pages as pg, vector_joins, vectors as V
 from loomwork.plans.registry import query, t
 
 
@@ -69,7 +69,7 @@ _PAIRS = "(SELECT q.vec_id AS query_id, e.vec_id AS id, {dot} AS s FROM embeddin
 def vec_topk_batch(spark, d):
     """Queries: every vector whose id is divisible by 50."""
     e = t(spark, d, "embeddings")
-    return V.topk_join(e.filter("vec_id % 50 = 0"), e, 3, "vec_id", "vec_id", exclude_self=True).withColumn("score", F.round("score", 4))
+    return vector_joins.topk_join(e.filter("vec_id % 50 = 0"), e, 3, "vec_id", "vec_id", exclude_self=True).withColumn("score", F.round("score", 4))
 
 
 @query(
@@ -78,7 +78,7 @@ def vec_topk_batch(spark, d):
     + ") WHERE rank = 1 AND s >= 0.4"
 )
 def vec_neardup(spark, d):
-    return V.near_duplicates(t(spark, d, "embeddings"), 0.4, "vec_id").withColumn("score", F.round("score", 4))
+    return vector_joins.near_duplicates(t(spark, d, "embeddings"), 0.4, "vec_id").withColumn("score", F.round("score", 4))
 
 
 @query("SELECT vec_id, section, row_number() OVER (ORDER BY section, vec_id) - 1 + 1 AS ord FROM (SELECT vec_id, 0 AS section FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE label >= 5)")

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import contracts as C, incremental as I, store as St, vectors as V
+from loomwork.operators import contracts as C, incremental as I, store as St, vector_joins
 from loomwork.plans import gate
 from loomwork.plans.registry import query, t
 from loomwork.plans.search import CORPUS, corpus
@@ -84,8 +84,8 @@ FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {whe
 def stale_drift(spark, d):
     e = t(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0")
-    old = V.topk_join(q, e.filter("vec_id % 5 <> 0"), 8, "vec_id", "vec_id").groupBy(F.col("query_id").alias("chunk_id")).agg(F.collect_list("id").alias("evidence_slugs"))
-    now = V.topk_join(q, e, 8, "vec_id", "vec_id").select(F.col("query_id").alias("chunk_id"), F.col("id").alias("slug"))
+    old = vector_joins.topk_join(q, e.filter("vec_id % 5 <> 0"), 8, "vec_id", "vec_id").groupBy(F.col("query_id").alias("chunk_id")).agg(F.collect_list("id").alias("evidence_slugs"))
+    now = vector_joins.topk_join(q, e, 8, "vec_id", "vec_id").select(F.col("query_id").alias("chunk_id"), F.col("id").alias("slug"))
     return I.stale_by_drift(old, now)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import semantics as S, text as Tx
-from loomwork.operators import contracts as C, incremental as I, links, store as St, vectors as V
+from loomwork.operators import contracts as C, incremental as I, links, store as St, vector_joins, vectors as V
 from loomwork.plans import gate
 from loomwork.service import PROMPTS, KnowledgeBase, prompt
 from loomwork.streaming.sync import sync_stream, window_counts
@@ -56,7 +56,7 @@ def test_topk_and_duplicates(spark):
     assert sorted(near[:3]) == [(2, 1.0), (4, 1.0), (9, 1.0)] and near[3:] == [(7, 0.0)]
     assert V.topk_postfiltered(df, ask, 1, F.col("slug") == 7).count() == 0 and V.topk_postfiltered(df, ask, 2, F.col("slug") == 7).count() == 1
     unit = df.filter("slug in (4, 7, 9)").select("slug", F.transform("embedding", lambda x: x / 5).alias("embedding"))
-    assert {(r.query_id, r.id) for r in V.near_duplicates(unit, 0.999, "slug").collect()} == {(4, 9), (9, 4)}
+    assert {(r.query_id, r.id) for r in vector_joins.near_duplicates(unit, 0.999, "slug").collect()} == {(4, 9), (9, 4)}
     e = V.HashingEmbedder(32)
     assert e.query("x y") == e.query("x  y") and abs(sum(v * v for v in e.query("hello world")) - 1) < 1e-5
     assert e.table(spark.createDataFrame([("hello",), (None,)], "t string"), "t").count() == 2
