@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.scores import operations_in, risky_join, run_quality, search_text
-from loomwork.operators.store import TableStore, increment
+from loomwork.operators.store import increment
+from loomwork.operators.table_store import TableStore
 from loomwork.operators.vectors import HashingEmbedder, cosine, topk
 from loomwork.runtime import pin
 
@@ -50,4 +51,5 @@ def count_reuse(store: TableStore, collection: str, namespace: str, ids: DataFra
     """One more use for every id, as often as it is listed."""
     have = store.read(collection, namespace)
     if have is not None:
-        store.replace(collection, namespace, increment(have, ids))
+        used = have.join(ids.select("id").distinct(), "id", "left_semi")
+        store.upsert(collection, namespace, increment(used, ids))

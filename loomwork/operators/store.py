@@ -1,17 +1,11 @@
 """A keyed store of vectors and metadata: upsert, delete, sync, audit, purge, trim.
 
-The functions on DataFrames say what the store holds afterwards. TableStore keeps
-it on disk as Parquet by collection and tenant; a change writes a new version of
-one partition beside the old one and then swaps them, so a failed job leaves the
-old version in place and a rerun by id gives the same result.
+These functions say what the store holds afterwards; table_store keeps it on disk.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 6_500
@@ -95,74 +89,3 @@ def trim(df: DataFrame, clean_at: int = CLEAN_AT, share: float = CLEAN_SHARE, ke
     worth = F.coalesce(F.col("quality_score"), F.lit(0.0)) + 6 * F.coalesce(F.col("reuse_count"), F.lit(0))
     worst = df.select(key, worth.alias("_worth")).orderBy("_worth", key).limit(go).select(key)
     return df.join(worst, key, "left_anti")
-
-
-@dataclass
-class SyncResult:
-    enabled: bool
-    upserted: int = 0
-    deleted: int = 0
-
-
-class TableStore:
-    """Partitions <root>/collection=<c>/tenant=<t>/v-<id>; the newest complete version counts."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _dir(self, collection: str, tenant: str) -> str:
-        if not collection or not tenant or "/" in collection + tenant:
-            raise ValueError("collection and tenant must be plain names")
-        return f"{self.root}/collection={collection}/tenant={tenant}"
-
-    def _current(self, collection: str, tenant: str) -> str | None:
-        at = self._path(self._dir(collection, tenant))
-        if not self._fs.exists(at):
-            return None
-        found = [s.getPath() for s in self._fs.listStatus(at)]
-        done = [p for p in found if self._fs.exists(self._path(p, "_SUCCESS"))]
-        return max((p.toString() for p in done), key=lambda p: p.rsplit("/v-", 1)[1], default=None)
-
-    def read(self, collection: str, tenant: str) -> DataFrame | None:
-        at = self._current(collection, tenant)
-        return self.spark.read.parquet(at) if at else None
-
-    def replace(self, collection: str, tenant: str, rows: DataFrame) -> None:
-        """A new version. The one before stays for readers that are under way; those before it go once the new one is complete."""
-        old = self._current(collection, tenant)
-        number = int(old.rsplit("/v-", 1)[1].split("-")[0]) + 1 if old else 1
-        rows.write.parquet(f"{self._dir(collection, tenant)}/v-{number:012d}-{uuid.uuid4().hex[:8]}")
-        for s in self._fs.listStatus(self._path(self._dir(collection, tenant))):
-            if int(s.getPath().getName()[2:].split("-")[0]) < number - 1:
-                self._fs.delete(s.getPath(), True)
-
-    def upsert(self, collection: str, tenant: str, batch: DataFrame, key: str = "id") -> None:
-        have = self.read(collection, tenant)
-        self.replace(collection, tenant, batch if have is None else upsert(have, batch, key))
-
-    def delete(self, collection: str, tenant: str, ids: DataFrame | None = None, key: str = "id") -> None:
-        """Some ids, or with None the whole tenant; a tenant that is not there is no error."""
-        have = self.read(collection, tenant)
-        if have is None:
-            return
-        if ids is None:
-            self._fs.delete(self._path(self._dir(collection, tenant)), True)
-        else:
-            self.replace(collection, tenant, delete(have, ids, key))
-
-    def sync(self, collection: str, tenant: str | None, batch: DataFrame, gone: DataFrame | None = None, reset: bool = False, key: str = "id") -> SyncResult:
-        """Without a tenant nothing is stored."""
-        if not tenant:
-            return SyncResult(False)
-        # counted first: a batch may itself be read from the version that goes
-        done = SyncResult(True, batch.count(), 0 if gone is None else gone.count())
-        if reset:
-            self.replace(collection, tenant, batch)
-        else:
-            have = self.read(collection, tenant)
-            rows = batch if have is None else upsert(have, batch, key)
-            self.replace(collection, tenant, rows if gone is None else delete(rows, gone, key))
-        return done

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomwork.operators.store import TableStore
+from loomwork.operators.table_store import TableStore
 
 
 def latest(batch: DataFrame, key: str = "id", order: str = "version") -> DataFrame:

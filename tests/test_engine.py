@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import semantics as S, text as Tx
 from loomwork.operators import contracts as C, incremental as I, links, store as St, vector_joins, vectors as V
+from loomwork.operators.table_store import TableStore
 from loomwork.plans import gate
 from loomwork.service import PROMPTS, KnowledgeBase, prompt
 from loomwork.streaming.sync import sync_stream, window_counts
@@ -134,7 +135,7 @@ def test_runs_are_saved(spark, tmp_path):
 
     schema = "prompt string, code string, success boolean, execution_time_ms long, output_rows long, attempts int, requested_columns array<string>, output_columns array<string>, used_rag boolean, validator_passed boolean"
     runs = spark.createDataFrame([("sum", "df.head(1)", True, 5, 1, 1, ["a"], ["A"], False, True), ("avg", "x", False, 9, 0, 2, None, None, None, None)], schema)
-    store, e = St.TableStore(spark, str(tmp_path / "m")), V.HashingEmbedder(16)
+    store, e = TableStore(spark, str(tmp_path / "m")), V.HashingEmbedder(16)
     rows = {r.namespace: r for r in memory.save(store, "runs", runs, e).collect()}
     assert rows["success"].quality_score == 100.0 and rows["failure"].quality_score == 10.0 and rows["success"].operations == ["head"]
     kept = store.read("runs", "success").first()
@@ -279,7 +280,7 @@ def test_generation_and_errors(spark):
 
 
 def test_store_on_disk(spark, tmp_path):
-    s = St.TableStore(spark, str(tmp_path / "store"))
+    s = TableStore(spark, str(tmp_path / "store"))
     rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "id string, v int")
     ids = lambda tenant: {r.id for r in s.read("c", tenant).collect()}
     s.sync("c", "acme", rows("old"))
@@ -307,7 +308,7 @@ def test_stream_sync_is_idempotent(spark, tmp_path):
     src = str(tmp_path / "in")
     put = lambda rows: spark.createDataFrame(rows, "id string, version long, text string, deleted boolean").coalesce(1).write.mode("append").json(src)
     put([("a", 1, "x", False), ("a", 2, "y", False), ("b", 1, "z", False)])
-    s = St.TableStore(spark, str(tmp_path / "store"))
+    s = TableStore(spark, str(tmp_path / "store"))
     stream = lambda: spark.readStream.schema("id string, version long, text string, deleted boolean").json(src)
     go = lambda: sync_stream(stream(), s, "c", "t", str(tmp_path / "cp"), once=True).awaitTermination(120)
     go()
