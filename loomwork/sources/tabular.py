@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators.profile import merge_label, schema_warnings, union_relaxed
+from loomwork.sources import csv_ranges
 
 # Formats by extension, separators in order of preference, null tokens, signs of a web page (or a drive's
 # warning in place of a file), where a drive gives files.
@@ -168,17 +169,10 @@ def infer_types(df: DataFrame, rows: int = INFER_ROWS) -> T.StructType:
     return T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(df.columns, kinds)])
 
 
-def _breaks_in_quotes(spark: SparkSession, path: str, charset: str) -> bool:
-    """Whether a line holds an odd number of quotes, as lines do that a quoted value runs across. A scan that stops at the first."""
-    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
-    lines = spark.read.option("encoding", charset).option("sep", "\u0001").option("quote", "").schema("value string").csv(path)
-    return not lines.filter(odd).isEmpty()
-
-
 def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """UTF-8, else Latin-1; null tokens; types from the first rows, and a later value that does not fit is an error.
 
-    Files are split at line ends, unless some value has a line end inside its quotes: then each is read whole.
+    Files are read in ranges of lines, also where values hold line ends inside their quotes (csv_ranges).
     """
     raw = _head(spark, path)
     if looks_like_html(raw):
@@ -189,8 +183,13 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> Da
     except UnicodeDecodeError:
         charset = "ISO-8859-1"
     text = raw.decode("utf-8" if charset == "UTF-8" else "latin-1", "replace").lstrip("﻿")
-    options = {"header": True, "sep": separator or sniff_separator(text), "encoding": charset, "mode": "FAILFAST", "multiLine": _breaks_in_quotes(spark, path, charset), "escape": '"', "nullValue": ""}
-    df = spark.read.options(**options).csv(path)
+    separator = separator or sniff_separator(text)
+    options = {"header": True, "sep": separator, "encoding": charset, "mode": "FAILFAST", "escape": '"', "nullValue": ""}
+    records = csv_ranges.records(spark, path, charset, separator, "\n" if "\n" in text else "\r")
+    if records is None:
+        df = spark.read.options(**options).csv(path)
+    else:  # a schema of text takes the first record only
+        df = csv_ranges.parsed(records, spark.read.options(multiLine=True, **options).csv(path).columns, separator)
     cleaned = df.select(*[F.when(F.col(f"`{c}`").isin(NULLS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
     schema = infer_types(cleaned)
     return cleaned.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
