@@ -10,17 +10,28 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.operators.contracts import Contract, Verdict, check_semantics, verify
-from loomwork.sources.tabular import register
+from loomwork.sources.tabular import view_names
 
 # Functions that reach outside the data.
 DENIED = ["reflect", "java_method", "try_reflect", "read_files", "input_file_name", "current_user", "session_user"]
 #: Roots of plans that only read.
 READING = ["Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Distinct", "Union", "Join", "Window", "WithCTE", "UnresolvedWith", "SubqueryAlias", "UnresolvedHaving", "Intersect", "Except", "Offset", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "Pivot", "Unpivot", "UnresolvedSubqueryColumnAliases"]
-
+#: Nodes of analysed plans that read nothing themselves; a given table is a view, and nothing below it is looked at.
+KNOWN = frozenset(
+    ["Project", "Filter", "Join", "LateralJoin", "Aggregate", "Expand", "Window", "Generate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except"]
+    + ["SubqueryAlias", "WithCTE", "CTERelationDef", "CTERelationRef", "UnionLoop", "UnionLoopRef", "LocalRelation", "OneRowRelation", "Pivot", "Unpivot", "Sample", "ResolvedHint"]
+)
+#: What makes rows of a row's values.
+GENERATORS = frozenset(["Explode", "PosExplode", "Inline", "Stack", "JsonTuple", "VariantExplode"])
+#: Expressions that reach outside the data, or run code that is not Spark's own, whatever name they were called by.
+OUTSIDE = frozenset(
+    ["CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "SessionUser", "CurrentDatabase", "CurrentCatalog"]
+    + ["ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAFFunction", "HiveGenericUDTF", "ApplyFunctionExpression", "ScalaAggregator", "ScalaUDAF"]
+)
 
 #: How long a generated query may take.
 SECONDS = 300.0
@@ -83,16 +94,70 @@ def check_sql(spark: SparkSession, text: str, tables: Iterable[str] | None = Non
     return root
 
 
+def _moved(df_plan, session: SparkSession) -> DataFrame:
+    """A frame of the analysed plan in another session."""
+    rows = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df_plan)
+    return DataFrame(rows, session)
+
+
+def alone(spark: SparkSession, tables: dict[str, DataFrame]) -> SparkSession:
+    """A session of its own, with the same settings, in which only views of the given tables exist and no file is a table."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    for i, (name, view) in enumerate(view_names(tables).items()):
+        here = _moved(tables[name]._jdf.queryExecution().analyzed(), own)
+        here.createOrReplaceTempView(view)
+        if not i:
+            here.createOrReplaceTempView("df")
+    return own
+
+
+def _expressions(plan):
+    held = _items(plan.expressions())
+    while held:
+        e = held.pop()
+        yield e
+        held += _items(e.children())
+
+
+def check_analysed(plan, views: frozenset[str]) -> None:
+    """Whether all that an analysed plan reads are the given views: every other node must be KNOWN, so what is not on the list
+    (a table of the catalog, a table function, a file) is refused, whatever name or expression it was found by."""
+    kind = _kind(plan)
+    if kind == "View":
+        name = plan.desc().identifier().unquotedString()
+        if not plan.isTempView() or name.lower() not in views:
+            raise Rejected(f"not among the given tables: {name}")
+        return
+    if kind not in KNOWN:
+        raise Rejected(f"{kind} reads something else than the given tables")
+    if kind == "Generate" and _kind(plan.generator()) not in GENERATORS:
+        raise Rejected(f"{plan.generator().prettyName()} is not allowed")
+    for e in _expressions(plan):
+        if _kind(e) in OUTSIDE:
+            raise Rejected(f"{e.prettyName()} is not allowed")
+    for below in _items(plan.children()) + _items(plan.subqueries()) + _items(plan.innerChildren()):
+        if hasattr(below, "expressions"):
+            check_analysed(below, views)
+
+
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str) -> DataFrame:
-    """The query's result over views df_<name> of the tables (df: the first); files are not run meanwhile."""
-    views = register(tables)
-    check_sql(spark, text, [*views.values(), "df"] if views else [])
-    keep = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    """The query's result over views df_<name> of the tables (df: the first). It is analysed where nothing else exists, and what it
+    has become is checked before anything runs; no view is left in the caller's session."""
+    views = [*view_names(tables).values(), "df"] if tables else []
+    check_sql(spark, text, views)
+    own = alone(spark, tables)
     try:
-        return spark.sql(text)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", keep)
+        plan = own.sql(text)._jdf.queryExecution().analyzed()
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("TABLE_OR_VIEW_NOT_FOUND"):
+            raise Rejected(f"not among the given tables: {str(e).splitlines()[0][:300]}") from e
+        raise
+    check_analysed(plan, frozenset(v.lower() for v in views))
+    return _moved(plan, spark)
 
 
 @dataclass(frozen=True)

@@ -416,13 +416,15 @@ def load_named(spark: SparkSession, sources: list[Source], fetch: Fetch | None =
     return out
 
 
+def view_names(tables: dict[str, DataFrame]) -> dict[str, str]:
+    return {name: "df_" + re.sub(r"[-\s]", "_", name) for name in tables}
+
+
 def register(tables: dict[str, DataFrame]) -> dict[str, str]:
     """Temporary views df_<name> (and df for the first); returns view by table."""
-    views = {}
-    for i, (name, df) in enumerate(tables.items()):
-        view = "df_" + re.sub(r"[-\s]", "_", name)
-        df.createOrReplaceTempView(view)
+    views = view_names(tables)
+    for i, (name, view) in enumerate(views.items()):
+        tables[name].createOrReplaceTempView(view)
         if not i:
-            df.createOrReplaceTempView("df")
-        views[name] = view
+            tables[name].createOrReplaceTempView("df")
     return views

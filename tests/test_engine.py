@@ -227,7 +227,7 @@ def test_gate_runs_and_retries(spark):
     out = gate.run_with_retries(spark, {"t": t}, lambda a: (seen.append(len(a)), next(script))[1], C.Contract(rows=(1, None)))
     assert seen == [0, 1, 2] and out.text == "SELECT k, v FROM df_t" and out.attempts[0].diagnosis.kind == "column_not_found" and not out.attempts[1].verdict.passed
     assert gate.run_with_retries(spark, {"t": t}, lambda a: "DROP TABLE x", retries=1).result is None
-    slow = "SELECT count(*) AS n FROM range(100000000000) WHERE sqrt(id) < 0"
+    slow = "WITH n AS (SELECT explode(sequence(1, 100000)) AS i FROM df_t) SELECT count(*) AS n FROM n a JOIN n b ON sqrt(a.i) + sqrt(b.i) < 0 JOIN n c ON sqrt(a.i + b.i + c.i) < 0"
     late = gate.run_with_retries(spark, {"t": t}, lambda a: slow, retries=0, seconds=2)
     assert late.result is None and late.attempts[0].diagnosis.kind == "timeout"
 
