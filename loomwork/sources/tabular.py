@@ -9,6 +9,7 @@ import io
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators.profile import merge_label, schema_warnings, union_relaxed
-from loomwork.sources import csv_ranges
+from loomwork.sources import csv_ranges, hosted
 
 # Formats by extension, separators in order of preference, null tokens, signs of a web page (or a drive's
 # warning in place of a file), where a drive gives files.
@@ -319,26 +320,38 @@ def _bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def _hosted(spark: SparkSession, source: Source, fetch: Fetch | None) -> DataFrame:
-    """A hosted dataset's items: an array of objects."""
+    """A hosted dataset's items, in pages that the executors fetch."""
     if fetch is None:
         raise SourceError(f"{source.location} needs a fetcher")
-    import json
-
-    items = json.loads(fetch(source.location))
-    if not items:
+    rows = hosted.read_items(spark, source.location, fetch)
+    if rows is None:
         raise SourceError(f"{source.location} is empty")
-    return read_inline(spark, items)
+    return rows
 
 
 def _fetched(spark: SparkSession, source: Source, fetch: Fetch | None) -> DataFrame:
-    """What an address gives, put where executors can read it."""
+    """What an address gives, fetched by a task and read from the shared folder; the driver sees the first bytes, and workbooks."""
     if fetch is None:
         raise SourceError(f"{source.location} needs a fetcher")
-    content = fetch(direct_download(source.location))
-    if looks_like_html(content):
+    content = hosted.content_of(spark, direct_download(source.location), fetch)
+    head = lambda df: bytes(df.select(F.substring("content", 1, 65_536).alias("c")).first()["c"])
+    begin = head(content)
+    if looks_like_html(begin):
         raise SourceError("a web page came in place of a file; ask for a direct link")
     name = os.path.basename(urlparse(source.location).path) or "table"
-    return _of_content(spark, name, content)
+    if begin.startswith(ZIP_MAGIC):
+        member = hosted.unpacked(content, zip_member)
+        inner = member.select("name").first()
+        if inner is None:  # a workbook
+            return read_excel(spark, bytes(content.first()["content"]))
+        name, content = inner["name"], member.select("content")
+        if format_of(name) == "xlsx":
+            return read_excel(spark, bytes(content.first()["content"]))
+    if head(content).startswith(b"PAR1"):
+        return hosted.parquet_rows(content)
+    kind = format_of(name)
+    path = hosted.as_text_file(content, f"{uuid.uuid4().hex}.{kind}")
+    return read_json(spark, path) if kind == "json" else read_csv(spark, path)
 
 
 def _of_content(spark: SparkSession, name: str, content: bytes) -> DataFrame:
@@ -374,8 +387,6 @@ def read(spark: SparkSession, source: Source, fetch: Fetch | None = None) -> Dat
 
 def _stage(spark: SparkSession, base: str, name: str, body: bytes) -> str:
     """Put the driver's bytes where executors can read them."""
-    import uuid
-
     jvm = spark.sparkContext._jvm
     path = f"{base}/staged-{uuid.uuid4().hex}/{name}"
     with tempfile.NamedTemporaryFile(suffix="." + name.rsplit(".", 1)[-1]) as f:

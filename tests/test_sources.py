@@ -49,19 +49,9 @@ def test_sheets_in_the_books_order_dates_and_errors(spark, tmp_path):
     assert [tuple(map(str, r)) for r in df.collect()] == [("2024-01-01", "2024-01-01 12:00:00", "None"), ("None", "None", "2.5")]
 
 
-def test_what_is_fetched(spark):
-    asked = []
-    answers = {"https://h/t.csv": b"a,b\n1,x\n", "https://h/page": b"<html>", "dataset:d1": b'[{"a": 1}, {"a": 2, "b": "y"}]', "dataset:none": b"[]"}
-    fetch = lambda location: (asked.append(location), answers[location])[1]
+def test_sources_of_a_request():
     sources = T.sources_of({"uploadedFiles": ["u.csv"], "hostDatasetId": "d1", "datasetId": "d2", "resource": {"defaultDatasetId": "d3"}})
     assert [s.location for s in sources] == ["u.csv", "dataset:d1", "dataset:d2", "dataset:d3"]
-    assert [tuple(r) for r in T.read(spark, T.Source("https://h/t.csv"), fetch).collect()] == [(1, "x")]
-    assert T.read(spark, T.Source("dataset:d1"), fetch).count() == 2 and asked == ["https://h/t.csv", "dataset:d1"]
-    for bad in ("https://h/page", "dataset:none"):
-        with pytest.raises(T.SourceError):
-            T.read(spark, T.Source(bad), fetch)
-    with pytest.raises(T.SourceError):
-        T.read(spark, T.Source("dataset:d1"))
 
 
 def test_reports(spark, tmp_path):
