@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import contracts as C, incremental as I, store as St, vector_joins
+from loomwork.operators import contracts as C, incremental as I, snapshots, store as St, vector_joins
 from loomwork.plans import gate
 from loomwork.plans.registry import query, t
 from loomwork.plans.search import CORPUS, corpus
@@ -42,7 +43,23 @@ def diff_pages(spark, d):
 
 @query(SNAPSHOTS + "SELECT round(count(*) FILTER (status <> 'unchanged') / count(*) FILTER (status <> 'added'), 6) AS fraction FROM diff")
 def diff_fraction(spark, d):
-    return I.changed_fraction(_diff(spark, d)).select(F.round("fraction", 6).alias("fraction"))
+    """By summaries: counts come from the roots, pages from differing leaves."""
+    prior, fresh = _written(spark, d)
+    return spark.createDataFrame([(round(snapshots.changed_fraction(prior, fresh), 6),)], "fraction double")
+
+
+def _written(spark, d, bits=snapshots.FAN_BITS):
+    return [snapshots.write(x, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", bits) for x in _snapshots(spark, d)]
+
+
+@query(SNAPSHOTS + "SELECT * FROM diff")
+def diff_snapshots(spark, d):
+    return snapshots.diff(*_written(spark, d))
+
+
+@query(SNAPSHOTS + "SELECT * FROM diff WHERE status <> 'unchanged'")
+def diff_changes(spark, d):
+    return snapshots.changes(*_written(spark, d, 2 * snapshots.FAN_BITS))
 
 
 @query(SNAPSHOTS + "SELECT slug FROM diff WHERE status IN ('changed', 'removed')")
@@ -222,8 +239,6 @@ def gated_sql(spark, d):
 
 
 def _to(spark, name):
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
