@@ -30,6 +30,7 @@ with one id are vectors of their own; queries with one id share its k rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -306,6 +307,34 @@ def topk_join(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_
     return out
 
 
+def search(blocks: DataFrame, q: Sequence[float], k: int, least: float = float("-inf")) -> DataFrame:
+    """id, score: the k best rows of packed blocks for one vector. A task multiplies a block at a time, leaves out blocks that cannot
+    reach what it has, and hands on k rows; blocks of another length, and a vector that is not finite, give none."""
+    ask = np.array([float(x) for x in q])
+    size = float(np.linalg.norm(ask)) if np.isfinite(ask).all() else float("nan")
+
+    def run(batches):
+        ids, scores, floor = np.zeros(0, np.int64), np.zeros(0), least
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("dims")[i].as_py() != len(ask) or not np.isfinite(size):
+                    continue
+                bound = float(np.array(batch.column("centre")[i].as_py()) @ ask) + size * batch.column("radius")[i].as_py()
+                if bound + SLACK * (1 + abs(bound)) < floor:
+                    continue
+                vi, y = _matrix(pa.Table.from_batches([batch]), i)
+                _, c, score = best_in_block(np.zeros(1, np.int64), ask[None], vi, y, k, np.array([floor]), False)
+                ids, scores = np.concatenate([ids, vi[c]]), np.concatenate([scores, score])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+                floor = max(floor, scores[k - 1]) if len(scores) >= k else floor
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], names=["id", "score"])
+
+    columns = blocks.select("dims", "ids", "rows", "centre", "radius")
+    return columns.mapInArrow(run, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float, id_col: str, vector_col: str = "embedding", **options) -> DataFrame:
     """Each vector's nearest neighbour, if it reaches the threshold (applied after top-1)."""
     return topk_join(vectors, vectors, 1, id_col, id_col, vector_col, exclude_self=True, least=threshold, **options).drop("rank")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.semantics import with_row_number
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, in double precision; stays in the JVM."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -27,7 +30,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def literal(q: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in q])
+    """One expression for the whole vector; a column for each component would cost a call to the JVM each."""
+    values = [float(x) for x in q]
+    if all(math.isfinite(x) for x in values):
+        return F.expr(f"array({', '.join(f'{x!r}D' for x in values)})") if values else F.array().cast("array<double>")
+    return F.array(*[F.lit(x) for x in values])
 
 
 def topk(df: DataFrame, q: Sequence[float], k: int, id_col: str = "slug", vector_col: str = "embedding", where: Column | None = None, metric=dot) -> DataFrame:
@@ -44,17 +51,12 @@ def topk_postfiltered(df: DataFrame, q: Sequence[float], k: int, keep: Column, w
 
 
 def concat_sections(*sections: DataFrame, order: str) -> DataFrame:
-    """Vector tables one after the other; ``ord`` counts through all sections."""
+    """Vector tables one after the other; ``ord`` counts through all sections, by one range sort and the sizes of its partitions."""
     out = None
     for k, s in enumerate(sections):
         s = s.withColumn("section", F.lit(k))
         out = s if out is None else out.unionByName(s)
-    # ordinals by section: each section's offset is the size of those before it
-    sizes = out.groupBy("section").count()
-    w = Window.orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("section", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("section").orderBy(order)
-    return out.withColumn("_nr", F.row_number().over(inner)).join(F.broadcast(offsets), "section").withColumn("ord", (F.col("_nr") + F.col("_before")).cast("long")).drop("_nr", "_before")
+    return with_row_number(out, [F.col("section"), F.col(order)], "ord")
 
 
 #: What a hosted model takes: texts in a call, tokens in a minute; tries when it asks to wait, and seconds to wait first and at most.

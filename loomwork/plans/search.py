@@ -17,7 +17,11 @@ def _emb(spark, d):
 
 def _q(spark, d, k=0):
     """One row by its id: a bounded fetch."""
-    return list(t(spark, d, "embeddings").filter(F.col("vec_id") == k).select("embedding").first()[0])
+    return _vector(_emb(spark, d), k)
+
+
+def _vector(e, k=0):
+    return list(e.filter(F.col("slug") == k).select("embedding").first()[0])
 
 
 _DOT = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
@@ -30,7 +34,16 @@ def _top(df):
 
 @query(f"SELECT vec_id, label, round(s, 4) AS score FROM {_SCORED} ORDER BY s DESC, vec_id LIMIT 5")
 def vec_topk(spark, d):
-    return _top(V.topk(_emb(spark, d), _q(spark, d), 5))
+    e = _emb(spark, d)
+    return _top(V.topk(e, _vector(e), 5))
+
+
+@query(f"SELECT vec_id AS id, round(s, 4) AS score FROM {_SCORED} ORDER BY s DESC, vec_id LIMIT 5")
+def vec_topk_packed(spark, d):
+    """The same search over packed blocks."""
+    e = _emb(spark, d)
+    packed = vector_joins.packed_blocks(vector_joins.usable(e, "slug", "embedding"), {})
+    return vector_joins.search(packed, _vector(e), 5).withColumn("score", F.round("score", 4))
 
 
 @query(f"SELECT vec_id, label, round(s, 4) AS score FROM {_SCORED} WHERE label IN (1, 2) ORDER BY s DESC, vec_id LIMIT 5")

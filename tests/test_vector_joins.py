@@ -72,6 +72,18 @@ def test_no_bound_is_under_a_product():
         assert (J._bounds(x, block, None)[:, 0] >= (x @ y.T).max(1)).all()
 
 
+def test_search_over_packed_blocks(spark):
+    rows = grouped_vectors(9, 10, 30, 6, 0.05) + [(1000 + i, [0.0] * 6) for i in range(3)] + [(2000, [1.0]), (2001, None)]
+    rows += [(3000 + i, rows[5][1]) for i in range(30)]
+    usable = J.usable(table(spark, rows), "i", "embedding")
+    blocks = J.packed_blocks(usable, J.choose_pivots(usable), 16)
+    for ask, k in ((rows[5][1], 7), ([-x for x in rows[8][1]], 400), ([1.0], 3), ([0.0] * 6, 4)):
+        want = all_pairs([(0, ask)], rows, k, False)
+        got = [(r.id, r.score) for r in J.search(blocks, ask, k).collect()]
+        assert {(0, n): x for n, x in enumerate(got, 1)} == want
+    assert J.search(blocks, [float("nan")] * 6, 3).count() == 0 and J.search(blocks, rows[5][1], 99, least=2.0).count() == 0
+
+
 def test_joins_of_nothing(spark):
     none = spark.createDataFrame([], "i long, embedding array<float>")
     some = table(spark, [(1, [1.0])])
