@@ -5,13 +5,17 @@ These functions say what the store holds afterwards; table_store keeps it on dis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.runtime import pin
+
 CAPACITY = 6_500
 CLEAN_AT = 5_850
 CLEAN_SHARE = 0.10
 BATCH = 100
+#: Size of the sketches of scores: they are off by one in so many ranks at most.
+SKETCH = 10_000
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
@@ -48,16 +52,26 @@ def quality_histogram(df: DataFrame, col: str = "quality_score") -> DataFrame:
 def audit(df: DataFrame, by: str = "namespace", col: str = "quality_score") -> DataFrame:
     """For each namespace: rows, scored rows, near-perfect ones, validated share, upper median of the scores.
 
-    The median's place counts scored rows only; an empty namespace has none.
+    The median's place counts scored rows only; an empty namespace has none. Two
+    scans: the first one's sketches, of bounded size, give two scores between which
+    each median lies; the second one counts what lies below and each score between
+    them, a few in ten thousand, so that the median is exact and no buffer holds a
+    namespace's scores.
     """
-    counts = df.groupBy(by).agg(
-        F.count("*").alias("total"), F.count(col).alias("scored"), F.count_if(F.col(col) >= 99.5).alias("near_perfect"),
-        F.round(F.avg(F.col("validator_passed").cast("double")), 4).alias("validated"), F.percentile(F.col(col), 0.5).alias("_mid"),
+    near = 2 / SKETCH  # twice what a sketch may be off by
+    counts = pin(
+        df.groupBy(by).agg(
+            F.count("*").alias("total"), F.count(col).alias("scored"), F.count_if(F.col(col) >= 99.5).alias("near_perfect"),
+            F.round(F.avg(F.col("validator_passed").cast("double")), 4).alias("validated"), F.percentile_approx(col, [0.5 - near, 0.5 + near], SKETCH).alias("_between"),
+        )
     )
-    # of an even number of scores the median lies between two: the least score that reaches it is the upper one
-    mid = counts.select(F.col(by).alias("_by"), "_mid")
-    upper = df.join(mid, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col(col) >= F.col("_mid")).groupBy("_by").agg(F.min(col).alias("median"))
-    return counts.join(upper, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by", "_mid")
+    between = counts.filter("scored > 0").select(F.col(by).alias("_by"), F.floor(F.col("scored") / 2).alias("_place"), F.col("_between")[0].alias("_low"), F.col("_between")[1].alias("_high"))
+    seen = df.select(by, col).join(between, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col(col) <= F.col("_high"))
+    each = seen.groupBy("_by", "_place", F.when(F.col(col) >= F.col("_low"), F.col(col)).alias("_score")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_by").orderBy(F.col("_score").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = each.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_place")).groupBy("_by").agg(F.min(F.struct("_upto", "_score")).alias("_at"))
+    median = F.when(F.col("scored") > 0, F.coalesce("_at._score", F.raise_error(F.lit("a sketch was off by more than it may be")).cast("double")))
+    return counts.join(at, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("median", median).drop("_by", "_at", "_between")
 
 
 def purge_matches(df: DataFrame, min_quality: float | None, validated_only: bool = False) -> DataFrame:

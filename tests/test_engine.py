@@ -345,3 +345,16 @@ def test_service(spark):
     for bad in (("ask_about", {}), ("compare_topics", {"topic_a": "aa", "topic_b": " "}), ("nope", {})):
         with pytest.raises(ValueError):
             prompt(bad[0], **bad[1])
+
+
+def test_medians_of_large_and_small_namespaces(spark):
+    """Exact upper medians, with many distinct scores, ties, halves without a score, and none."""
+    import random
+
+    r = random.Random(6)
+    scores = {"hot": [r.random() * 100 for _ in range(60_001)], "even": [r.random() for _ in range(30_000)], "tied": [5.0] * 900 + [7.0] * 900, "two": [1.0, 2.0], "one": [3.0], "none": [None] * 4, "half": [None, 4.0, 9.0], None: [8.0, -1.0, 0.5]}
+    rows = [(n, x, x is not None and x > 3) for n, xs in scores.items() for x in xs]
+    df = spark.createDataFrame(rows, "namespace string, quality_score double, validator_passed boolean").repartition(6)
+    got = {x.namespace: (x.total, x.scored, x.median) for x in St.audit(df).collect()}
+    known = {n: sorted(x for x in xs if x is not None) for n, xs in scores.items()}
+    assert got == {n: (len(scores[n]), len(k), k[len(k) // 2] if k else None) for n, k in known.items()}
