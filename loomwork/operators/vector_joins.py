@@ -12,7 +12,7 @@ at least. By the triangle inequality no product of a query with a block is over
   as the query's distance to any pivot is outside of the block's range,
 
 so blocks whose bound is under what each of the queries already has, or under the
-asked score, are never joined. All others are, pair by pair, so the result is
+asked score, are never joined. All others are, in tiles of blocks, so the result is
 that of comparing all with all. How many pairs are left depends on the vectors:
 where they form groups few are, where they are spread evenly over many dimensions
 all.
@@ -37,13 +37,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.runtime import discard, kept
 
 #: Rows of a block; blocks of queries and block summaries that one task compares; pivots and the rows that they are chosen from.
 BLOCK, GROUP, CHUNK, PIVOTS, SAMPLE = 1024, 32, 4096, 16, 2048
+#: Blocks of either side that one task joins at once: two times TILE blocks in memory, and as many times fewer copies of each.
+TILE = 16
 #: Blocks that a block of queries meets first.
 FIRST = 2
 #: Up to so many pairs of blocks all are joined: bounds would cost more than they spare.
@@ -195,26 +197,43 @@ def _bounds(x: np.ndarray, blocks: pa.Table, pivots: np.ndarray | None) -> np.nd
     return out + SLACK * (1 + np.abs(out))
 
 
-FOUND = "qb long, vb long, query_id long, id long, score double"
+FOUND = "qb long, query_id long, id long, score double"
+
+
+def _tile(block: str) -> Column:
+    """The first of TILE blocks that follow each other in one part of the sort."""
+    return F.col(block) - (F.col(block) % (1 << 33)) % TILE
 
 
 def _join_pairs(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, exclude_self: bool, least: float, floors: DataFrame | None = None) -> DataFrame:
-    """The best of each pair of blocks. floors: for each block of queries the scores that its queries have already."""
-    left = pairs.join(queries.select(F.col("block").alias("qb"), "dims", "ids", "rows"), "qb")
+    """The best of each pair of blocks. Pairs meet in tiles of TILE blocks by TILE, so that a block travels once for each tile that
+    wants it, not for each pair. floors: for each block of queries the scores that its queries have already."""
+    tiled = pairs.withColumn("qt", _tile("qb")).withColumn("vt", _tile("vb"))
+    left = tiled.groupBy("qb", "qt", "vt").agg(F.collect_list("vb").alias("vbs")).join(queries.select(F.col("block").alias("qb"), "dims", "ids", "rows"), "qb")
     left = left.join(floors, "qb", "left") if floors is not None else left.withColumn("floor", F.lit(None).cast("binary"))
     # names of their own: both sides come from one table of pairs
-    other = pairs.select(F.col("qb").alias("_qb"), F.col("vb").alias("_vb"))
+    other = tiled.select(F.col("qt").alias("_qt"), F.col("vt").alias("_vt"), F.col("vb").alias("_vb")).distinct()
     right = other.join(blocks.select(F.col("block").alias("_vb"), "dims", "ids", "rows"), "_vb")
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
-        (qi, x), (vi, y) = _matrix(a), _matrix(b)
-        floor = a.column("floor")[0].as_py()
-        own = np.full(len(qi), least) if floor is None else np.maximum(np.frombuffer(floor, "<f8"), least)
-        r, c, score = best_in_block(qi, x, vi, y, k, own, exclude_self)
-        same = lambda name: pa.array(np.full(len(r), a.column(name)[0].as_py(), np.int64))
-        return pa.table({"qb": same("qb"), "vb": same("vb"), "query_id": qi[r], "id": vi[c], "score": score})
-
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("_qb", "_vb")).applyInArrow(join, FOUND)
+        place = {vb: i for i, vb in enumerate(b.column("_vb").to_pylist())} if b.num_rows else {}
+        out = [pa.table({"qb": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for i in range(a.num_rows):
+            qi, x = _matrix(a, i)
+            floor = a.column("floor")[i].as_py()
+            own = np.maximum(np.frombuffer(floor, "<f8"), least) if floor is not None else np.full(len(qi), least)
+            rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for vb in a.column("vbs")[i].as_py():
+                vi, y = _matrix(b, place[vb])
+                r, c, score = best_in_block(qi, x, vi, y, k, own, exclude_self)
+                rows, ids, scores = np.concatenate([rows, r]), np.concatenate([ids, vi[c]]), np.concatenate([scores, score])
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            out.append(pa.table({"qb": np.full(int(best.sum()), a.column("qb")[i].as_py(), np.int64), "query_id": qi[rows[best]], "id": ids[best], "score": scores[best]}))
+        return pa.concat_tables(out)
+
+    return left.groupBy("qt", "vt").cogroup(right.groupBy("_qt", "_vt")).applyInArrow(join, FOUND)
 
 
 def _floors(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
