@@ -70,10 +70,19 @@ def parse_uri(uri: str) -> str | None:
     return slug or None
 
 
-def snippet(c: Column, n: int = 400) -> Column:
+# Characters that are shown of a page, embedded of a page without a vector, kept beside a vector.
+SNIPPET, FRESH, STORED = 400, 1500, 8000
+
+
+def snippet(c: Column, n: int = SNIPPET) -> Column:
     return F.substring(c, 1, n)
 
 
+def fresh_passage(content: Column, n: int = FRESH) -> Column:
+    """What is embedded of a page that has no vector yet; nothing of a page without content."""
+    return F.substring(F.coalesce(content, F.lit("")), 1, n)
+
+
 def body_links(body: Column) -> Column:
     """Targets of [[target|alias]], white space and leading slashes stripped, empties dropped, distinct."""
     found = F.transform(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(LINK), 1), lambda x: F.ltrim(strip(x), F.lit("/")))

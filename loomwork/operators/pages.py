@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import is_blank, slug_to_uri
+from loomwork.functions.text import STORED, is_blank, slug_to_uri
 
 PROVENANCE = ("kind", "sources", "cites", "evidence", "teacher", "quality_score", "thesis_hash", "source_query", "generated_at", "archetype_id", "category")
 
@@ -78,7 +78,7 @@ def resources(pages: DataFrame) -> DataFrame:
     )
 
 
-def store_metadata(pages: DataFrame, longest: int = 8000) -> DataFrame:
+def store_metadata(pages: DataFrame, longest: int = STORED) -> DataFrame:
     """What a vector store keeps beside a vector: chunks their body and citations, pages their full text."""
     chunk = F.col("kind") == "chunk"
     return pages.select(

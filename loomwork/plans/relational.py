@@ -233,7 +233,19 @@ def concat_vertical(spark, d):
     return a.unionByName(t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
 
 
-@query("SELECT * FROM (VALUES ('table 2 also has n_nationkey, n_regionkey'), ('table 2 has name as string, not int'), ('table 2 lacks r_regionkey')) v(warning)")
+# Columns and their types as the catalogue has them, named as this library's sources name them.
+_COLUMNS = """
+WITH one AS (SELECT 'r_regionkey' AS c, typeof(r_regionkey) AS k FROM region UNION SELECT 'name', 'INTEGER'),
+     two AS (SELECT 'n_nationkey' AS c, typeof(n_nationkey) AS k FROM nation UNION SELECT 'name', typeof(n_name) FROM nation UNION SELECT 'n_regionkey', typeof(n_regionkey) FROM nation),
+     kinds AS (SELECT CASE k WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(k) END AS s, k FROM (SELECT k FROM one UNION SELECT k FROM two))
+"""
+
+
+@query(_COLUMNS + """
+SELECT 'table 2 also has ' || string_agg(c, ', ' ORDER BY c) AS warning FROM two WHERE c NOT IN (SELECT c FROM one)
+UNION ALL SELECT 'table 2 lacks ' || string_agg(c, ', ' ORDER BY c) FROM one WHERE c NOT IN (SELECT c FROM two)
+UNION ALL SELECT 'table 2 has ' || c || ' as ' || b.s || ', not ' || a.s FROM one JOIN two USING (c) JOIN kinds a ON a.k = one.k JOIN kinds b ON b.k = two.k WHERE one.k <> two.k
+""")
 def schema_warnings(spark, d):
     a = t(spark, d, "region").select("r_regionkey", F.lit(1).alias("name"))
     b = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), "n_regionkey")

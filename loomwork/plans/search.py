@@ -7,8 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from loomwork.functions import scores, text
-from loomwork.operators import links, memory, pages as pg, vector_joins, vectors as V
+from loomwork.operators import incremental, links, memory, pages as pg, vector_joins, vectors as V
 from loomwork.plans.registry import query, t
+from loomwork.sources import sinks
 
 
 def _emb(spark, d):
@@ -352,10 +353,38 @@ def error_class(spark, d):
 # --- functions that had no query of their own ---------------------------------------
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN left(text, 4000) ELSE text END AS body, left(text, 400) AS snippet, left(text, 8000) AS stored FROM documents")
+@query("SELECT doc_id, left(text, 400) AS snippet, left(text, 1500) AS fresh, left(CASE WHEN lang = 'fr' THEN '> ' || text ELSE text END, 8000) AS stored FROM documents")
 def truncations(spark, d):
+    docs = t(spark, d, "documents")
+    kept = pg.store_metadata(_as_pages(docs)).select(F.col("slug").alias("doc_id"), F.col("text").alias("stored"))
     x = F.col("text")
-    return t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", F.substring(x, 1, 4000)).otherwise(x).alias("body"), F.substring(x, 1, 400).alias("snippet"), F.substring(x, 1, 8000).alias("stored"))
+    return docs.select("doc_id", text.snippet(x).alias("snippet"), text.fresh_passage(x).alias("fresh")).join(kept, "doc_id")
+
+
+def _as_pages(docs):
+    """Documents as pages; those in French as chunks with a body of their own."""
+    chunk = F.col("lang") == "fr"
+    return docs.select(
+        F.col("doc_id").alias("slug"), F.when(chunk, "chunk").alias("kind"), F.col("source").alias("title"), F.concat(F.lit("> "), "text").alias("body"), F.col("text").alias("content_full"),
+        F.array("lang", "source").alias("cites"), F.col("n_chars").cast("double").alias("quality_score"),
+    )
+
+
+@query("SELECT doc_id AS slug, CASE WHEN lang = 'fr' THEN 'chunk' ELSE 'page' END AS kind, source AS title, left(CASE WHEN lang = 'fr' THEN '> ' || text ELSE text END, 8000) AS text, sha256(text) AS content_hash, CASE WHEN lang = 'fr' THEN [lang, source] END AS cites, CASE WHEN lang = 'fr' THEN CAST(n_chars AS DOUBLE) END AS quality_score FROM documents")
+def store_metadata(spark, d):
+    return pg.store_metadata(_as_pages(t(spark, d, "documents")))
+
+
+@query("SELECT doc_id AS slug, source AS title, lang AS archetype_id, lang || '-x' AS category, source AS source_query, CAST(n_chars AS DOUBLE) AS quality_score, 2 AS cites_count, [lang, source] AS cites FROM documents")
+def chunk_rows(spark, d):
+    chunks = _as_pages(t(spark, d, "documents")).join(t(spark, d, "documents").select(F.col("doc_id").alias("slug"), "lang"), "slug")
+    asked = chunks.withColumn("archetype_id", F.col("lang")).withColumn("category", F.concat("lang", F.lit("-x"))).withColumn("source_query", F.col("title"))
+    return sinks.chunk_rows(asked)
+
+
+@query("SELECT label AS slug, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1")
+def last_vectors(spark, d):
+    return incremental.last_vectors(t(spark, d, "embeddings").select(F.col("label").alias("slug"), F.col("vec_id").alias("row_ord"), "embedding"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus || chr(10) || 'Columns: a, ' || o_orderpriority ELSE o_orderstatus END AS text FROM orders")
