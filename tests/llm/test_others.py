@@ -82,6 +82,19 @@ def test_perplexity_matches_brute_force(spark, tmp_path):
     assert [got[i] for i in range(40)] == pytest.approx(want, rel=1e-4)
 
 
+def test_an_id_with_more_text_than_a_block_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    rng = random.Random(31)
+    rows = [(7 if i % 2 else i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "Über"]) for _ in range(rng.randint(1, 30))), "en", str(i), 1) for i in range(60)]
+    df = stored(spark, rows, DOC, tmp_path / "d")
+    trusted = spark.createDataFrame([(7,), (2,), (4,)], "doc_id long")
+    sizes = df.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    assert [r.doc_id for r in quality._hot_ids(sizes).filter("parts > 2").collect()] == [7]
+    got = quality.perplexities(df, trusted).collect()
+    want = brute_kn([r[1].encode() for r in rows], [r[1].encode() for r in rows if r[0] in (7, 2, 4)], quality.ORDER)
+    assert sorted((r.doc_id, r.perplexity) for r in got) == [(i, pytest.approx(w, rel=1e-4)) for i, w in sorted(zip((r[0] for r in rows), want))]
+
+
 def test_quality_edges(spark, tmp_path):
     df = stored(spark, edge_rows(), DOC, tmp_path / "d")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (6, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
