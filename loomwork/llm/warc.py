@@ -17,8 +17,9 @@ largest page_id is the response, the others are revisits without payload.
 
 Defined results: null html is an empty payload; null url gets a urn; null
 page_id counts as smaller than any; of rows with one page_id and one payload a
-single one is the response; an empty table gives no records; other columns are
-not used.
+single one is the response; a payload that only rows without a page_id have has
+no page to refer to, so each of them is a response; an empty table gives no
+records; other columns are not used.
 """
 
 from __future__ import annotations

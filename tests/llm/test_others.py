@@ -517,6 +517,24 @@ def test_scores_match_brute_force(spark, tmp_path):
         assert r.predicted == int(r.score >= 0.7)
 
 
+def test_repeated_ids_do_not_pass_the_bound_on_what_is_learnt_from(spark, tmp_path, monkeypatch):
+    rows = [(k % 2, f"you idiot people {k}" if k % 2 else f"sun and rain {k}", "en", "s", 1) for k in range(300)]
+    df = stored(spark, rows, DOC, tmp_path / "d")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert df.select(toxicity.held_out("doc_id").alias("h")).distinct().collect() == [(False,)]
+    seen = []
+    plain = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda terms, rows, *more: seen.append(len(rows)) or plain(terms, rows, *more))
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 1)
+    toxicity.train(df, labels, rows=2)
+    assert seen == [2]
+
+
+def test_archives_of_pages_without_ids(spark, tmp_path):
+    df = stored(spark, [(None, f"u{k}", "y" * 2000) for k in range(3)], "page_id long, url string, html string", tmp_path / "p")
+    assert [(r.record_type, r.refers_to) for r in warc.round_trip(df).collect()] == [("response", None)] * 3
+
+
 def test_toxicity_edges(spark, tmp_path):
     df = stored(spark, edge_rows(), DOC, tmp_path / "d")
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (6, 1, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
