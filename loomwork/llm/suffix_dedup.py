@@ -18,6 +18,11 @@
    bytes shares half of what is still missing on the left or on the right, so the
    group is dealt by the digests of either half, again and again.
 
+Strings of words are found the same way, in texts coded in WORD_BYTES bytes a
+word: windows of so many words are then windows of so many bytes. A passage of 51
+words is often shorter than LENGTH bytes, so nothing of it is removed; what of a
+document stands in such passages is counted in a column of its own.
+
 Rows are numbered once, in a copy in buckets, so the input may be any DataFrame
 and texts are not shuffled again.
 
@@ -29,6 +34,8 @@ an empty table gives no rows; other columns are not used, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 from functools import cmp_to_key
 
 import numpy as np
@@ -40,6 +47,12 @@ from loomwork.llm.common import columns_of, drop_stored, free_name, numbered, st
 
 LENGTH = 400
 K = 64
+#: Words that make a passage: over 50.
+PASSAGE = 51
+#: Bytes of a word's digest in coded texts. Words are told apart by it alone.
+WORD_BYTES = 8
+#: What parts words, see common.WORD; bytes.split() parts them there too.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Contents of one key that a task compares.
 MOST = 4096
 #: Bytes of text that are hashed at a time.
@@ -152,6 +165,43 @@ def cells_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return [np.concatenate(c) for c in zip(*out)]
 
 
+class _Codes(dict):
+    """The digest of each word; a bounded number of short ones is remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = hashlib.blake2b(word, digest_size=WORD_BYTES).digest()
+        if len(word) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = made
+        return made
+
+
+_codes = _Codes()
+
+
+def _coded(text: bytes) -> bytes:
+    """The digests of a text's words, about PIECE bytes split at a time."""
+    out, at = [], 0
+    while at < len(text):
+        white = SPACE.search(text, at + PIECE)
+        to = white.start() if white else len(text)
+        out.append(b"".join(map(_codes.__getitem__, text[at:to].split())))
+        at = to
+    return b"".join(out)
+
+
+def coded_words(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As text_bytes(), of the texts in WORD_BYTES bytes a word."""
+    at = ends.tolist()
+    out = [_coded(data[x:y].tobytes()) for x, y in zip(at, at[1:])]
+    return np.cumsum([0, *map(len, out)], dtype=np.int64), np.frombuffer(b"".join(out), np.uint8)
+
+
+def plain_bytes(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ends, data
+
+
 # --- suffix order inside one key ------------------------------------------------
 
 
@@ -247,7 +297,7 @@ def _digests(view: memoryview, spans) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+def _anchors(rows: DataFrame, length: int, k: int, coded: Callable) -> DataFrame:
     names = ["key", "cls", "cls2", "row", "n", "pos", "a", "b", "more"]
 
     def run(batches):
@@ -256,7 +306,7 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
         key_of = xxhash.xxh3_64_intdigest
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            ends, data = text_bytes(batch.column(1))
+            ends, data = coded(*text_bytes(batch.column(1)))
             view = memoryview(data)
             doc, pos, a, b = cells_of(data, ends[:-1], ends[1:], length, k)
             keys = np.fromiter((key_of(view[p : p + k]) for p in pos.tolist()), np.uint64, len(pos)).view(np.int64)
@@ -290,7 +340,7 @@ def _folded(doc, keys, sums, lo, hi):
     return order[starts], n.astype(np.int64), more
 
 
-def _contents(rows: DataFrame, ships: DataFrame, length: int) -> DataFrame:
+def _contents(rows: DataFrame, ships: DataFrame, length: int, coded: Callable) -> DataFrame:
     """The bytes of each chosen cell: key, row, pos, left (bytes before the anchor), single, content."""
     wanted = ships.groupBy("row").agg(F.collect_list(F.struct("key", "pos", "a", "b", "single")).alias("cells"))
 
@@ -298,7 +348,7 @@ def _contents(rows: DataFrame, ships: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "row", "pos", "left", "single", "content"])
         for batch in batches:
-            ends, data = text_bytes(batch.column(1))
+            ends, data = coded(*text_bytes(batch.column(1)))
             out = []
             for row, at, own in zip(batch.column(0).to_pylist(), ends.tolist(), batch.column(2)):
                 for c in own.as_py():
@@ -384,9 +434,13 @@ def _refined(contents: DataFrame, length: int, most: int) -> list[DataFrame]:
             return spans
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """row, lo, hi, more: byte spans that make up all that repeats (``more``: several, as pairs). ``rows``: row, text."""
-    anchors = stored(_anchors(rows, length, k), "anchors")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST, coded: Callable = plain_bytes) -> DataFrame:
+    """row, lo, hi, more: byte spans that make up all that repeats (``more``: several, as pairs). ``rows``: row, text.
+
+    ``coded`` gives the bytes that are searched and that spans count. ``read_from``
+    of the result are stored tables that it reads and nothing else does.
+    """
+    anchors = stored(_anchors(rows, length, k, coded), "anchors")
     several = F.min("cls") != F.max("cls")
     several = (several | (F.min("cls2") != F.max("cls2"))).alias("mixed")
     # A table of its own, so that the join below has an exchange on either side and can split a hot key.
@@ -403,14 +457,23 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, most: int
     crowded = stored(kinds.groupBy("key").count().filter(F.col("count") > most).select("key"), "crowded")
     spans = [whole]
     if not crowded.isEmpty():
-        hot = stored(_contents(rows, ships.join(crowded, "key"), length), "hot")
+        hot = stored(_contents(rows, ships.join(crowded, "key"), length, coded), "hot")
         spans += _refined(hot, length, most)
         drop_stored(hot)
         ships = ships.join(crowded, "key", "left_anti")
-    spans.append(_compared(_contents(rows, ships, length), length))
+    spans.append(_compared(_contents(rows, ships, length, coded), length))
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
+    out.read_from = [cells, kinds, crowded]
+    return out
+
+
+def _stored_spans(rows: DataFrame, length: int, most: int, coded: Callable) -> DataFrame:
+    """As repeated_spans(), in a table; what it was made from is deleted, so that a second search needs no more disk."""
+    spans = repeated_spans(rows, length, most=most, coded=coded)
+    out = stored(spans, "spans")
+    drop_stored(*spans.read_from)
     return out
 
 
@@ -432,30 +495,39 @@ def _spans(rows: DataFrame, length: int, most: int) -> DataFrame:
     return repeated_spans(rows, length, most=most).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "more")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), row (a number of its own) of every document."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, words: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words, kept (bytes), row (a number of its own) of every document.
+
+    n_repeated_words: words inside a string of ``words`` words that also starts
+    elsewhere, same document included. Nothing is removed for that.
+    """
 
     def run(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words", "kept", "row"]
         for batch in batches:
             ends, whole = text_bytes(batch.column(2))
             out = []
             for row, doc_id, x, y, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), batch.column(3)):
-                data = whole[x:y].tobytes()
-                gone = _merged(own.as_py(), len(data))
+                data, own = whole[x:y].tobytes(), own.as_py() or []
+                gone = _merged([s for s in own if not s["in_words"]], len(data))
                 at, kept = 0, []
                 for lo, hi in gone:
                     kept.append(data[at:lo])
                     at = hi
                 kept.append(data[at:])
                 left = b"".join(kept)
-                out.append((doc_id, len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left, row))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+                # Whole words: the digests beside a passage may share bytes by chance.
+                n = sum(hi // WORD_BYTES - -(-lo // WORD_BYTES) for lo, hi in _merged([s for s in own if s["in_words"]], 1 << 62))
+                out.append((doc_id, len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), n, left, row))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")))
-    joined = rows.join(_spans(rows, length, most), "row", "left").select("row", "doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+    in_bytes = _stored_spans(rows, length, most, plain_bytes).withColumn("in_words", F.lit(False))
+    in_words = _stored_spans(rows, words * WORD_BYTES, most, coded_words).withColumn("in_words", F.lit(True))
+    spans = in_bytes.unionByName(in_words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "more", "in_words")).alias("spans"))
+    joined = rows.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long, kept binary, row long")
 
 
 def whole_characters(data: bytes, lo: int, hi: int) -> tuple[int, int]:

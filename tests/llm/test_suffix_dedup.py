@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from loomwork.llm import suffix_dedup as sd
+from loomwork.llm.queries import queries
 from tests.llm.helpers import DOC, edge_rows, stored
 
 
@@ -72,3 +74,59 @@ def test_long_text_in_pieces():
     covered = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)])
     assert np.array_equal(covered, np.arange(len(whole)))
     assert np.array_equal(np.repeat(pos, b - a + 1), whole)
+
+
+def brute_words(texts, words):
+    """Words of each text inside a string of so many words that also starts elsewhere."""
+    split = [t.encode().split() for t in texts]
+    seen = Counter(tuple(w[s : s + words]) for w in split for s in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - words + 1):
+            if seen[tuple(w[s : s + words])] > 1:
+                gone[s : s + words] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def passages():
+    """Rows that share 49 to 54 words under 400 bytes, set between other words and white space of other kinds; ids tell the number."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 200))), "en", "s", 1) for i in range(20)]
+    for n in range(49, 55):
+        shared = [word()[:6] for _ in range(n)]
+        for i, sep in enumerate((" ", "\n", " \t")):
+            rows.append((100 * n + i, " ".join(word() for _ in range(rng.randint(1, 60))) + sep + sep.join(shared) + f"{sep}é{n}.{i} " + word(), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1024, 4])
+def test_passages_of_words_match_brute_force(spark, tmp_path, most):
+    df = stored(spark, fixture() + passages() + edge_rows()[:6], DOC, tmp_path / "d")
+    got = sd.remove_repeats(df, most=most).collect()
+    rows = df.collect()
+    want = brute_words([r.text or "" for r in rows], 51)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_repeated_words) for r in got) == sorted((str(r.doc_id), len((r.text or "").encode()), n) for r, n in zip(rows, want))
+
+
+def test_a_passage_shorter_than_400_bytes_is_reported(spark, tmp_path):
+    stored(spark, passages(), DOC, tmp_path / "documents.parquet")
+    got = {r.doc_id: r for r in queries()["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for n in range(49, 55):
+        for i in range(3):
+            r = got[100 * n + i]
+            assert (r.n_removed, r.n_repeated_words) == (0, n if n > 50 else 0)
+    assert all(r.n_repeated_words == 0 for k, r in got.items() if k < 20)
+
+
+def test_long_text_is_coded_in_pieces():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))).encode() for _ in range(3 * sd.PIECE // 30)]
+    white = [b" ", b"\t", b"\n\x0b ", b"\x0c\r"]
+    texts = [b"".join(w + rng.choice(white) for w in words), b"", b" \n", "\u00e9\u00a0x y".encode(), b"z" * (2 * sd.PIECE) + b" end"]
+    ends, data = sd.coded_words(np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8))
+    for t, x, y in zip(texts, ends.tolist(), ends[1:].tolist()):
+        want = [w for w in re.split(rb"[\x20\x09-\x0d]+", t) if w]
+        assert data[x:y].tobytes() == b"".join(hashlib.blake2b(w, digest_size=sd.WORD_BYTES).digest() for w in want)
