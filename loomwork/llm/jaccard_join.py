@@ -17,10 +17,12 @@ most of a group without comparing all pairs. Then, in groups that still hold
 several components, each class with the class of every other component that it
 shares most keys with; then every pair across components that is left. A pair is
 only compared if the keys it shares allow the similarity: all shared rare tokens
-of both prefixes are known, so what may still be common lies beyond them. Groups
-of many members are compared in blocks, which hand on only such pairs. So no
-link that matters for components is lost and no group of alike texts costs more
-than its size. Large hubs are dealt over several tasks. Links inside a component
+of both prefixes are known, so what may still be common lies beyond them. Only sets
+of about one length can be linked, so a key's members meet by bands of length:
+shingles that unrelated texts hold by chance, more of them the larger the
+corpus, make no large groups. Groups of many members are compared in blocks,
+which hand on only such pairs. So no link that matters for components is lost
+and no group of alike texts costs more than its size. Large hubs are dealt over several tasks. Links inside a component
 are not looked for by these rounds: who asks for the number of links gets a pass
 that verifies every pair which may be linked, block by block in groups of alike
 texts.
@@ -41,6 +43,8 @@ columns are not used, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,7 +60,7 @@ FREQUENT = 1 << 18
 LEAST_COUNT = 6
 #: Frequent tokens in a prefix up to which combinations are indexed.
 COMBINE = 12
-#: Members of a key up to which they are joined, and classes of a family compared at a time.
+#: Members of a key, of about one length, up to which they are joined, and classes of a family compared at a time.
 SMALL_GROUP = 24
 FAMILY_BLOCK = 1024
 #: Tokens counted at a time, and members of a hub that one task compares.
@@ -266,40 +270,55 @@ def _linked(sets: DataFrame, tests: DataFrame, percent: int) -> DataFrame:
     return shipped.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(verify, "hub long, other long")
 
 
-def _families(named: DataFrame) -> DataFrame:
-    """c, family: classes that meet in keys of many members, directly or by others."""
-    large = named.filter(F.col("m") > SMALL_GROUP)
-    first = large.groupBy("key").agg(F.min("c").alias("first"))
-    out = components(large.select("key", "c").join(first, "key"), "first", "c")
+def _banded(named: DataFrame, percent: int) -> DataFrame:
+    """The members of each key by bands of length (g), where several components meet; low, big.
+
+    Lengths that allow a link are in one band or in two that follow each other, so
+    each member is in its own band and, as a ``low`` one, in the next. Two low ones
+    do not meet. ``big``: more pairs meet there than among SMALL_GROUP members.
+    """
+    # a trifle wider than the lengths allow, so that rounding puts no two of them further apart
+    wide = math.log(max(100 / percent, 1.01) * (1 + 1e-9))
+    both = named.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("g", (F.floor(F.log("n") / F.lit(wide)) + F.col("low")).cast("int"))
+    full = F.col("full")
+    pairs = full * (full - 1) / 2 + full * (F.col("all") - full)
+    met = both.groupBy("key", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("all"), F.sum(1 - F.col("low")).alias("full")).filter("lo <> hi and full > 0")
+    return both.join(met.select("key", "g", (pairs > SMALL_GROUP * (SMALL_GROUP - 1) // 2).alias("big")), ["key", "g"])
+
+
+def _families(banded: DataFrame) -> DataFrame:
+    """c, family: classes that meet in bands of many members, directly or by others."""
+    large = banded.filter("big").select("key", "g", "c")
+    first = large.groupBy("key", "g").agg(F.min("c").alias("first"))
+    out = components(large.join(first, ["key", "g"]), "first", "c")
     path = out.scratch_path
     out = out.select(F.col("node").alias("c"), F.col("component").alias("family"))
     out.scratch_path = path
     return out
 
 
-def _may_link(named: DataFrame, family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, dealt): what may be linked across components by small keys, and by the large keys of families.
+def _may_link(named: DataFrame, banded: DataFrame, family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, dealt): what may be linked across components by small bands of keys, and by the large ones of families.
 
     pairs: a, b, keys, ca, cb. dealt: the keys of the classes of each family, for
-    every two of its blocks; None without large keys. ``family``: of _families(),
+    every two of its blocks; None without large bands. ``family``: of _families(),
     of these keys or more.
 
-    named: key, role, n, p, h, c, w, component, m (members of the key), a stored
-    table. What two sets share is at most the
-    tokens shared by both prefixes and what either has beyond its prefix. Keys of
-    up to SMALL_GROUP members are joined; of the others it is only assumed here
-    that all are shared. Classes with such large keys form families, which are
+    named: key, role, n, p, h, c, w, component, a stored table; banded: of
+    _banded(), stored. What two sets share is at most the
+    tokens shared by both prefixes and what either has beyond its prefix. Members
+    of small bands are joined; of the others it is only assumed here
+    that all are shared. Classes in such large bands form families, which are
     compared block by block, with all shared keys counted.
     """
-    big = F.when(F.col("m") > SMALL_GROUP, F.col("w")).otherwise(0)
-    named = named.withColumn("big", big)
-    heavy = named.groupBy("c").agg(F.sum("big").alias("b"))
-    light = named.filter("big = 0").join(heavy, "c")
+    large = banded.filter("big")
+    heavy = large.select("c", "key", "w").distinct().groupBy("c").agg(F.sum("w").alias("b"))
+    light = banded.filter("not big").join(heavy, "c", "left").withColumn("b", F.coalesce("b", F.lit(0)))
     x, y = light.alias("x"), light.alias("y")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    meet = (F.col("x.role") != SMALL) | (F.col("y.role") != SMALL)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near & meet)
-    # frequent tokens are either in pairs, or single in small or large groups: of all of them it is assumed
+    meet = ((F.col("x.role") != SMALL) | (F.col("y.role") != SMALL)) & (F.col("x.low") + F.col("y.low") < 2)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.component") < F.col("y.component")) & near & meet)
+    # frequent tokens are either in pairs, or single in small or large bands: of all of them it is assumed
     unknown = F.least(F.col("x.h") + F.col("x.b"), F.col("y.h") + F.col("y.b"))
     pairs = across.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(
         F.sum(F.when((F.col("x.role") == RARE) & (F.col("y.role") == RARE), F.col("x.w")).otherwise(0)).alias("rare"), F.sum("x.w").alias("keys"),
@@ -308,10 +327,9 @@ def _may_link(named: DataFrame, family: DataFrame, percent: int) -> tuple[DataFr
         F.first(F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))).alias("needed"),
     )
     pairs = pairs.filter(F.col("rare") + F.col("often") + F.col("beyond") >= F.col("needed")).select("a", "b", "keys", "ca", "cb")
-    large = named.filter("big > 0")
     if large.isEmpty():
         return pairs, None
-    # classes that no large key of several components holds any more need no block
+    # classes that no large band of several components holds any more need no block
     family = family.join(large.select("c").distinct(), "c", "left_semi")
     # Every key of a class in a family; pairs of tokens bring classes together, single tokens also count.
     weight = F.when(F.col("role") == PAIR, 0).otherwise(F.col("w")).alias("w")
@@ -352,9 +370,9 @@ def _masks(table: pa.Table, percent: int):
         yield r, shared, ok
 
 
-def _across(named: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+def _across(named: DataFrame, banded: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     """a, b, keys, ca, cb: pairs of classes of different components whose shared keys allow the similarity."""
-    pairs, dealt = _may_link(named, family, percent)
+    pairs, dealt = _may_link(named, banded, family, percent)
     if dealt is None:
         return pairs
 
@@ -434,10 +452,10 @@ def _all_links(rows: DataFrame, members: DataFrame, groups: DataFrame, sketches:
     links: those found among the pairs ``done``. Pairs in one family are all verified
     there; the others are tested unless they were.
     """
-    sizes = groups.groupBy("key").agg(F.count("*").alias("m"))
-    named = stored(groups.join(sizes, "key").withColumn("component", F.col("c")), "named")
-    family = _families(named)
-    pairs, dealt = _may_link(named, family, percent)
+    named = groups.withColumn("component", F.col("c"))
+    banded = stored(_banded(named, percent), "banded")
+    family = _families(banded)
+    pairs, dealt = _may_link(named, banded, family, percent)
     pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
     copies = stored(members.filter("n_shingles > 0").groupBy(F.col("class_row").alias("c")).agg(F.count("*").alias("size")), "copies")
     pairs = pairs.join(done, ["hub", "other"], "left_anti")
@@ -515,18 +533,19 @@ def _join(rows: DataFrame, percent: int, frequent: int, least: int, count_links:
     for every in (False, True):
         labels = found.select(F.col("node").alias("c"), "component")
         named = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
-        named = stored(named.join(_between(named, "component", F.count("*").alias("m")).drop("lo", "hi"), "key"), "named")
-        if named.isEmpty():
+        named = stored(named.join(_between(named, "component").select("key"), "key"), "named")
+        banded = stored(_banded(named, percent), "banded")
+        if banded.isEmpty():
             break
-        family = _families(named) if family is None else family  # the later round's keys are among those of this one
-        pairs = _across(named, family, percent)
+        family = _families(banded) if family is None else family  # the later round's bands are among those of this one
+        pairs = _across(named, banded, family, percent)
         if not every:
             pairs = stored(pairs, "pairs")
             one = lambda c, other: pairs.groupBy(c, other).agg(F.max(F.struct("keys", "a", "b")).alias("best")).select("best.a", "best.b")
             pairs = one("a", "cb").unionByName(one("b", "ca"))
         pairs = pairs.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
         fresh = stored(pairs.join(done, ["hub", "other"], "left_anti"), "fresh")
-        drop_stored(named)
+        drop_stored(named, banded)
         if fresh.isEmpty():
             break
         done = done.unionByName(fresh)

@@ -135,3 +135,23 @@ def test_an_unstored_input_and_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, DOC).repartition(5)  # rows in another order at every scan
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jj.join(df, least=2).collect())
     assert got == brute([(r[0], r[1]) for r in rows])
+
+
+def test_texts_of_all_lengths_with_one_line_make_no_family(spark, tmp_path, monkeypatch):
+    """A shingle that many unrelated texts hold by chance ties none of them together; lengths at the edge of what may be linked still meet."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    lines = [" ".join(f"l{k}_{i}" for i in range(5)) for k in range(300)]
+    line = min(lines, key=lambda x: int(next(jj.shingle_sets(pa.array([x])))[0]))  # first in every text's order
+    rows = [(i, " ".join([line, *(f"u{i}_{k}" for k in range(int(10 * 1.15**i)))])) for i in range(40)]
+    for k in (1, 3, 7, 40):  # one has 4 k shingles, the other 5 k
+        words = [f"e{k}_{rng.randrange(10**9)}" for _ in range(5 * k + 4)]
+        rows += [(100 + k, " ".join(words[: 4 * k + 4])), (200 + k, " ".join(words))]
+    families, real = [], jj._families
+    monkeypatch.setattr(jj, "_families", lambda t: families.append((out := real(t)).count()) or out)
+    df = stored(spark, [(i, t, "en", "s", 1) for i, t in rows], DOC, tmp_path / "d")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jj.join(df, least=10**6).collect())
+    assert got == brute(rows)
+    assert sum(c != i for i, _, c in got) == 4
+    assert sum(families) == 0
