@@ -8,6 +8,9 @@ the shorter of the two lengths, so that lengths differ by one at most; of the
 keys that a pair shares only the first one counts, so that no pair is found
 twice, and the edit distance decides.
 
+No join broadcasts: tables are as long as the list of words, and Spark takes them
+for as small as their compressed files, twelve keys a word not counted.
+
 Keys hold few words, as a half is part of each, and no word has more than twelve.
 A word has at most as many neighbours as it has edits, whatever the corpus, so
 what is left after the join is bounded for each word. Forms grow by FACTOR at
@@ -95,7 +98,7 @@ def near_pairs(words: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
         & (F.col("a.band") == first_band) & (F.col("b.band") == F.col("a.band")) & (F.col("a.half") == first) & (F.col("b.half") == F.col("a.half"))
         & (F.levenshtein(x, y, 1) == 1)
     )
-    return a.join(b, on).select(x.alias("word"), F.col("a.n").alias("n"), y.alias("other"), F.col("b.n").alias("other_n"))
+    return a.join(b.hint("merge"), on).select(x.alias("word"), F.col("a.n").alias("n"), y.alias("other"), F.col("b.n").alias("other_n"))
 
 
 def forms(words: DataFrame, factor: int = FACTOR, least: int = LEAST_LENGTH) -> DataFrame:
@@ -113,7 +116,7 @@ def roots(found: DataFrame) -> DataFrame:
     up, left = stored_counted(found.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while left:
         above = up.select(F.col("word").alias("_at"), F.col("root").alias("_up"))
-        jumped = up.join(above, F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("went"))
+        jumped = up.join(above.hint("merge"), F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("went"))
         after, old = stored(jumped, "roots"), up
         drop_stored(old)
         left, up = after.filter("went").limit(1).count(), after
@@ -126,7 +129,7 @@ def variants(docs: DataFrame, typo: int = TYPO, least: int = LEAST_LENGTH, count
     found = stored(forms(words, factor, least), "forms")
     drop_stored(words)
     ends = roots(found)
-    out = found.join(ends.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    out = found.join(ends.withColumnRenamed("word", "_word").hint("merge"), F.col("word") == F.col("_word"), "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

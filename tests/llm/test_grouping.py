@@ -175,6 +175,19 @@ def test_variants_of_nothing(spark):
     assert spelling.variants(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_spelling_broadcasts_no_list_of_words(spark, tmp_path, monkeypatch):
+    """Twelve keys a word stand behind a compressed file that Spark takes for small, and would gather on the driver."""
+    texts = ["abcdefgh " * 50, "abcdefg " * 5, "bcdefgh " * 6]
+    df = stored(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)], DOC, tmp_path / "d")
+    plans, real = [], spelling.stored
+    plan = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or d
+    monkeypatch.setattr(spelling, "stored", lambda d, name: real(plan(d), name))
+    got = plan(spelling.variants(df, typo=10**12))
+    assert {(r.word, r.root) for r in got.collect()} == {("abcdefgh", "abcdefgh"), ("abcdefg", "abcdefgh"), ("bcdefgh", "abcdefgh")}
+    assert sum("Join" in x for x in plans) >= 3
+    assert not any("Broadcast" in x for x in plans)
+
+
 # --- clustering ---------------------------------------------------------------------
 
 
