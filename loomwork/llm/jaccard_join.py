@@ -60,8 +60,10 @@ FREQUENT = 1 << 18
 LEAST_COUNT = 6
 #: Frequent tokens in a prefix up to which combinations are indexed.
 COMBINE = 12
-#: Members of a key, of about one length, up to which they are joined, and classes of a family compared at a time.
+#: Members of a key, of about one length, up to which they are joined, times as many pairs if most are of one component, and
+#: classes of a family compared at a time.
 SMALL_GROUP = 24
+INSIDE = 50
 FAMILY_BLOCK = 1024
 #: Tokens counted at a time, and members of a hub that one task compares.
 COUNT_AT_ONCE = 1 << 20
@@ -275,15 +277,18 @@ def _banded(named: DataFrame, percent: int) -> DataFrame:
 
     Lengths that allow a link are in one band or in two that follow each other, so
     each member is in its own band and, as a ``low`` one, in the next. Two low ones
-    do not meet. ``big``: more pairs meet there than among SMALL_GROUP members.
+    do not meet. ``big``: more pairs of two components meet there than among
+    SMALL_GROUP members, or INSIDE times as many in all. So copies that are one
+    component already make no band large, whoever else holds their keys.
     """
     # a trifle wider than the lengths allow, so that rounding puts no two of them further apart
     wide = math.log(max(100 / percent, 1.01) * (1 + 1e-9))
     both = named.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("g", (F.floor(F.log("n") / F.lit(wide)) + F.col("low")).cast("int"))
-    full = F.col("full")
-    pairs = full * (full - 1) / 2 + full * (F.col("all") - full)
-    met = both.groupBy("key", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("all"), F.sum(1 - F.col("low")).alias("full")).filter("lo <> hi and full > 0")
-    return both.join(met.select("key", "g", (pairs > SMALL_GROUP * (SMALL_GROUP - 1) // 2).alias("big")), ["key", "g"])
+    meet = lambda full, low: full * (full - 1) / 2 + full * low
+    each = both.groupBy("key", "g", "component").agg(F.sum(1 - F.col("low")).alias("full"), F.sum("low").alias("lows"))
+    met = each.groupBy("key", "g").agg(meet(F.sum("full"), F.sum("lows")).alias("all"), F.sum(meet(F.col("full"), F.col("lows"))).alias("inside")).filter("all > inside")
+    few = SMALL_GROUP * (SMALL_GROUP - 1) // 2
+    return both.join(met.select("key", "g", ((F.col("all") - F.col("inside") > few) | (F.col("all") > INSIDE * few)).alias("big")), ["key", "g"])
 
 
 def _families(banded: DataFrame) -> DataFrame:

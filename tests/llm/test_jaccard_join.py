@@ -155,3 +155,11 @@ def test_texts_of_all_lengths_with_one_line_make_no_family(spark, tmp_path, monk
     assert got == brute(rows)
     assert sum(c != i for i, _, c in got) == 4
     assert sum(families) == 0
+
+
+def test_a_band_is_large_by_what_meets_across_components(spark):
+    rows = [("one", c, 0 if c < 40 else c) for c in range(42)] + [("many", c, c) for c in range(42)] + [("huge", c, min(c, 1)) for c in range(200)] + [("joined", c, 7) for c in range(42)]
+    keys = {k: i for i, k in enumerate(("one", "many", "huge", "joined"))}
+    named = spark.createDataFrame([(keys[k], c, 1000, x, k) for k, c, x in rows], "key long, c long, n int, component long, what string")
+    got = {(r.what, r.big) for r in jj._banded(named, 80).select("what", "big").collect()}
+    assert got == {("one", False), ("many", True), ("huge", True)}
